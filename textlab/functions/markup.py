@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -68,6 +69,11 @@ def _any_of(words) -> str:
     return "(?:" + "|".join(words) + ")"
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def decode_entities(text: Column) -> Column:
     """Named and numeric character references, decoded once (``&amp;lt;`` gives ``&lt;``)."""
     names = F.create_map(
@@ -76,29 +82,35 @@ def decode_entities(text: Column) -> Column:
         F.lit("'"),
     )
 
-    def decode(piece: Column, i: Column) -> Column:
-        ref = F.regexp_extract(
-            piece, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1
-        )
+    def by_code(ref: Column) -> Column:
         digits = F.when(
             ref.rlike("^#[xX]"), F.conv(F.substr(ref, F.lit(3)), 16, 10)
         ).otherwise(F.substr(ref, F.lit(2)))
-        code = F.when(ref.startswith("#"), digits.try_cast("int"))
+        code = digits.try_cast("int")
         # A code point becomes a character by way of its four bytes.
         good = code.between(1, 55295) | code.between(57344, 1114111)
-        by_code = F.when(
-            good, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(good, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+
+    def decode(piece: Column, i: Column) -> Column:
+        reference = F.regexp_extract(
+            piece, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1
         )
-        char = F.when(ref.startswith("#"), by_code).otherwise(F.try_element_at(names, ref))
-        tail = F.substr(piece, F.length(ref) + 2)
-        return F.when(i == 0, piece).otherwise(
-            F.coalesce(F.concat(char, tail), F.concat(F.lit("&"), piece))
+        decoded = bind(
+            reference,
+            lambda ref: F.concat(
+                F.when(ref.startswith("#"), by_code(ref)).otherwise(F.try_element_at(names, ref)),
+                F.substr(piece, F.length(ref) + 2),
+            ),
         )
+        return F.when(i == 0, piece).otherwise(F.coalesce(decoded, F.concat(F.lit("&"), piece)))
 
     # The first piece has no "&" before it and passes unchanged.
-    return F.when(
-        F.contains(text, F.lit("&")), F.array_join(F.transform(F.split(text, "&"), decode), "")
-    ).otherwise(text)
+    return bind(
+        text,
+        lambda x: F.when(
+            F.contains(x, F.lit("&")), F.array_join(F.transform(F.split(x, "&"), decode), "")
+        ).otherwise(x),
+    )
 
 
 def html_text(html: Column) -> Column:
@@ -161,7 +173,10 @@ def page_heading(html: Column, max_len: int = 80, banned: str = "Sejm") -> Colum
     """First h1, else first h2, if short and free of the site's own name; else the title."""
 
     def guarded(text: Column) -> Column:
-        return F.when((F.length(text) <= max_len) & ~F.contains(text, F.lit(banned)), text)
+        return bind(
+            text,
+            lambda x: F.when((F.length(x) <= max_len) & ~F.contains(x, F.lit(banned)), x),
+        )
 
     return F.coalesce(
         guarded(_element(html, "h1")), guarded(_element(html, "h2")), _element(html, "title")
@@ -172,8 +187,9 @@ def label_value(html: Column, label: str) -> Column:
     """Text beside a label: table cell, any following sibling, then second cell of its row."""
     # The label may sit in inline elements of its own.
     held = rf"(?:\s*<\w[^>]*>)*\s*\Q{label}\E\s*(?:</\w+>\s*)*?"
-    cell = rf"(?is)<(t[dh])\b[^>]*>{held}</\1>\s*<td\b[^>]*>(.*?)</td>"
-    sibling = rf"(?is)<(\w+)\b[^>]*>{held}</\1>\s*<(\w+)\b[^>]*>(.*?)</\2>"
+    # Tags match in any case, the label only as written.
+    cell = rf"(?s)<((?i:t[dh]))\b[^>]*>{held}</\1>\s*<(?i:td)\b[^>]*>(.*?)</(?i:td)>"
+    sibling = rf"(?s)<(\w+)\b[^>]*>{held}</\1>\s*<(\w+)\b[^>]*>(.*?)</\2>"
     return F.coalesce(
         _inner_text(F.regexp_extract(html, cell, 2)),
         _inner_text(F.regexp_extract(html, sibling, 3)),

@@ -125,7 +125,7 @@ def syllables(t: Tables):
 
 @Q.add(
     "fog",
-    sql("SELECT doc_id, round(fog_index, 6) AS fog_index, round(avg_sentence_len, 6) AS avg_sentence_len,"
+    sql("SELECT doc_id, round(fog_index, 8) AS fog_index, round(avg_sentence_len, 8) AS avg_sentence_len,"
         " word_count, sentence_count FROM metrics", "metrics"),
 )
 def fog(t: Tables):
@@ -202,7 +202,7 @@ def pct_label(t: Tables):
 
 WRITTEN_SQL = """
 SELECT 'interp_' || CAST(l_orderkey * 10 + l_linenumber AS VARCHAR) AS doc_id, 'interpelacja' AS source, mp_id,
-  club, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS date, round(1.0::DOUBLE / 3, 6) AS weight,
+  club, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS date, round(1.0::DOUBLE / 3, 8) AS weight,
   l_returnflag || ' ' || l_linestatus AS text
 FROM (SELECT *, CAST(unnest([l_suppkey, l_linenumber]) AS BIGINT) AS mp_id FROM lineitem)
 JOIN (SELECT s_suppkey AS mp_id, n_name AS club FROM supplier JOIN nation ON n_nationkey = s_nationkey
@@ -269,13 +269,13 @@ def corpus(t: Tables):
     return rounded(C.corpus(written(t), spoken(t)))
 
 
-@Q.add("lexicon", sql("SELECT token, round(val, 6) AS val FROM lex", "lex"))
+@Q.add("lexicon", sql("SELECT token, round(val, 8) AS val FROM lex", "lex"))
 def lexicon(t: Tables):
     return rounded(t.lexicon)
 
 
 @Q.add(
-    "sentiment_doc", sql("SELECT doc_id, round(sentiment, 6) AS sentiment FROM metrics", "metrics")
+    "sentiment_doc", sql("SELECT doc_id, round(sentiment, 8) AS sentiment FROM metrics", "metrics")
 )
 def sentiment_doc(t: Tables):
     return rounded(C.doc_sentiment(t.docs, ["doc_id"], t.lexicon, **rules(t)))
@@ -287,8 +287,8 @@ def metrics(t: Tables):
 
 @Q.add(
     "docs_metrics",
-    sql("SELECT doc_id, club, source, round(weight, 6) AS weight, round(sentiment, 6) AS sentiment,"
-        " round(fog_index, 6) AS fog_index, round(avg_sentence_len, 6) AS avg_sentence_len, word_count,"
+    sql("SELECT doc_id, club, source, round(weight, 8) AS weight, round(sentiment, 8) AS sentiment,"
+        " round(fog_index, 8) AS fog_index, round(avg_sentence_len, 8) AS avg_sentence_len, word_count,"
         " sentence_count FROM metrics", "metrics"),
 )
 def docs_metrics(t: Tables):
@@ -333,7 +333,7 @@ def top_ngrams(t: Tables):
 
 @Q.add(
     "tfidf_top_terms",
-    f'{UNI_SQL} SELECT "group", term, round(score, 6) AS score, rank, source FROM ranked WHERE rank <= 20',
+    f'{UNI_SQL} SELECT "group", term, round(score, 8) AS score, rank, source FROM ranked WHERE rank <= 20',
 )
 def tfidf_top_terms(t: Tables):
     return rounded(top_terms(t))
@@ -341,7 +341,7 @@ def tfidf_top_terms(t: Tables):
 
 @Q.add(
     "tfidf_top_ngrams",
-    f'{GRAM_SQL} SELECT "group", term, ngram_len, round(score, 6) AS score, rank, source FROM ranked WHERE rank <= 6',
+    f'{GRAM_SQL} SELECT "group", term, ngram_len, round(score, 8) AS score, rank, source FROM ranked WHERE rank <= 6',
 )
 def tfidf_top_ngrams(t: Tables):
     return rounded(top_ngrams(t))
@@ -358,7 +358,7 @@ w AS (SELECT doc_id, club, term, tf * (ln((1.0 + (SELECT count(*) FROM docs)) /
 s AS (SELECT club, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS s FROM w),
 m AS (SELECT club, term, sum(s) / any_value(n) AS score FROM s JOIN (SELECT club, count(*) AS n FROM docs GROUP BY 1)
   USING (club) GROUP BY 1, 2)
-SELECT club AS "group", term, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER
+SELECT club AS "group", term, round(score, 8) AS score, rank FROM (SELECT *, row_number() OVER
   (PARTITION BY club ORDER BY score DESC, term) AS rank FROM m) WHERE rank <= 15""",
 )
 def tfidf_group_mean(t: Tables):
@@ -372,9 +372,9 @@ def word_count_table(t: Tables):
 
 @Q.add(
     "word_counts",
-    sql("SELECT source, club, term, count FROM (SELECT source, club, token AS term, count(*) AS count,"
-        " row_number() OVER (PARTITION BY source, club ORDER BY count(*) DESC, token) AS r FROM tok"
-        " GROUP BY ALL) WHERE r <= 200", "tok"),
+    sql("SELECT source, club, term, count FROM (SELECT *, row_number() OVER"
+        " (PARTITION BY source, club ORDER BY count DESC, term) AS r FROM"
+        " (SELECT source, club, token AS term, count(*) AS count FROM tok GROUP BY 1, 2, 3)) WHERE r <= 200", "tok"),
 )
 def word_counts(t: Tables):
     return word_count_table(t)
@@ -392,6 +392,10 @@ def word_counts(t: Tables):
   WHERE df >= 10 AND df <= 0.5 * n) WHERE r <= 4000""", "tok"),
 )
 def vocab_1_2gram(t: Tables):
+    return gram_vocabulary(t)
+
+
+def gram_vocabulary(t: Tables):
     keys = ["source", "doc_id"]
     tokens = C.ordered_tokens(t.raw_docs, keys, ["doc_id"], **rules(t))
     doc_terms = T.ngram_counts(tokens, ["doc_id"], keys, sizes=(1, 2))
@@ -410,8 +414,8 @@ j AS (SELECT coalesce(a.source, b.source) AS source, coalesce(a.term, b.term) AS
   coalesce(a.n, 0) AS na, coalesce(b.n, 0) AS nb FROM a FULL JOIN b ON a.source = b.source AND a.term = b.term),
 v AS (SELECT source, sum(na) AS ta, sum(nb) AS tb, count(*) AS v FROM j GROUP BY 1 HAVING sum(na) > 0 AND sum(nb) > 0),
 o AS (SELECT source, term, ln(((na + 1.0) / (ta + v)) / ((nb + 1.0) / (tb + v))) AS x FROM j JOIN v USING (source))
-SELECT source, term, 'block_a' AS "group", round(x, 6) AS log_odds FROM o
-UNION ALL SELECT source, term, 'block_b', round(-x, 6) FROM o""",
+SELECT source, term, 'block_a' AS "group", round(x, 8) AS log_odds FROM o
+UNION ALL SELECT source, term, 'block_b', round(-x, 8) FROM o""",
 )
 def log_odds(t: Tables):
     return rounded(block_odds(t))
@@ -425,9 +429,8 @@ def block_odds(t: Tables):
 # --- topic models (rows-only: the fit is not reproducible in SQL) ------------------------
 
 def topic_fit(t: Tables) -> L.TopicFit:
-    channels = [r[0] for r in t.documents.select("lang").distinct().orderBy("lang").collect()]
     grams = L.gram_arrays(t.raw_docs, ["doc_id", "club", "source"], **rules(t))
-    return L.fit_topics(grams, "source", "club", channels, min_df=10)
+    return L.fit_topics(grams, gram_vocabulary(t), "source", "club")
 
 
 @Q.add("lda_fit")
@@ -458,7 +461,7 @@ _STYLE = (
 @Q.add(
     "style_metrics",
     sql("SELECT club, source, n_docs, "
-        + ", ".join(f"round({c}, 6) AS {c}" for c in _STYLE[1:]) + " FROM style", "style"),
+        + ", ".join(f"round({c}, 8) AS {c}" for c in _STYLE[1:]) + " FROM style", "style"),
 )
 def style_metrics(t: Tables):
     return rounded(G.style_metrics(metrics(t), GROUP).select(*GROUP, *_STYLE))
@@ -480,7 +483,7 @@ WIDE_SQL = (
 )
 DUMBBELL_SQL = sql("", "style").rstrip() + ",\n" + WIDE_SQL.format(v="sentiment_mean")
 FOG_SQL = sql("", "style").rstrip() + ",\n" + WIDE_SQL.format(v="fog_mean")
-ROUND_WIDE = f"club, round({WRITTEN}, 6) AS {WRITTEN}, round({SPOKEN}, 6) AS {SPOKEN}, round(delta, 6) AS delta"
+ROUND_WIDE = f"club, round({WRITTEN}, 8) AS {WRITTEN}, round({SPOKEN}, 8) AS {SPOKEN}, round(delta, 8) AS delta"
 
 
 @Q.add("sentiment_dumbbell", f"{DUMBBELL_SQL} SELECT {ROUND_WIDE} FROM wide")
@@ -503,7 +506,7 @@ def name_table(t: Tables):
     "name_counts",
     sql("", "docs").rstrip() + ",\n" + NAME_SQL + "SELECT club, source, "
     + ", ".join(NEEDLES) + ", words, "
-    + ", ".join(f"round({n} * 10000.0 / nullif(words, 0), 6) AS {n}_per10k" for n in NEEDLES) + " FROM names_t",
+    + ", ".join(f"round({n} * 10000.0 / nullif(words, 0), 8) AS {n}_per10k" for n in NEEDLES) + " FROM names_t",
 )
 def name_counts(t: Tables):
     return rounded(name_table(t))
@@ -545,7 +548,7 @@ def unit_vectors(t: Tables):
     "centroid_distance",
     UNI_SQL + """, cen AS (SELECT source, term, sum(score) AS c FROM scores_t GROUP BY 1, 2),
 len AS (SELECT source, sqrt(sum(c * c)) AS l FROM cen GROUP BY 1)
-SELECT source, club, round(1 - sum(score * c) / any_value(l), 6) AS distance
+SELECT source, club, round(1 - sum(score * c) / any_value(l), 8) AS distance
 FROM scores_t JOIN cen USING (source, term) JOIN len USING (source) GROUP BY 1, 2""",
 )
 def centroid_distance(t: Tables):
@@ -554,7 +557,7 @@ def centroid_distance(t: Tables):
 
 @Q.add(
     "club_cosine",
-    UNI_SQL + """SELECT a.source, a.club, b.club AS other, round(sum(a.score * b.score), 6) AS cosine
+    UNI_SQL + """SELECT a.source, a.club, b.club AS other, round(sum(a.score * b.score), 8) AS cosine
 FROM scores_t a JOIN scores_t b ON a.source = b.source AND a.term = b.term AND a.club < b.club GROUP BY 1, 2, 3""",
 )
 def club_cosine(t: Tables):
@@ -573,9 +576,9 @@ h AS (SELECT club, quantile_cont(sentiment, 0.25) AS q1, quantile_cont(sentiment
   quantile_cont(sentiment, 0.75) AS q3, count(*) AS n FROM metrics GROUP BY 1),
 j AS (SELECT h.*, sentiment AS x, sentiment BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS near
   FROM metrics JOIN h USING (club))
-SELECT club, any_value(n) AS n, round(min(x) FILTER (WHERE near), 6) AS whisker_low, round(any_value(q1), 6) AS q1,
-  round(any_value(median), 6) AS median, round(any_value(q3), 6) AS q3,
-  round(max(x) FILTER (WHERE near), 6) AS whisker_high, count(*) FILTER (WHERE NOT near) AS outliers FROM j GROUP BY 1""",
+SELECT club, any_value(n) AS n, round(min(x) FILTER (WHERE near), 8) AS whisker_low, round(any_value(q1), 8) AS q1,
+  round(any_value(median), 8) AS median, round(any_value(q3), 8) AS q3,
+  round(max(x) FILTER (WHERE near), 8) AS whisker_high, count(*) FILTER (WHERE NOT near) AS outliers FROM j GROUP BY 1""",
 )
 def sentiment_box(t: Tables):
     scores = C.doc_sentiment(t.docs, ["doc_id", "club"], t.lexicon, **rules(t))
@@ -584,7 +587,7 @@ def sentiment_box(t: Tables):
 
 @Q.add(
     "sentiment_variance",
-    sql("SELECT source, count(*) AS n, round(avg(sentiment), 6) AS mean, round(var_samp(sentiment), 6) AS variance"
+    sql("SELECT source, count(*) AS n, round(avg(sentiment), 8) AS mean, round(var_samp(sentiment), 8) AS variance"
         " FROM metrics GROUP BY 1", "metrics"),
 )
 def sentiment_variance(t: Tables):

@@ -23,17 +23,17 @@ TERM = 10
 # Orders as proceeding records: JSON texts with dates among values, keys and prose.
 PROCEEDINGS = """
 SELECT o_orderkey AS num,
-  '{"num": ' || CAST(o_orderkey AS STRING) || ', "1999-01-01": 1, "note": "seen 1998-02-02 at noon", "day": "'
+  '{{"num": ' || CAST(o_orderkey AS STRING) || ', "1999-01-01": 1, "note": "seen 1998-02-02 at noon", "day": "'
     || CAST(CAST(o_orderdate AS DATE) AS STRING) || '", "days": ["'
     || CAST(CAST(CAST(o_orderdate AS DATE) + INTERVAL 7 DAY AS DATE) AS STRING) || '", ["'
-    || CAST(CAST(o_orderdate AS DATE) AS STRING) || '"]]}' AS json
+    || CAST(CAST(o_orderdate AS DATE) AS STRING) || '"]]}}' AS json
 FROM {orders}
 """
 DETAILS = """
 SELECT o_orderkey AS num,
-  CASE WHEN o_orderkey % 2 = 0 THEN '{"title": "' || o_orderpriority || '"}'
-       ELSE '{"sittings": [{"at": "' || CAST(CAST(CAST(o_orderdate AS DATE) + INTERVAL 1 DAY AS DATE) AS STRING)
-            || '"}]}' END AS json
+  CASE WHEN o_orderkey % 2 = 0 THEN '{{"title": "' || o_orderpriority || '"}}'
+       ELSE '{{"sittings": [{{"at": "' || CAST(CAST(CAST(o_orderdate AS DATE) + INTERVAL 1 DAY AS DATE) AS STRING)
+            || '"}}]}}' END AS json
 FROM {orders} WHERE o_orderkey % 5 <> 0
 """
 _DAY = "CAST(o_orderdate AS DATE)"
@@ -472,7 +472,7 @@ def src_csv(t: Tables):
     return R.read_csv(t.spark, path, CUSTOMER)
 
 
-@Q.add("src_tsv_lexicon", sql("SELECT token, round(val, 6) AS val FROM lex", "lex"))
+@Q.add("src_tsv_lexicon", sql("SELECT token, round(val, 8) AS val FROM lex", "lex"))
 def src_tsv_lexicon(t: Tables):
     blank = F.lit("x")
     entries = t.lexicon_entries.select(
@@ -495,7 +495,7 @@ def page_files(t: Tables, name: str):
 @Q.add("src_html_tree", f"SELECT CAST(page_id AS INT) AS num, {TEXT_SQL} AS text FROM pages")
 def src_html_tree(t: Tables):
     files = page_files(t, "html")
-    return files.select("num", F.regexp_replace(M.html_text(F.col("html")), "\n$", "").alias("text"))
+    return files.select("num", F.regexp_replace(M.html_text(F.col("html")), r"\n\z", "").alias("text"))
 
 
 @Q.add(
@@ -515,7 +515,7 @@ def src_pair_details_body(t: Tables):
         "num",
         "title",
         F.size(R.author_list(F.col("from"))).alias("n_authors"),
-        F.length(F.regexp_replace("html", "\n$", "")).alias("size"),
+        F.length(F.regexp_replace("html", r"\n\z", "")).alias("size"),
     )
 
 

@@ -28,7 +28,7 @@ class Registry(dict):
         return file
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 8) -> DataFrame:
     """Doubles rounded for comparison; dates as text."""
     out = []
     for name, kind in df.dtypes:

@@ -19,7 +19,7 @@ STYLE = sql("", "style").rstrip()
 
 @Q.add(
     "report_top_terms",
-    f'{C.UNI_SQL} SELECT "group", term, round(score, 6) AS score, rank, source FROM ranked WHERE rank <= 10',
+    f'{C.UNI_SQL} SELECT "group", term, round(score, 8) AS score, rank, source FROM ranked WHERE rank <= 10',
 )
 def report_top_terms(t: Tables):
     return rounded(J.first_rows(C.top_terms(t), ["source", "group"], "score", "term", 10))
@@ -27,7 +27,7 @@ def report_top_terms(t: Tables):
 
 @Q.add(
     "report_top_ngrams",
-    f'{C.GRAM_SQL} SELECT "group", term, ngram_len, round(score, 6) AS score, rank, source FROM ranked WHERE rank <= 6',
+    f'{C.GRAM_SQL} SELECT "group", term, ngram_len, round(score, 8) AS score, rank, source FROM ranked WHERE rank <= 6',
 )
 def report_top_ngrams(t: Tables):
     return rounded(J.first_rows(C.top_ngrams(t), ["source", "group"], "score", "term", 6))
@@ -52,8 +52,8 @@ def fog_gap(t: Tables):
 
 @Q.add(
     "dumbbell_long",
-    f"{C.DUMBBELL_SQL} SELECT club, 'Interpelacje' AS source, round({WRITTEN}, 6) AS sent, round(delta, 6) AS delta FROM wide"
-    f" UNION ALL SELECT club, 'Stenogramy', round({SPOKEN}, 6), round(delta, 6) FROM wide",
+    f"{C.DUMBBELL_SQL} SELECT club, 'Interpelacje' AS source, round({WRITTEN}, 8) AS sent, round(delta, 8) AS delta FROM wide"
+    f" UNION ALL SELECT club, 'Stenogramy', round({SPOKEN}, 8), round(delta, 8) FROM wide",
 )
 def dumbbell_long(t: Tables):
     return rounded(J.longer(C.dumbbell(t), ["club", "delta"], CHANNEL_LABELS, "source", "sent"))
@@ -62,7 +62,7 @@ def dumbbell_long(t: Tables):
 @Q.add(
     "sentiment_rank",
     STYLE + f""", m AS (SELECT club, median(sentiment_mean) AS m FROM style GROUP BY 1)
-SELECT club, {_RECODE} AS source, round(sentiment_mean, 6) AS sentiment_mean, ord FROM style
+SELECT club, {_RECODE} AS source, round(sentiment_mean, 8) AS sentiment_mean, ord FROM style
 JOIN (SELECT club, row_number() OVER (ORDER BY m, club) AS ord FROM m) USING (club)""",
 )
 def sentiment_rank(t: Tables):
@@ -78,7 +78,7 @@ def fog_pivot(t: Tables):
 
 @Q.add(
     "fog_rank",
-    sql(f"SELECT club, {_RECODE} AS source, round(fog_median, 6) AS fog_median,"
+    sql(f"SELECT club, {_RECODE} AS source, round(fog_median, 8) AS fog_median,"
         " row_number() OVER (PARTITION BY source ORDER BY fog_median, club) AS position FROM style", "style"),
 )
 def fog_rank(t: Tables):
@@ -89,8 +89,8 @@ def fog_rank(t: Tables):
 
 @Q.add(
     "fog_vs_sentiment",
-    sql("SELECT club, source, round(fog_mean, 6) AS fog_mean, round(sentiment_mean, 6) AS sentiment_mean,"
-        " round(corr(fog_mean, sentiment_mean) OVER (), 6) AS r FROM style", "style"),
+    sql("SELECT club, source, round(fog_mean, 8) AS fog_mean, round(sentiment_mean, 8) AS sentiment_mean,"
+        " round(corr(fog_mean, sentiment_mean) OVER (), 8) AS r FROM style", "style"),
 )
 def fog_vs_sentiment(t: Tables):
     """Pairs of means with their overall correlation (a window over one row per group)."""
@@ -140,14 +140,14 @@ def labels(t: Tables):
     return topic_labels(topics(t))
 
 
-@Q.add("topic_order", f"{TOPICS_SQL} SELECT source, topic, round(mean_prop, 6) AS mean_prop, topic_ord FROM ord")
+@Q.add("topic_order", f"{TOPICS_SQL} SELECT source, topic, round(mean_prop, 8) AS mean_prop, topic_ord FROM ord")
 def topic_order(t: Tables):
     return rounded(J.topic_order(mix(t)))
 
 
 @Q.add(
     "topic_mix_labelled",
-    f"""{TOPICS_SQL} SELECT source, topic, club, round(proportion, 6) AS proportion, label, round(mean_prop, 6) AS mean_prop,
+    f"""{TOPICS_SQL} SELECT source, topic, club, round(proportion, 8) AS proportion, label, round(mean_prop, 8) AS mean_prop,
   topic_ord, CAST(topic AS VARCHAR) || ': ' || CASE WHEN length(label) > 35 THEN left(label, 32) || '...' ELSE label END AS topic_lab
 FROM mix LEFT JOIN labels USING (source, topic) LEFT JOIN ord USING (source, topic)""",
 )
@@ -157,7 +157,7 @@ def topic_mix_labelled(t: Tables):
 
 @Q.add(
     "topic_terms",
-    f"""{TOPICS_SQL} SELECT source, topic, term, round(weight, 6) AS weight, rank, label FROM (SELECT *,
+    f"""{TOPICS_SQL} SELECT source, topic, term, round(weight, 8) AS weight, rank, label FROM (SELECT *,
   rank() OVER (PARTITION BY source, topic ORDER BY weight DESC) AS r FROM topics) LEFT JOIN labels USING (source, topic) WHERE r <= 6""",
 )
 def topic_terms(t: Tables):
@@ -179,7 +179,7 @@ def log_odds_top(t: Tables):
 
 
 _LONG = " UNION ALL ".join(
-    f"SELECT club, {_RECODE} AS source, '{n.title()}' AS name, round({n} * 10000.0 / nullif(words, 0), 6) AS per10k FROM names_t"
+    f"SELECT club, {_RECODE} AS source, '{n.title()}' AS name, round({n} * 10000.0 / nullif(words, 0), 8) AS per10k FROM names_t"
     for n in NEEDLES
 )
 

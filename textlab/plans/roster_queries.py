@@ -33,7 +33,7 @@ def _overrides(t: Tables):
 
 @Q.add(
     "apply_overrides",
-    """SELECT c_custkey, c_name, c_nationkey, round(coalesce(v, c_acctbal), 6) AS c_acctbal,
+    """SELECT c_custkey, c_name, c_nationkey, round(coalesce(v, c_acctbal), 8) AS c_acctbal,
   coalesce(p, c_mktsegment) AS c_mktsegment FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderpriority) AS p,
   max(o_totalprice) AS v FROM orders WHERE o_orderkey % 10 = 0 GROUP BY 1) ON o_custkey = c_custkey""",
 )
@@ -296,7 +296,7 @@ _CLUB_ORD = "CAST(nullif(list_position([" + quoted(CLUBS) + "], klub), 0) AS INT
 
 @Q.add(
     "seat_share",
-    sql(f"SELECT klub, seats, {_CLUB_ORD} AS ord, round(seats / 460.0::DOUBLE, 6) AS pct,"
+    sql(f"SELECT klub, seats, {_CLUB_ORD} AS ord, round(seats / 460.0::DOUBLE, 8) AS pct,"
         f" {pct_sql('seats / 460.0::DOUBLE')} AS pct_lab FROM (SELECT klub, count(*) AS seats FROM amp"
         " WHERE klub IS NOT NULL GROUP BY 1)", "amp"),
 )
@@ -392,7 +392,7 @@ def sex_share(t: Tables):
 
 @Q.add(
     "sex_seats",
-    sql(f"SELECT party, seats, CASE party WHEN 'Mężczyźni' THEN 1 ELSE 2 END AS ord, round(seats / 460.0::DOUBLE, 6) AS pct,"
+    sql(f"SELECT party, seats, CASE party WHEN 'Mężczyźni' THEN 1 ELSE 2 END AS ord, round(seats / 460.0::DOUBLE, 8) AS pct,"
         f" {pct_sql('seats / 460.0::DOUBLE')} AS pct_lab FROM (SELECT {_SEX} AS party, count(*) AS seats FROM amp"
         f" WHERE {_SEX} IS NOT NULL GROUP BY 1)", "amp"),
 )
@@ -402,7 +402,7 @@ def sex_seats(t: Tables):
 
 @Q.add(
     "women_share",
-    sql(f"""SELECT klub, plec, n, CAST(total AS BIGINT) AS total, round(n / total, 6) AS prop, round(women, 6) AS women_share,
+    sql(f"""SELECT klub, plec, n, CAST(total AS BIGINT) AS total, round(n / total, 8) AS prop, round(women, 8) AS women_share,
   {pct_sql('n / total')} AS pct_lab, klub || '  (n=' || CAST(CAST(total AS BIGINT) AS VARCHAR) || ')' AS label,
   dense_rank() OVER (ORDER BY women, klub) AS ord, women = 0 AS no_women FROM (
   SELECT *, coalesce(max(n / total) FILTER (WHERE plec = 'Kobiety') OVER (PARTITION BY klub), 0.0) AS women FROM (
@@ -427,7 +427,7 @@ _LEVELS = quoted(I.DEGREE_LEVELS)
 
 @Q.add(
     "degree_bins",
-    sql(f"SELECT kategoria, n, round(n / CAST(sum(n) OVER () AS DOUBLE), 6) AS p,"
+    sql(f"SELECT kategoria, n, round(n / CAST(sum(n) OVER () AS DOUBLE), 8) AS p,"
         f" CAST(8 - list_position([{_LEVELS}], kategoria) AS INT) AS ord FROM (SELECT {_LEVEL} AS kategoria, count(*) AS n"
         " FROM amp WHERE klub IS NOT NULL GROUP BY 1)", "amp"),
 )
@@ -445,7 +445,7 @@ grid AS (SELECT klub, kategoria, coalesce(n, 0) AS n, total, 100.0::DOUBLE * coa
 
 @Q.add(
     "degree_grid",
-    sql("", "amp").rstrip() + "," + _GRID + "SELECT klub, kategoria, n, total, round(pct, 6) AS pct,"
+    sql("", "amp").rstrip() + "," + _GRID + "SELECT klub, kategoria, n, total, round(pct, 8) AS pct,"
     " printf('%.0f', round_even(pct, 0)) || '%' AS label FROM grid",
 )
 def degree_grid(t: Tables):
@@ -461,7 +461,7 @@ _BY_LEVELS = ", ".join(f'"{x}" DESC' for x in I.DEGREE_LEVELS)
 @Q.add(
     "degree_pivot_order",
     sql("", "amp").rstrip() + "," + _GRID + "SELECT klub, "
-    + ", ".join(f'round("{x}", 6) AS "{x}"' for x in I.DEGREE_LEVELS)
+    + ", ".join(f'round("{x}", 8) AS "{x}"' for x in I.DEGREE_LEVELS)
     + f", row_number() OVER (ORDER BY {_BY_LEVELS}, klub) AS ord FROM (SELECT klub, {_WIDE} FROM grid GROUP BY 1) w",
 )
 def degree_pivot_order(t: Tables):
@@ -473,9 +473,9 @@ _N = '"liczbaStudiowPodyplomowych"'
 
 @Q.add(
     "postgrad_any",
-    sql(f"SELECT CASE WHEN some THEN 'Ma jakiekolwiek studia podyplomowe (≥1)' ELSE 'Brak studiów podyplomowych (0)' END"
-        " AS kategoria, liczba, round(liczba / CAST(sum(liczba) OVER () AS DOUBLE), 6) AS odsetek FROM"
-        f" (SELECT {_N} > 0 AS some, count(*) AS liczba FROM amp GROUP BY 1)", "amp"),
+    sql(f"SELECT CASE WHEN has THEN 'Ma jakiekolwiek studia podyplomowe (≥1)' ELSE 'Brak studiów podyplomowych (0)' END"
+        " AS kategoria, liczba, round(liczba / CAST(sum(liczba) OVER () AS DOUBLE), 8) AS odsetek FROM"
+        f" (SELECT {_N} > 0 AS has, count(*) AS liczba FROM amp GROUP BY 1)", "amp"),
 )
 def postgrad_any(t: Tables):
     return rounded(I.postgraduate_any(t.roster))
@@ -483,7 +483,7 @@ def postgrad_any(t: Tables):
 
 @Q.add(
     "postgrad_dist",
-    sql(f"""SELECT studia, liczba, round(p, 6) AS odsetek, CASE WHEN liczba = 0 THEN '' ELSE CAST(liczba AS VARCHAR) || ' ('
+    sql(f"""SELECT studia, liczba, round(p, 8) AS odsetek, CASE WHEN liczba = 0 THEN '' ELSE CAST(liczba AS VARCHAR) || ' ('
   || {pct_sql('p', 1)} || ')' END AS label FROM (SELECT studia, liczba, liczba / CAST(sum(liczba) OVER () AS DOUBLE) AS p FROM (
   SELECT CAST(range AS INT) AS studia, count({_N}) AS liczba FROM range(0, 7) LEFT JOIN amp ON {_N} = range GROUP BY 1))""", "amp"),
 )
@@ -498,7 +498,7 @@ g AS (SELECT klub, {_N} AS studia, count(*) AS c FROM amp WHERE klub IS NOT NULL
 f AS (SELECT klub, CAST(range AS INT) AS studia, coalesce(c, 0) AS liczba, coalesce(c, 0) / CAST(total AS DOUBLE) AS p
   FROM (SELECT klub, sum(c) AS total FROM g GROUP BY 1) CROSS JOIN range(0, 7)
   LEFT JOIN (SELECT klub, studia AS range, c FROM g) USING (klub, range))
-SELECT klub, studia, liczba, round(p, 6) AS odsetek, CAST(liczba AS VARCHAR) || ' (' || {pct_sql('p', 1)} || ')' AS label FROM f""",
+SELECT klub, studia, liczba, round(p, 8) AS odsetek, CAST(liczba AS VARCHAR) || ' (' || {pct_sql('p', 1)} || ')' AS label FROM f""",
 )
 def postgrad_heat(t: Tables):
     return rounded(I.postgraduate_heat(t.roster))
@@ -511,7 +511,7 @@ def _cell(a: str, b: str) -> str:
     both = f'"{a}" IS NULL OR "{b}" IS NULL'
     return (
         f"SELECT '{a}' AS var1, '{b}' AS var2, CASE WHEN count(*) FILTER (WHERE {both}) = 0"
-        f' THEN round(corr("{a}"::DOUBLE, "{b}"::DOUBLE), 6) END AS value FROM mp'
+        f' THEN round(corr("{a}"::DOUBLE, "{b}"::DOUBLE), 8) END AS value FROM mp'
     )
 
 
@@ -522,8 +522,8 @@ def corr_matrix(t: Tables):
 
 @Q.add(
     "linear_fit",
-    sql('SELECT CAST(regr_count(wiek, "ktoraKadencja") AS BIGINT) AS n, round(regr_slope(wiek, "ktoraKadencja"), 6) AS slope,'
-        ' round(regr_intercept(wiek, "ktoraKadencja"), 6) AS intercept, round(regr_r2(wiek, "ktoraKadencja"), 6) AS r2 FROM mp', "mp"),
+    sql('SELECT CAST(regr_count(wiek, "ktoraKadencja") AS BIGINT) AS n, round(regr_slope(wiek, "ktoraKadencja"), 8) AS slope,'
+        ' round(regr_intercept(wiek, "ktoraKadencja"), 8) AS intercept, round(regr_r2(wiek, "ktoraKadencja"), 8) AS r2 FROM mp', "mp"),
 )
 def linear_fit(t: Tables):
     return rounded(S.linear_fit(t.roster, "wiek", "ktoraKadencja"))
@@ -540,8 +540,8 @@ def linear_fit_p(t: Tables):
   quantile_cont(l_extendedprice, 0.75) AS q3, count(*) AS n FROM lineitem GROUP BY 1),
 j AS (SELECT h.*, l_extendedprice AS x, l_extendedprice BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS near
   FROM lineitem JOIN h USING (l_returnflag))
-SELECT l_returnflag, any_value(n) AS n, round(min(x) FILTER (WHERE near), 6) AS whisker_low, round(any_value(q1), 6) AS q1,
-  round(any_value(median), 6) AS median, round(any_value(q3), 6) AS q3, round(max(x) FILTER (WHERE near), 6) AS whisker_high,
+SELECT l_returnflag, any_value(n) AS n, round(min(x) FILTER (WHERE near), 8) AS whisker_low, round(any_value(q1), 8) AS q1,
+  round(any_value(median), 8) AS median, round(any_value(q3), 8) AS q3, round(max(x) FILTER (WHERE near), 8) AS whisker_high,
   count(*) FILTER (WHERE NOT near) AS outliers FROM j GROUP BY 1""",
 )
 def box_stats(t: Tables):
@@ -563,7 +563,7 @@ def distinct_default(t: Tables):
 
 @Q.add(
     "recipient_heat",
-    "SELECT c_mktsegment, o_orderpriority, n, round(n / CAST(sum(n) OVER (PARTITION BY c_mktsegment) AS DOUBLE), 6) AS share"
+    "SELECT c_mktsegment, o_orderpriority, n, round(n / CAST(sum(n) OVER (PARTITION BY c_mktsegment) AS DOUBLE), 8) AS share"
     " FROM (SELECT c_mktsegment, o_orderpriority, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2)",
 )
 def recipient_heat(t: Tables):
