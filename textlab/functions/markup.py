@@ -76,10 +76,11 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def decode_entities(text: Column) -> Column:
     """Named and numeric character references, decoded once (``&amp;lt;`` gives ``&lt;``)."""
-    names = F.create_map(
-        *[F.lit(x) for name, code in name2codepoint.items() for x in (name, chr(code))],
-        F.lit("apos"),
-        F.lit("'"),
+    listed = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'"}
+    names = F.str_to_map(
+        F.lit("\x01".join(f"{name}\x02{char}" for name, char in listed.items())),
+        F.lit("\x01"),
+        F.lit("\x02"),
     )
 
     def by_code(ref: Column) -> Column:

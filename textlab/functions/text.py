@@ -144,10 +144,19 @@ def filtered_tokens(text: Column, stopwords, letters: str = LETTERS) -> Column:
 def fold_token(token: Column, suffixes=FOLD_SUFFIXES) -> Column:
     """Strip one inflectional ending that leaves at least three characters.
 
-    The shortest stem wins, which is the longest listed ending; no ending in the list
-    comes before a longer one that contains it.
+    The longest listed ending is taken; in the default list that is also the first, since
+    none comes before a longer one that contains it. Endings of one length are compared
+    in a single set test.
     """
-    return F.regexp_replace(token, f"^(.{{3,}}?)({'|'.join(suffixes)})$", "$1")
+    out = F.when(F.lit(False), token)
+    for n in sorted({len(s) for s in suffixes}, reverse=True):
+        ending = F.substring(token, -n, n)
+        listed = [s for s in suffixes if len(s) == n]
+        out = out.when(
+            (F.length(token) >= n + 3) & ending.isin(listed),
+            F.substr(token, F.lit(1), F.length(token) - n),
+        )
+    return out.otherwise(token)
 
 
 def syllables(word: Column, vowels: str = VOWELS) -> Column:

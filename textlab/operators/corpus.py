@@ -14,7 +14,7 @@ from textlab.functions.text import (
 )
 from textlab.functions.values import safe_int, to_bool
 from textlab.functions.words import LETTERS
-from textlab.operators.joins import lookup_join
+from textlab.operators.joins import by_key, lookup_join
 
 CORPUS_COLUMNS = ["doc_id", "source", "mp_id", "club", "date", "weight", "text"]
 FOG_COLUMNS = ["fog_index", "avg_sentence_len", "word_count", "sentence_count"]
@@ -123,7 +123,7 @@ def doc_tokens(
 def ordered_tokens(docs: DataFrame, keys: list[str], by: list[str], **rules) -> DataFrame:
     """``doc_tokens`` partitioned by text for windows over ``by``: texts are moved, which
     are smaller than their token rows, and the windows need no shuffle of their own."""
-    return doc_tokens(docs.repartition(*by), keys, **rules)
+    return doc_tokens(by_key(docs, *by), keys, **rules)
 
 
 def doc_metrics(

@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # A lookup of this many short rows is tens of megabytes in memory.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 300_000
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Count at most ``max_rows + 1`` rows to see whether a table may be broadcast."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def small_copy(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame | None:
+    """The table as a local relation if it has at most ``max_rows`` rows, else None.
+
+    A broadcast passes through the driver anyway; reading one row beyond the bound tells
+    whether it may, and the rows read are then not computed a second time.
+    """
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
+        return None
+    return df.sparkSession.createDataFrame(rows, df.schema)
 
 
 def lookup_join(
@@ -27,13 +34,33 @@ def lookup_join(
     the hot keys of ``left`` spread over ``salts`` copies of each lookup row; every row
     still meets every lookup row of its key.
     """
-    if is_small(right, max_rows):
-        return left.join(F.broadcast(right), on, how)
+    small = small_copy(right, max_rows)
+    if small is not None:
+        return left.join(F.broadcast(small), on, how)
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows handed to all cores by key where the input has fewer splits than cores.
+
+    Text functions are CPU-bound and a small file is one split. A large input has splits
+    enough and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a key in one partition; at least one partition per core for a small input,
+    as many as the session and AQE choose for a large one."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, *keys)
+    return df.repartition(*keys)
+
+
 def top_k(
     df: DataFrame,
     partition: list[str],

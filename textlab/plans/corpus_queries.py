@@ -8,6 +8,7 @@ from textlab.functions import text as X
 from textlab.functions.values import first_truthy, safe_int
 from textlab.operators import corpus as C, extras as K, metrics as G, report as J, terms as T
 from textlab.operators import topics as L
+from textlab.operators.joins import by_key
 from textlab.operators.names import name_variants
 from textlab.operators.stats import box_stats
 from textlab.plans.oracle import (
@@ -523,7 +524,7 @@ w AS (SELECT doc_id, pos, token, concat_ws(' ', lag(token, 3) OVER o, lag(token,
 SELECT doc_id, pos, "left", token AS keyword, "right" FROM w WHERE token = 'tion'""",
 )
 def kwic(t: Tables):
-    words_ = t.raw_docs.repartition("doc_id").select(
+    words_ = by_key(t.raw_docs, "doc_id").select(
         "doc_id", F.posexplode(X.raw_tokens(F.col("text"))).alias("pos", "token")
     )
     return C.kwic(words_, ["doc_id"], "tion", 3)

@@ -9,6 +9,7 @@ from textlab.functions.text import collapse_ws
 from textlab.functions.values import extract_dates
 from textlab.operators import landing as B
 from textlab.operators.corpus import lexicon
+from textlab.operators.joins import spread
 from textlab.operators.rows import with_row_id
 from textlab.plans.oracle import sql
 from textlab.plans.registry import Registry, rounded
@@ -318,7 +319,7 @@ def incremental_antijoin(t: Tables):
 # --- pages ------------------------------------------------------------------------------
 
 def pages(t: Tables):
-    return t.spread(t.pages, "page_id")
+    return spread(t.pages, "page_id")
 
 
 TEXT_SQL = (
@@ -344,7 +345,7 @@ def strip_stage(t: Tables):
         F.lit("(Głosy, OKLASKI "), "source", F.lit(") "), "text", F.lit(" ("), "source",
         F.lit(")"), F.lit("(dzwonek)"),
     )
-    return t.spread(t.documents, "doc_id").select("doc_id", M.strip_stage(framed).alias("text"))
+    return spread(t.documents, "doc_id").select("doc_id", M.strip_stage(framed).alias("text"))
 
 
 @Q.add(
@@ -353,7 +354,7 @@ def strip_stage(t: Tables):
 )
 def strip_brackets(t: Tables):
     framed = F.concat("lang", F.lit(" ["), "source", F.lit("] "), "text", F.lit(" []"))
-    return t.spread(t.documents, "doc_id").select("doc_id", M.strip_brackets(framed).alias("text"))
+    return spread(t.documents, "doc_id").select("doc_id", M.strip_brackets(framed).alias("text"))
 
 
 STARTS, PHRASES = ("the ", "de ", "und"), ("tion the", "er de")
@@ -368,7 +369,7 @@ KEPT_SQL = (
     f"SELECT doc_id, len({KEPT_SQL}) AS lines, array_to_string({KEPT_SQL}, '|') AS kept FROM documents",
 )
 def drop_procedural(t: Tables):
-    kept = t.spread(t.documents, "doc_id").select(
+    kept = spread(t.documents, "doc_id").select(
         "doc_id", M.kept_lines(F.col("text"), starts=STARTS, phrases=PHRASES).alias("k")
     )
     return kept.select("doc_id", F.size("k").alias("lines"), F.array_join("k", "|").alias("kept"))
@@ -397,7 +398,7 @@ def blocked_pages(t: Tables):
     "SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM documents",
 )
 def collapse(t: Tables):
-    return t.spread(t.documents, "doc_id").select("doc_id", collapse_ws(F.col("text")).alias("text"))
+    return spread(t.documents, "doc_id").select("doc_id", collapse_ws(F.col("text")).alias("text"))
 
 
 def _tag_sql(tag: str) -> str:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from textlab.functions.text import raw_tokens
 from textlab.functions.words import DOMAIN_STOPWORDS
 from textlab.operators.corpus import lexicon
+from textlab.operators.joins import spread
 from textlab.operators.names import name_variants
 from textlab.operators.roster import clean_roster, load_roster
 
@@ -89,19 +90,10 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def spread(self, df: DataFrame, key: str) -> DataFrame:
-        """Texts handed to all cores by key where the input has fewer splits than cores.
-
-        Text functions are CPU-bound and a small file is one split. A large input has
-        splits enough and is left alone.
-        """
-        cores = self.spark.sparkContext.defaultParallelism
-        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
-
     @cached_property
     def docs(self) -> DataFrame:
         """Corpus rows: club, source (channel), weight and text."""
-        return self.spread(self.raw_docs, "doc_id")
+        return spread(self.raw_docs, "doc_id")
 
     @cached_property
     def raw_docs(self) -> DataFrame:
