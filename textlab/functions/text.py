@@ -15,8 +15,9 @@ from textlab.functions.words import (
     VOWELS,
 )
 
-# Whitespace as Python's str.strip sees it (Java's \s alone is ASCII).
-SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+# Whitespace of any script (Java's \s alone is ASCII), as a class and as characters.
+SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 # Blocks whose letters have accent or compatibility forms.
 _FOLD_RANGES = (
@@ -85,7 +86,7 @@ def letter_classes(letters: str = LETTERS, vowels: str = VOWELS) -> tuple[str, s
 
 
 def strip_space(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def collapse_ws(text: Column) -> Column:
@@ -119,13 +120,19 @@ def slugify(text: Column, max_len: int = 80) -> Column:
     )
 
 
+def words(text: Column, letters: str = LETTERS) -> Column:
+    """Runs of letters, as written."""
+    return F.regexp_extract_all(text, F.lit(f"{letter_classes(letters)[0]}+"), 0)
+
+
 def raw_tokens(text: Column, letters: str = LETTERS) -> Column:
-    """Lower-cased runs of letters, unfiltered."""
-    return F.regexp_extract_all(F.lower(text), F.lit(f"{letter_classes(letters)[0]}+"), 0)
+    """Lower-cased runs of letters, unfiltered. After an explode, ``words`` and a
+    lower-casing of each row do the same inside generated code."""
+    return F.transform(words(text, letters), F.lower)
 
 
 def word_count(text: Column, letters: str = LETTERS) -> Column:
-    return F.regexp_count(text, F.lit(f"{letter_classes(letters)[0]}+"))
+    return F.size(words(text, letters))
 
 
 def stopword_list(base=BASE_STOPWORDS, domain=DOMAIN_STOPWORDS) -> list[str]:
@@ -166,7 +173,7 @@ def syllables(word: Column, vowels: str = VOWELS) -> Column:
 def sentence_count(text: Column) -> Column:
     """Non-blank pieces between runs of . ! ? … or backslash."""
     ends = r"\\.!?…"
-    return F.regexp_count(text, F.lit(rf"[^{ends}\s\x1c-\x1f\x85\p{{Z}}][^{ends}]*"))
+    return F.regexp_count(text, F.lit(rf"[^{ends}{SPACE[1:-1]}][^{ends}]*+"))
 
 
 def complex_word_count(text: Column, letters: str = LETTERS, vowels: str = VOWELS) -> Column:
@@ -181,30 +188,34 @@ def fog_index(words: Column, sentences: Column, complex_words: Column) -> Column
     return F.when((words > 0) & (sentences > 0), index).otherwise(0.0)
 
 
-def with_fog(df: DataFrame, column: str = "text", letters: str = LETTERS) -> DataFrame:
-    """Adds fog_index, avg_sentence_len, word_count and sentence_count; zeros for no words.
+FOG_COLUMNS = ["fog_index", "avg_sentence_len", "word_count", "sentence_count"]
+
+
+def with_fog(df: DataFrame, column: str = "text", letters: str = LETTERS, words_as: str = "_list") -> DataFrame:
+    """Adds the FOG columns, and the words under ``words_as``; zeros for no words.
 
-    The counts are columns of their own, so each pattern runs over the text once.
+    Words and counts are columns of their own, so each pattern runs over the text once.
     """
     text = F.col(column)
-    some = (F.col("_words") > 0) & (F.col("_sentences") > 0)
+    n, sentences = F.size(words_as), F.col("_sentences")
+    some = (n > 0) & (sentences > 0)
     return (
         df.withColumns(
             {
-                "_words": word_count(text, letters),
+                words_as: words(text, letters),
                 "_sentences": sentence_count(text),
                 "_complex": complex_word_count(text, letters),
             }
         )
         .withColumns(
             {
-                "fog_index": fog_index(F.col("_words"), F.col("_sentences"), F.col("_complex")),
-                "avg_sentence_len": F.when(some, F.col("_words") / F.col("_sentences")).otherwise(0.0),
-                "word_count": F.when(some, F.col("_words")).otherwise(0),
-                "sentence_count": F.when(some, F.col("_sentences")).otherwise(0),
+                "fog_index": fog_index(n, sentences, F.col("_complex")),
+                "avg_sentence_len": F.when(some, n / sentences).otherwise(0.0),
+                "word_count": F.when(some, n).otherwise(0),
+                "sentence_count": F.when(some, sentences).otherwise(0),
             }
         )
-        .drop("_words", "_sentences", "_complex")
+        .drop("_sentences", "_complex")
     )
 
 

@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textlab.functions.text import (
+    FOG_COLUMNS,
     ascii_fold,
     fold_token,
     keep_token,
-    raw_tokens,
     stopword_list,
     with_fog,
+    words,
 )
 from textlab.functions.values import safe_int, to_bool
 from textlab.functions.words import LETTERS
 from textlab.operators.joins import by_key, lookup_join
 
 CORPUS_COLUMNS = ["doc_id", "source", "mp_id", "club", "date", "weight", "text"]
-FOG_COLUMNS = ["fog_index", "avg_sentence_len", "word_count", "sentence_count"]
 
 
 def member_clubs(members: DataFrame) -> DataFrame:
@@ -114,8 +114,9 @@ def doc_tokens(
     letters: str = LETTERS,
 ) -> DataFrame:
     """(keys, pos, token, lemma): filtered tokens in text order, one row each."""
-    exploded = docs.select(*keys, F.posexplode(raw_tokens(F.col("text"), letters)).alias("pos", "token"))
-    return vocabulary_filter(exploded, stopwords, names).withColumn(
+    exploded = docs.select(*keys, F.posexplode(words(F.col("text"), letters)).alias("pos", "_w"))
+    tokens = exploded.select(*keys, "pos", F.lower("_w").alias("token"))
+    return vocabulary_filter(tokens, stopwords, names).withColumn(
         "lemma", fold_token(F.col("token"))
     )
 
@@ -142,9 +143,9 @@ def doc_metrics(
     map side, so one row per document is shuffled.
     """
     scored = vocabulary_filter(lexicon_words, stopwords, names)
-    tokens = with_fog(docs.select(*keys, "text"), "text", letters).select(
-        *keys, *FOG_COLUMNS, F.explode_outer(raw_tokens(F.col("text"), letters)).alias("token")
-    )
+    listed = with_fog(docs.select(*keys, "text"), "text", letters, words_as="_list")
+    exploded = listed.select(*keys, *FOG_COLUMNS, F.explode_outer("_list").alias("_w"))
+    tokens = exploded.select(*keys, *FOG_COLUMNS, F.lower("_w").alias("token"))
     return (
         lookup_join(tokens, scored, ["token"], "left")
         .groupBy(*keys, *FOG_COLUMNS)
@@ -161,7 +162,8 @@ def doc_sentiment(
     letters: str = LETTERS,
 ) -> DataFrame:
     scored = vocabulary_filter(lexicon_words, stopwords, names)
-    tokens = docs.select(*keys, F.explode_outer(raw_tokens(F.col("text"), letters)).alias("token"))
+    exploded = docs.select(*keys, F.explode_outer(words(F.col("text"), letters)).alias("_w"))
+    tokens = exploded.select(*keys, F.lower("_w").alias("token"))
     return (
         lookup_join(tokens, scored, ["token"], "left")
         .groupBy(*keys)

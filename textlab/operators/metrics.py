@@ -55,8 +55,10 @@ def style_quantiles(metrics: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def style_metrics(metrics: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per (group, channel), twelve measures. Both branches start from the same
-    per-document exchange, which Spark computes once."""
+    """One row per (group, channel), eleven measures.
+
+    ``metrics`` is read by several branches: pass a written table, not the text plan.
+    """
     return style_means(metrics, keys).join(style_quantiles(metrics, keys), keys)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from textlab.functions.text import fold_token, raw_tokens
+from textlab.functions.text import fold_token, words
 from textlab.functions.words import LETTERS
 from textlab.operators.corpus import vocabulary_filter
 from textlab.operators.joins import lookup_join, top_k
@@ -20,12 +20,12 @@ def term_counts(
 ) -> DataFrame:
     """(keys, term, tf). Tokens are counted first and the token rules, the name join and
     the stemming run once per distinct word, not once per occurrence."""
-    words = (
-        docs.select(*keys, F.explode(raw_tokens(F.col("text"), letters)).alias("token"))
-        .groupBy(*keys, "token")
+    found = (
+        docs.select(*keys, F.explode(words(F.col("text"), letters)).alias("_w"))
+        .groupBy(*keys, F.lower("_w").alias("token"))
         .agg(F.count("*").alias("tf"))
     )
-    kept = vocabulary_filter(words, stopwords, names)
+    kept = vocabulary_filter(found, stopwords, names)
     if not folded:
         return kept.select(*keys, F.col("token").alias("term"), "tf")
     return kept.groupBy(*keys, fold_token(F.col("token")).alias("term")).agg(F.sum("tf").alias("tf"))

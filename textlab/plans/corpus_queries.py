@@ -23,6 +23,7 @@ from textlab.plans.oracle import (
 )
 from textlab.plans.registry import Registry, rounded
 from textlab.plans.tables import BLOCKS, NEEDLES, SPOKEN, STOPWORDS, WRITTEN, Tables
+from textlab.sources.sinks import materialise
 
 Q = Registry()
 GROUP = ["club", "source"]
@@ -97,8 +98,8 @@ def tokenize(t: Tables):
     sql(f"SELECT token, count(*) AS n FROM raw_tok WHERE token NOT IN ({STOP}) GROUP BY 1", "raw_tok"),
 )
 def stopword_filter(t: Tables):
-    tokens = t.docs.select(F.explode(X.raw_tokens(F.col("text"))).alias("token"))
-    counts = tokens.groupBy("token").agg(F.count("*").alias("n"))
+    tokens = t.docs.select(F.explode(X.words(F.col("text"))).alias("w"))
+    counts = tokens.groupBy(F.lower("w").alias("token")).agg(F.count("*").alias("n"))
     return counts.where(~F.col("token").isin(list(STOPWORDS)))
 
 
@@ -120,8 +121,8 @@ def fold_token(t: Tables):
         " FROM raw_tok", "raw_tok"),
 )
 def syllables(t: Tables):
-    tokens = t.docs.select(F.explode(X.raw_tokens(F.col("text"))).alias("token")).distinct()
-    return tokens.select("token", X.syllables(F.col("token")).alias("syllables"))
+    tokens = t.docs.select(F.explode(X.words(F.col("text"))).alias("w")).select(F.lower("w").alias("token"))
+    return tokens.distinct().select("token", X.syllables(F.col("token")).alias("syllables"))
 
 
 @Q.add(
@@ -130,7 +131,7 @@ def syllables(t: Tables):
         " word_count, sentence_count FROM metrics", "metrics"),
 )
 def fog(t: Tables):
-    return rounded(X.with_fog(t.docs.select("doc_id", "text")).drop("text"))
+    return rounded(X.with_fog(t.docs.select("doc_id", "text")).select("doc_id", *X.FOG_COLUMNS))
 
 
 @Q.add("mentions", sql(f"SELECT doc_id, {mention_sql('the')} AS n FROM docs", "docs"))
@@ -465,7 +466,8 @@ _STYLE = (
         + ", ".join(f"round({c}, 8) AS {c}" for c in _STYLE[1:]) + " FROM style", "style"),
 )
 def style_metrics(t: Tables):
-    return rounded(G.style_metrics(metrics(t), GROUP).select(*GROUP, *_STYLE))
+    per_doc = materialise(metrics(t), "docs-metrics")
+    return rounded(G.style_metrics(per_doc, GROUP).select(*GROUP, *_STYLE))
 
 
 def means(t: Tables):
@@ -583,7 +585,7 @@ SELECT club, any_value(n) AS n, round(min(x) FILTER (WHERE near), 8) AS whisker_
 )
 def sentiment_box(t: Tables):
     scores = C.doc_sentiment(t.docs, ["doc_id", "club"], t.lexicon, **rules(t))
-    return rounded(box_stats(scores, ["club"], "sentiment"))
+    return rounded(box_stats(materialise(scores, "sentiment"), ["club"], "sentiment"))
 
 
 @Q.add(

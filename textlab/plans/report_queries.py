@@ -82,7 +82,8 @@ def fog_pivot(t: Tables):
         " row_number() OVER (PARTITION BY source ORDER BY fog_median, club) AS position FROM style", "style"),
 )
 def fog_rank(t: Tables):
-    medians = C.G.style_quantiles(C.metrics(t), ["club", "source"]).select("club", "source", "fog_median")
+    per_doc = C.materialise(C.metrics(t), "docs-metrics")
+    medians = C.G.style_quantiles(per_doc, ["club", "source"]).select("club", "source", "fog_median")
     ranked = J.rank_within(medians, "source", "fog_median", "club", "position")
     return rounded(J.recode(ranked, "source", CHANNEL_LABELS))
 
