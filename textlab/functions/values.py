@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from textlab.functions.text import SPACE, collapse_ws, strip_space
+from textlab.functions.text import collapse_ws, strip_space
 
 # Texts read as true.
 TRUE_TEXTS = ("true", "1", "t", "yes", "y")
@@ -12,8 +12,9 @@ TRUE_TEXTS = ("true", "1", "t", "yes", "y")
 
 def safe_int(value: Column) -> Column:
     """Digits-only text as a number, anything else null."""
-    digits = F.regexp_extract(value.cast("string"), f"^{SPACE}*+([0-9]++){SPACE}*+$", 1)
-    return digits.try_cast("bigint")
+    text = strip_space(value.cast("string"))
+    # Tested before the cast: a failing cast raises and catches inside the JVM, row by row.
+    return F.when(text.rlike("^[0-9]+$"), text.try_cast("bigint"))
 
 
 def first_truthy(*values: Column) -> Column:

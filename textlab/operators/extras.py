@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textlab.operators.stats import share_of_total
+from textlab.operators.terms import with_term_hash
 
 
-def recipient_heat(df: DataFrame, group: str, recipient: str) -> DataFrame:
-    """Texts per (group, recipient) and their share in the group."""
-    n = df.groupBy(group, recipient).agg(F.count("*").alias("n"))
+def recipient_heat(df: DataFrame, group: str, recipient: str, texts: str | None = None) -> DataFrame:
+    """Texts per (group, recipient) and their share in the group; ``texts`` names a column
+    of partial counts."""
+    n = df.groupBy(group, recipient).agg((F.sum(texts) if texts else F.count("*")).alias("n"))
     return share_of_total(n, "n", "share", [group])
 
 
@@ -25,9 +27,9 @@ def centroid_distances(scores: DataFrame, channel: str, group: str) -> DataFrame
     ``scores``: (channel, group, term, score) with unit vectors. Long-form dot products: the
     mean of a term is a window over its groups, so no vector is ever built.
     """
-    per_term = Window.partitionBy(channel, "term")
+    per_term = Window.partitionBy("_hash", channel, "term")
     # The centroid's length cancels its 1/n, so sums over groups are enough.
-    terms = scores.withColumn("_c", F.sum("score").over(per_term))
+    terms = with_term_hash(scores, channel).withColumn("_c", F.sum("score").over(per_term))
     dots = terms.groupBy(channel, group).agg(F.sum(F.col("score") * F.col("_c")).alias("_dot"))
     # Sum of the dot products over groups is the squared length of the summed vector.
     norm = F.sqrt(F.sum("_dot").over(Window.partitionBy(channel)))

@@ -178,7 +178,8 @@ def not_landed(wanted: DataFrame, landed: DataFrame, keys: list[str], size: str
     """Resume: keys without a non-empty landed file, or all of them when forced."""
     if force:
         return wanted
-    done = landed.where(F.col(size) > 0).select(*keys)
+    # Distinct keys combine on the map side, so a key landed many times is one row here.
+    done = landed.where(F.col(size) > 0).select(*keys).distinct()
     return wanted.join(done, keys, "left_anti")
 
 

@@ -8,7 +8,7 @@ from textlab.functions import text as X
 from textlab.functions.values import first_truthy, safe_int
 from textlab.operators import corpus as C, extras as K, metrics as G, report as J, terms as T
 from textlab.operators import topics as L
-from textlab.operators.joins import by_key
+from textlab.operators.joins import by_key, spread
 from textlab.operators.names import name_variants
 from textlab.operators.stats import box_stats
 from textlab.plans.oracle import (
@@ -221,7 +221,7 @@ WHERE turn > 0 AND role <> 'system' AND n_nationkey <> 3
 
 def written(t: Tables):
     """Line items as co-authored texts: a supplier, a second number and a bad id as authors."""
-    details = t.lineitem.select(
+    details = spread(t.lineitem, "l_orderkey").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("num"),
         F.array(
             F.col("l_suppkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_returnflag")

@@ -115,17 +115,13 @@ def dim_mp(t: Tables):
 FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name, n_nationkey""",
 )
 def dim_club(t: Tables):
-    clubs = (
-        t.nation.join(t.customer, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-        .groupBy("n_name", "n_nationkey")
-        .agg(F.count_if(F.col("c_acctbal") > 9000).alias("membersCount"))
-        .select(
-            F.col("n_name").alias("id"),
-            F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("Club "), F.col("n_nationkey").cast("string")))
-            .otherwise("")
-            .alias("name"),
-            "membersCount",
-        )
+    sizes = t.customer.where("c_acctbal > 9000").groupBy("c_nationkey").agg(F.count("*").alias("n"))
+    clubs = t.nation.join(sizes, F.col("c_nationkey") == F.col("n_nationkey"), "left").select(
+        F.col("n_name").alias("id"),
+        F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("Club "), F.col("n_nationkey").cast("string")))
+        .otherwise("")
+        .alias("name"),
+        F.coalesce("n", F.lit(0)).cast("bigint").alias("membersCount"),
     )
     return B.dim_clubs(clubs)
 
@@ -217,7 +213,7 @@ def text_details(t: Tables):
         F.array(attachment).alias("attachments"),
     )
     own = F.struct(F.lit("K").alias("key"), F.array(attachment, attachment).alias("attachments"))
-    return t.lineitem.select(
+    return spread(t.lineitem, "l_orderkey").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("num"),
         F.array(F.col("l_suppkey").cast("string"), flag).alias("from"),
         F.array(reply, own).alias("replies"),
@@ -489,7 +485,7 @@ PAGE_PATH = r"/num=(\d+)/"
 def page_files(t: Tables, name: str):
     """One file per page, its number in the path."""
     path = folder(t, name)
-    t.pages.select(F.col("page_id").alias("num"), F.col("html").alias("value")).write.partitionBy("num").text(path)
+    pages(t).select(F.col("page_id").alias("num"), F.col("html").alias("value")).write.partitionBy("num").text(path)
     return R.read_pages(t.spark, path, {"num": PAGE_PATH})
 
 

@@ -104,11 +104,18 @@ def fog_vs_sentiment(t: Tables):
 # --- topic tables: relational stand-ins with the shape of the model output -----------------
 
 def topics(t: Tables):
-    """Topic = line number, channel = return flag, term = part name, weight = quantity."""
-    sold = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey"))
-    weights = sold.groupBy(
-        F.col("l_returnflag").alias("source"), F.col("l_linenumber").alias("topic"), F.col("p_name").alias("term")
-    ).agg(F.sum("l_quantity").alias("weight"))
+    """Topic = line number, channel = return flag, term = part name, weight = quantity.
+
+    Quantities are summed per part before the join, so a popular part is a few rows.
+    """
+    sums = t.lineitem.groupBy(
+        F.col("l_returnflag").alias("source"), F.col("l_linenumber").alias("topic"), "l_partkey"
+    ).agg(F.sum("l_quantity").alias("q"))
+    weights = (
+        sums.join(t.part, F.col("p_partkey") == F.col("l_partkey"))
+        .groupBy("source", "topic", F.col("p_name").alias("term"))
+        .agg(F.sum("q").alias("weight"))
+    )
     return rank_terms(weights)
 
 
