@@ -261,3 +261,29 @@ def test_proceeding_days_fall_back_to_the_list(spark):
     listed = spark.createDataFrame([(1, '{"d": "2024-01-01"}'), (2, '{"d": "2024-01-02"}')], "num int, json string")
     details = spark.createDataFrame([(1, '{"days": ["2024-05-05"]}'), (2, "{}")], "num int, json string")
     assert rows(B.proceeding_days(listed, details)) == [(1, "2024-05-05"), (2, "2024-01-02")]
+
+
+def test_roster_from_landed_members(spark):
+    landed = spark.createDataFrame(
+        [
+            ("Jan Kowalski", "PSL-TD", "1970-05-01", "Kraków", "rolnik", "wyższe", 13, "Kraków", "małopolskie", 10432,
+             False, "Zrzeczenie", "mandat posła do Parlamentu Europejskiego"),
+            ("Anna Nowak", "KO", "1990-02-02", None, None, "wyższe", 1, "Legnica", "dolnośląskie", 7, True, None, None),
+        ],
+        "firstLastName string, club string, birthDate string, birthLocation string, profession string,"
+        " educationLevel string, districtNum int, districtName string, voivodeship string, numberOfVotes int,"
+        " active boolean, inactiveCause string, waiverDesc string",
+    )
+    profiles = spark.createDataFrame(
+        [("Jan Kowalski", "Sejm RP VIII, IX kadencji", "AR - magister inżynier (1995), studia podyplomowe")],
+        "name string, staz_parlamentarny string, ukonczona_szkola string",
+    )
+    sexes = spark.createDataFrame([("Jan Kowalski", "M"), ("Anna Nowak", "K")], "imieNazwisko string, plec string")
+    raw = H.raw_roster(H.join_profiles(landed, profiles))
+    out = {r.imieNazwisko: r for r in H.published_roster(raw, sexes, "imieNazwisko").collect()}
+    jan, anna = out["Jan Kowalski"], out["Anna Nowak"]
+    assert (jan.klub, jan.wiek, jan.plec, jan.najwyzszyStopienNaukowy) == ("PSL", 55, "M", "magister inżynier")
+    assert (jan.liczbaStudiowPodyplomowych, jan.ktoraKadencja, jan.czyAktywny) == (1, 3, False)
+    assert jan.nieaktywnoscKategoria == "Mandat w Parlamencie Europejskim"
+    assert (anna.wiek, anna.ktoraKadencja, anna.czyAktywny, anna.nieaktywnoscKategoria) == (35, 1, True, None)
+    assert H.load_roster(H.published_roster(raw, sexes, "imieNazwisko")).schema["nrOkreguWyborczego"].dataType.simpleString() == "string"

@@ -105,11 +105,13 @@ def ascii_fold(text: Column) -> Column:
         single,
         lambda acc, p: F.replace(acc, F.substring(p, 1, 1), F.substr(p, F.lit(2))),
     )
-    # One cheap test clears plain Latin text before the longer class is tried.
+    # Cheap tests first: most tokens are ASCII, most texts have no compatibility letter.
     near = _ranges({c for c in multi if c <= "\u017f"})
     far = _ranges({c for c in multi if c > "\u017f"})
     has_multi = text.rlike(f"[{near}]") | (text.rlike("[^\\x00-\\u017f]") & text.rlike(f"[{far}]"))
-    return F.when(has_multi, expanded).otherwise(single)
+    return (
+        F.when(~text.rlike("[^\\x00-\\x7f]"), text).when(has_multi, expanded).otherwise(single)
+    )
 
 
 def slugify(text: Column, max_len: int = 80) -> Column:

@@ -125,6 +125,16 @@ def clean_roster(raw: DataFrame, reference_date: str = REFERENCE_DATE) -> DataFr
     )
 
 
+def raw_roster(members: DataFrame) -> DataFrame:
+    """Landed members, joined with their profiles, under the roster's column names."""
+    return reshape(members, ROSTER_NAMES)
+
+
+def published_roster(raw: DataFrame, sexes: DataFrame, key: str, reference_date: str = REFERENCE_DATE) -> DataFrame:
+    """The finished roster in its column order; ``sexes``: key, plec."""
+    return clean_roster(lookup_join(raw, sexes, [key], "left"), reference_date).select(*ROSTER_COLUMNS)
+
+
 def load_roster(df: DataFrame, artefacts: dict[str, str] | None = None) -> DataFrame:
     """Types of the published roster file and repair of a known text artefact."""
     # Fixed value: an education level written as a tuple.
