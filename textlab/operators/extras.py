@@ -39,7 +39,8 @@ def centroid_distances(scores: DataFrame, channel: str, group: str) -> DataFrame
 def pairwise_cosine(scores: DataFrame, channel: str, group: str) -> DataFrame:
     """Cosine of every two groups of a channel, by a join on term.
 
-    A term has at most one row per group, so a key never holds more than that.
+    A term of the bounded vocabulary has at most one row per group, so a key never holds
+    more than that. ``scores`` is read twice: pass a written table.
     """
     other = scores.select(channel, "term", F.col(group).alias("other"), F.col("score").alias("_s"))
     return (
@@ -51,7 +52,10 @@ def pairwise_cosine(scores: DataFrame, channel: str, group: str) -> DataFrame:
 
 
 def group_pca(scores: DataFrame, group: str, k: int = 2) -> DataFrame:
-    """2-D positions of groups from their cosine rows: one short vector per group."""
+    """2-D positions of groups from their cosine rows: one short vector per group.
+
+    ``scores`` is read three times: pass a written table.
+    """
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 

@@ -564,12 +564,14 @@ def centroid_distance(t: Tables):
 FROM scores_t a JOIN scores_t b ON a.source = b.source AND a.term = b.term AND a.club < b.club GROUP BY 1, 2, 3""",
 )
 def club_cosine(t: Tables):
-    return rounded(K.pairwise_cosine(unit_vectors(t), "source", "club"))
+    return rounded(K.pairwise_cosine(materialise(unit_vectors(t), "vectors"), "source", "club"))
 
 
 @Q.add("club_pca")
 def club_pca(t: Tables):
-    return K.group_pca(unit_vectors(t).where(F.col("source") == WRITTEN), "club")
+    """Positions of all (channel, club) vectors in one plane."""
+    vectors = unit_vectors(t).withColumn("channel_club", F.concat_ws("/", "source", "club"))
+    return K.group_pca(materialise(vectors, "vectors"), "channel_club")
 
 
 @Q.add(

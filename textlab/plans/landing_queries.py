@@ -35,7 +35,7 @@ SELECT o_orderkey AS num,
   CASE WHEN o_orderkey % 2 = 0 THEN '{{"title": "' || o_orderpriority || '"}}'
        ELSE '{{"sittings": [{{"at": "' || CAST(CAST(CAST(o_orderdate AS DATE) + INTERVAL 1 DAY AS DATE) AS STRING)
             || '"}}]}}' END AS json
-FROM {orders} WHERE o_orderkey % 5 <> 0
+FROM {orders} WHERE o_orderstatus <> 'P'
 """
 _DAY = "CAST(o_orderdate AS DATE)"
 
@@ -52,7 +52,7 @@ def dates(t: Tables):
 
 @Q.add(
     "proceeding_days",
-    f"SELECT o_orderkey AS num, strftime(unnest(CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 2 = 1 THEN"
+    f"SELECT o_orderkey AS num, strftime(unnest(CASE WHEN o_orderstatus <> 'P' AND o_orderkey % 2 = 1 THEN"
     f" [{_DAY} + INTERVAL 1 DAY] ELSE [{_DAY} + INTERVAL 0 DAY, {_DAY} + INTERVAL 7 DAY] END), '%Y-%m-%d') AS day FROM orders",
 )
 def proceeding_days(t: Tables):
@@ -76,7 +76,7 @@ def member_list(t: Tables):
 
 
 def member_details(t: Tables):
-    joined = t.customer.where("c_custkey % 7 <> 0").join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    joined = t.customer.where("c_acctbal >= 0").join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     return joined.select(
         F.col("c_custkey").alias("mp_id"),
         F.concat(F.col("c_name"), F.lit(" D")).alias("firstLastName"),
@@ -94,13 +94,13 @@ def member_details(t: Tables):
 @Q.add(
     "dim_mp",
     """SELECT c_custkey AS mp_id,
-  CASE WHEN c_custkey % 4 <> 0 THEN c_name WHEN c_custkey % 7 <> 0 THEN c_name || ' D' END AS name,
-  CASE WHEN c_custkey % 5 <> 0 OR c_custkey % 7 <> 0 THEN c_mktsegment END AS club,
-  CASE WHEN c_custkey % 7 <> 0 THEN n_name END AS "districtName",
+  CASE WHEN c_custkey % 4 <> 0 THEN c_name WHEN c_acctbal >= 0 THEN c_name || ' D' END AS name,
+  CASE WHEN c_custkey % 5 <> 0 OR c_acctbal >= 0 THEN c_mktsegment END AS club,
+  CASE WHEN c_acctbal >= 0 THEN n_name END AS "districtName",
   CAST(NULL AS VARCHAR) AS voivodeship,
-  CASE WHEN c_custkey % 7 <> 0 THEN '1970-05-01' END AS "birthDate",
-  CASE WHEN c_custkey % 7 <> 0 THEN 'P' || CAST(c_nationkey AS VARCHAR) END AS "birthPlace",
-  CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 2 = 0 THEN 'wyższe' ELSE 'średnie' END AS "educationLevel",
+  CASE WHEN c_acctbal >= 0 THEN '1970-05-01' END AS "birthDate",
+  CASE WHEN c_acctbal >= 0 THEN 'P' || CAST(c_nationkey AS VARCHAR) END AS "birthPlace",
+  CASE WHEN c_acctbal < 0 THEN NULL WHEN c_custkey % 2 = 0 THEN 'wyższe' ELSE 'średnie' END AS "educationLevel",
   CAST(NULL AS VARCHAR) AS profession
 FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey <> 0""",
 )
@@ -497,11 +497,11 @@ def src_html_tree(t: Tables):
 
 @Q.add(
     "src_pair_details_body",
-    "SELECT CAST(page_id AS INT) AS num, url AS title, 2 AS n_authors, length(html) AS size FROM pages WHERE page_id % 3 <> 0",
+    "SELECT CAST(page_id AS INT) AS num, url AS title, 2 AS n_authors, length(html) AS size FROM pages WHERE url LIKE 'https%'",
 )
 def src_pair_details_body(t: Tables):
     schema = "num int, title string, `from` string"
-    records = t.pages.where("page_id % 3 <> 0").select(
+    records = t.pages.where("url LIKE 'https%'").select(
         F.col("page_id").alias("num"),
         F.col("url").alias("title"),
         F.array(F.col("page_id"), F.col("page_id") + 1).alias("from"),
