@@ -73,6 +73,12 @@ def test_scans_read_only_the_needed_columns(spark):
     assert "PushedFilters: [In(source" in browse or "In(lang" in browse
 
 
+def test_texts_are_scanned_and_shuffled_once(spark):
+    plan = plan_of(entry.queries()["docs_metrics"](spark, SMALL))
+    assert plan.count("FileScan parquet") == 1
+    assert "text" not in [line for line in plan.split("\n") if "Exchange hashpartitioning" in line][0]
+
+
 def test_roster_shares_sum_to_one(spark):
     from textlab.operators import roster_report as I
 
