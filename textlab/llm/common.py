@@ -65,3 +65,14 @@ class Forest:
             apart = a != b
             a, b = a[apart], b[apart]
             np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
+
+
+def worker_state(key: str, build: Callable):
+    """What ``build`` returned first in this Python worker: tables and caches that outlive a task."""
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_textlab_worker_state", types.ModuleType("_textlab_worker_state"))
+    if not hasattr(kept, key):
+        setattr(kept, key, build())
+    return getattr(kept, key)
