@@ -76,3 +76,25 @@ def worker_state(key: str, build: Callable):
     if not hasattr(kept, key):
         setattr(kept, key, build())
     return getattr(kept, key)
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1.0) -> np.ndarray:
+    """Ridge logistic regression by Newton steps; ``y`` may be soft. The last coefficient is the intercept."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    w = np.ones(len(y)) if weight is None else weight
+    # half a row of either label keeps the intercept finite
+    prior = np.zeros((2, x.shape[1]))
+    prior[:, -1] = 1
+    x, y, w = np.vstack([x, prior]), np.concatenate([y, [0.0, 1.0]]), np.concatenate([w, [0.5, 0.5]])
+    penalty = np.full(x.shape[1], ridge)
+    penalty[-1] = 1e-6
+    beta = np.zeros(x.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        gradient = x.T @ (w * (y - p)) - penalty * beta
+        hessian = (x * (w * p * (1 - p))[:, None]).T @ x + np.diag(penalty)
+        step = np.linalg.solve(hessian, gradient)
+        beta += np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-8:
+            break
+    return beta

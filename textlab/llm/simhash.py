@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from textlab.llm.common import Forest, bucket_of, in_batches, quantile_splits
+from textlab.llm.common import Forest, bucket_of, in_batches
 from textlab.llm.components import components
 from textlab.sources.sinks import materialise
 
@@ -58,21 +58,26 @@ def gray_rank(fp: Column) -> Column:
     return r.bitwiseXOR(F.lit(-(1 << 63)))
 
 
+def turned(fp: Column, bits: int) -> Column:
+    """The 64 bits turned left."""
+    return F.shiftleft(fp, bits).bitwiseOR(F.shiftrightunsigned(fp, 64 - bits)) if bits else fp
+
+
 class GrayTree:
     """Nodes over fingerprints (or groups of them) in Gray order.
 
     A node keeps the bits that all below it share (mask) and their values (pattern). A search
     goes down by levels, adds up the differing bits that a node newly fixes, and leaves a
-    whole group as soon as the sum passes the radius.
+    whole group as soon as the sum passes the radius. ``lead`` are bits that must agree.
     """
 
-    def __init__(self, patterns: np.ndarray, masks: np.ndarray | None = None, fanout: int = 8):
-        masks = np.full(len(patterns), ~np.uint64(0)) if masks is None else masks
-        self.fanout, self.levels = fanout, [(patterns, masks)]
+    def __init__(self, patterns: np.ndarray, lead: int = 0, fanout: int = 8):
+        masks = np.full(len(patterns), ~np.uint64(0))
+        self.fanout, self.lead, self.levels = fanout, np.uint64(lead), [(patterns, masks)]
         while len(patterns) > fanout:
             starts = np.arange(0, len(patterns), fanout)
-            all_and = np.bitwise_and.reduceat(patterns | ~masks, starts)
-            all_or = np.bitwise_or.reduceat(patterns & masks, starts)
+            all_and = np.bitwise_and.reduceat(patterns, starts)
+            all_or = np.bitwise_or.reduceat(patterns, starts)
             # a bit is shared where every child fixes it and all agree
             masks = np.bitwise_and.reduceat(masks, starts) & ~(all_and ^ all_or)
             patterns = all_and & masks
@@ -100,8 +105,9 @@ class GrayTree:
             yield from self._down(queries, q[:half], node[:half], acc[:half], level, radius)
             yield from self._down(queries, q[half:], node[half:], acc[half:], level, radius)
             return
-        acc = acc + np.bitwise_count((queries[q] ^ self.levels[level][0][node]) & self.fresh[level][node])
-        near = acc <= radius
+        differ = (queries[q] ^ self.levels[level][0][node]) & self.fresh[level][node]
+        acc = acc + np.bitwise_count(differ)
+        near = (acc <= radius) & (differ & self.lead == 0)
         q, node, acc = q[near], node[near], acc[near]
         if level == 0:
             if len(q):
@@ -113,9 +119,9 @@ class GrayTree:
         yield from self._down(queries, q[there], below[there], acc[there], level - 1, radius)
 
 
-def _spanning_links(own: np.ndarray, visitors: Iterator[np.ndarray], radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _spanning_links(own: np.ndarray, visitors: Iterator[np.ndarray], radius: int, lead: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links that span the same components as all near pairs among ``own`` and with visitors."""
-    tree, forest = GrayTree(own), Forest(len(own))
+    tree, forest = GrayTree(own, lead), Forest(len(own))
     for q, c in tree.search(own, radius):
         forest.unite(q, c)
     for batch in visitors:
@@ -134,48 +140,86 @@ def _spanning_links(own: np.ndarray, visitors: Iterator[np.ndarray], radius: int
 def near_links(distinct: DataFrame, radius: int = 2, rows_per_part: int = 20_000, max_parts: int = 4096) -> DataFrame:
     """Links (a, b) that join every two fingerprints of ``distinct`` (fp) within ``radius`` bits.
 
-    Not every pair is named: per part of the index a spanning set of links, which has the
-    same components. The index: fingerprints are range-cut in Gray order into parts; a
-    part's upper node (bits that all in it share) decides which fingerprints must visit it.
-    Parts come from quantiles of distinct values, so none is hot. The upper nodes are
-    at most ``max_parts`` rows of 24 bytes; visits grow with the square of log(parts).
+    Not every pair is named: a part of an index yields a spanning set of links, which has the
+    same components. There are radius + 1 indexes. Each turns the bits so that another block
+    of them leads, and two near fingerprints agree in at least one block. An index is
+    range-cut in Gray order into parts of ``rows_per_part`` (quantiles of distinct values, so
+    none is hot; more than that beyond ``max_parts`` parts). Where a cut falls between
+    fingerprints with one leading block, those before it also visit the later parts,
+    unless the part's upper node (bits that all in it share) is too far. A fingerprint is
+    thus read radius + 1 times and a little more, at any size.
     """
-    ranked = distinct.select("fp", gray_rank(F.col("fp")).alias("rank"))
-    parts = min(max_parts, -(-ranked.count() // rows_per_part))
-    splits = quantile_splits(ranked, "rank", parts)
-    placed = ranked.withColumn("part", bucket_of(F.col("rank"), splits))
-    nodes = placed.groupBy("part").agg(F.expr("bit_and(fp)").alias("all_and"), F.expr("bit_or(fp)").alias("all_or")).orderBy("part").collect()
-    number = np.array([r["part"] for r in nodes], dtype=np.int32)
-    all_and = np.array([r["all_and"] for r in nodes], dtype=np.int64).view(np.uint64)
-    mask = ~(all_and ^ np.array([r["all_or"] for r in nodes], dtype=np.int64).view(np.uint64))
-    pattern = all_and & mask
+    blocks = radius + 1
+    turns = [64 * t // blocks for t in range(blocks)]
+    widths = [64 * (t + 1) // blocks - 64 * t // blocks for t in range(blocks)]
+    width = min(widths)
+    ranked = distinct.select("fp", *(gray_rank(turned(F.col("fp"), turn)).alias(f"rank{t}") for t, turn in enumerate(turns)))
+    parts = max(1, min(max_parts, -(-ranked.count() // rows_per_part)))
+    shares = [i / parts for i in range(1, parts)]
+    cuts = [[] for _ in turns]
+    if shares:
+        found = ranked.agg(*(F.percentile_approx(f"rank{t}", shares, 20 * parts) for t in range(blocks))).first()
+        cuts = [sorted(set(c)) for c in found]
+    owner = F.explode(
+        F.array(
+            *(
+                F.struct((bucket_of(F.col(f"rank{t}"), cuts[t]) + t * parts).alias("part"), turned(F.col("fp"), turn).alias("fp"))
+                for t, turn in enumerate(turns)
+            )
+        )
+    )
+    upper = (
+        ranked.select(owner.alias("o"))
+        .groupBy("o.part")
+        .agg(F.expr("bit_and(o.fp)").alias("all_and"), F.expr("bit_or(o.fp)").alias("all_or"))
+        .collect()
+    )
+    number = blocks * parts
+    all_and, mask = np.zeros(number, np.uint64), np.zeros(number, np.uint64)
+    for r in upper:
+        same = ~(r["all_and"] ^ r["all_or"]) & (2**64 - 1)
+        all_and[r["part"]], mask[r["part"]] = r["all_and"] & (2**64 - 1), same
+    lead = (2**64 - 1) >> (64 - width) << (64 - width)
+    low = np.uint64(2**64 - 1 - lead)
 
     def route(batches):
-        tree = GrayTree(pattern, mask)
+        splits = [np.array(c, dtype=np.int64) for c in cuts]
         for batch in batches:
-            fp, rank, part = (batch.column(k).to_numpy() for k in range(3))
-            for q, node in tree.search(fp.view(np.uint64), radius):
-                later = number[node] >= part[q]
-                q, to = q[later], number[node[later]]
-                yield pa.record_batch(
-                    [pa.array(to), pa.array(to != part[q]), pa.array(rank[q]), pa.array(fp[q])], ["part", "visitor", "rank", "fp"]
-                )
+            fp = batch.column(0).to_numpy().view(np.uint64)
+            for t, turn in enumerate(turns):
+                rank = batch.column(1 + t).to_numpy()
+                bits = fp << np.uint64(turn) | fp >> np.uint64(64 - turn) if turn else fp
+                own = np.searchsorted(splits[t], rank, side="right")
+                # the last part that holds the same leading block; the shift of ranks keeps blocks together
+                last = np.searchsorted(splits[t], (rank.view(np.uint64) | low).view(np.int64), side="right")
+                part, q = own, np.arange(len(own))
+                while len(q):
+                    to = part + t * parts
+                    away = np.bitwise_count((bits[q] ^ all_and[to]) & mask[to]) <= radius
+                    go = away | (part == own[q])
+                    yield pa.record_batch(
+                        [pa.array(to[go].astype(np.int32)), pa.array(part[go] != own[q[go]]), pa.array(rank[q[go]]), pa.array(bits[q[go]].view(np.int64))],
+                        ["part", "visitor", "rank", "fp"],
+                    )
+                    more = part < last[q]
+                    part, q = part[more] + 1, q[more]
 
     schema = "part int, visitor boolean, rank long, fp long"
-    routed = placed.mapInArrow(route, schema).repartition(max(1, len(nodes)), "part").sortWithinPartitions("part", "visitor", "rank")
+    routed = ranked.mapInArrow(route, schema).repartition(number, "part").sortWithinPartitions("part", "visitor", "rank")
 
     def match(batches):
-        for runs in _parts(batches):
-            own, visitors = next(runs), (v for v in runs)
-            for a, b in _spanning_links(own, visitors, radius):
-                if len(a):
-                    yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+        for part, runs in _parts(batches):
+            turn = turns[part // parts]
+            for ends in _spanning_links(next(runs), runs, radius, lead):
+                if len(ends[0]):
+                    back = (e >> np.uint64(turn) | e << np.uint64(64 - turn) if turn else e for e in ends)
+                    yield pa.record_batch([pa.array(e.view(np.int64)) for e in back], ["a", "b"])
 
     return routed.mapInArrow(match, "a long, b long")
 
 
-def _parts(batches) -> Iterator[Iterator[np.ndarray]]:
-    """Per part an iterator: first all of its own fingerprints, then batches of visitors."""
+def _parts(batches) -> Iterator[tuple[int, Iterator[np.ndarray]]]:
+    """Per part its number and an iterator: first all of its own fingerprints, then batches of visitors."""
 
     def slices():
         for batch in batches:
@@ -200,7 +244,7 @@ def _parts(batches) -> Iterator[Iterator[np.ndarray]]:
 
     held.extend(x for x in [next(source, None)] if x)
     while held:
-        yield one(held[0][0])
+        yield int(held[0][0]), one(held[0][0])
 
 
 def near_duplicates(

@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from textlab.llm.common import in_batches, worker_state
+from textlab.llm.common import fit_logistic, in_batches, worker_state
 from textlab.sources.sinks import materialise
 
 # Words with masking signs inside ("st*pid") stay whole.
@@ -265,28 +265,6 @@ def _lexicons(counts: DataFrame, min_share: float, max_terms: int) -> list[Lexic
     return out
 
 
-def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Logistic regression by Newton steps; the last coefficient is the intercept."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    # half a text of either label keeps the intercept finite
-    prior = np.zeros((2, x.shape[1]))
-    prior[:, -1] = 1
-    x, y = np.vstack([x, prior]), np.concatenate([y, [0.0, 1.0]])
-    w = np.concatenate([np.ones(len(y) - 2), [0.5, 0.5]])
-    penalty = np.full(x.shape[1], ridge)
-    penalty[-1] = 1e-6
-    beta = np.zeros(x.shape[1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        gradient = x.T @ (w * (y - p)) - penalty * beta
-        hessian = (x * (w * p * (1 - p))[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(hessian, gradient)
-        beta += np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
-            break
-    return beta
-
-
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, min_share: float = 0.4, max_terms: int = 2_000) -> Model:
     """Model from at most ``max_rows`` labelled rows whose crc32(doc_id) mod 4 is not 2.
 
@@ -309,7 +287,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, min_share: f
     if not found:
         return Model(halves[2], None)
     x = np.array(sorted(r["x"] for r in found))
-    return Model(halves[2], _fit(x[:, 1:], x[:, 0]))
+    return Model(halves[2], fit_logistic(x[:, 1:], x[:, 0]))
 
 
 def scorer(model: Model):
