@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from typing import NamedTuple
 
@@ -20,22 +19,23 @@ LABELERS = ("shape", "checksum", "gazetteer", "cue", "counter_cue", "border")
 # The patterns of the base kinds, in forms that read each character once.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
+_IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*+\.[0-9]++\.[0-9]++\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 # Wide patterns of further candidates, and for some a strict shape.
+_DIGIT = re.compile("[0-9]")
+_AT = re.compile(r"\s?(?:\(at\)|\[at\]|\{at\}|\sat\s)\s?", re.I)
+_AT_LEFT = re.compile(r"\w[\w.+-]{0,60}\Z")
+_AT_RIGHT = re.compile(r"\w[\w-]{0,60}(?:(?:\s?(?:\(dot\)|\[dot\]|\{dot\})\s?|\sdot\s)\w[\w-]{0,60}){1,4}", re.I)
+_AT_RIGHT_PLAIN = re.compile(r"\w[\w-]{0,60}(?:\.\w[\w-]{0,60}){1,4}")
+_SIGN = re.compile("[:=]")
+_KEY_LEFT = re.compile(r"(?<!\w)(?:api[_-]?key|access[_-]?key|auth|bearer|token|secret|password|passwd|pwd|key)\s{0,4}\Z", re.I)
+_KEY_RIGHT = re.compile(r"\s{0,4}[\"']?([^\s\"'<>]{8,200})")
 _CANDIDATES = {
-    "email": re.compile(
-        r"(?<!\w)\w[\w.+-]{0,60}\s?(?:\(at\)|\[at\]|\{at\}|\sat\s)\s?\w[\w-]{0,60}(?:\s?(?:\(dot\)|\[dot\]|\{dot\}|\sdot\s|\.)\s?\w[\w-]{0,60}){1,4}",
-        re.I,
-    ),
-    "phone": re.compile(r"(?<![\w.+-])(?:\([0-9]{2,5}\)|0?[0-9]{2,5})[ ./-][0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?![\w-])"),
-    "secret": re.compile(
-        r"(?<!\w)(?:api[_-]?key|access[_-]?key|auth|bearer|token|secret|password|passwd|pwd|key)\s{0,4}[:=]\s{0,4}[\"']?([^\s\"'<>]{8,200})", re.I
-    ),
-    "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    "national_id": re.compile(r"(?<![\w-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![\w-])"),
+    "phone": re.compile(r"[(0-9](?<![\w.+-].)(?:(?<=\()[0-9]{2,5}\)|(?<=[0-9])[0-9]{1,5})[ ./-][0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?![\w-])"),
+    "iban": re.compile(r"[A-Z](?<![A-Za-z0-9].)[A-Z][0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
+    "national_id": re.compile(r"[0-9](?<![\w-].)[0-9]{2}[- ][0-9]{2}[- ][0-9]{4}(?![\w-])"),
     "person": re.compile(
         r"(?<!\w)(?:Mr|Mrs|Ms|Dr|Prof|Sir|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra)\.? [^\W\d_a-z]\w{1,30}(?: [^\W\d_a-z]\w{1,30})?"
     ),
@@ -43,15 +43,37 @@ _CANDIDATES = {
         r"(?<!\w)[0-9]{1,5} (?:[^\W\d_a-z]\w{1,30} ){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Boulevard|Blvd|Drive|Dr)\b"
         r"|(?<!\w)[^\W\d_a-z]\w{1,30}(?:straße|strasse|weg|platz|gasse) [0-9]{1,4}\b"
     ),
-    "birth_date": re.compile(r"(?<![\w./-])(?:[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2})(?![\w/-])"),
+    "birth_date": re.compile(r"[0-9](?<![\w./-].)(?:[0-9]?[./-][0-9]{1,2}[./-][0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{2})(?![\w/-])"),
 }
-# Texts without this cannot hold the candidate; saves the slow scans.
+_WITH_DIGITS = frozenset(("phone", "iban", "national_id", "address", "birth_date"))
+# Texts without these words cannot hold the candidate; saves the slow scans.
 _NEEDS = {
-    "email": re.compile(r"(?:\(at\)|\[at\]|\{at\}|\sat\s)", re.I),
-    "secret": re.compile(r"[:=]"),
     "person": re.compile(r"(?:Mr|Mrs|Ms|Dr|Prof|Sir|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra)\.? "),
     "address": re.compile(r"Street|St|Ave|Road|Rd|Lane|Ln|Boulevard|Blvd|Drive|Dr|straße|strasse|weg|platz|gasse"),
 }
+
+
+def _hidden_emails(text: str):
+    """Addresses written out: "name (at) host.org", "name at host dot org"."""
+    low = text.lower()
+    if not (" dot " in low or "at)" in low or "at]" in low or "at}" in low):
+        return
+    end = 0
+    for m in _AT.finditer(text):
+        left = _AT_LEFT.search(text[max(end, m.start() - 61) : m.start()])
+        right = _AT_RIGHT.match(text, m.end()) or (m.group().strip().lower() != "at" and _AT_RIGHT_PLAIN.match(text, m.end()))
+        if left and right:
+            end = right.end()
+            yield m.start() - len(left.group()), end
+
+
+def _secrets(text: str):
+    """Values after a key word and a sign."""
+    for m in _SIGN.finditer(text):
+        if _KEY_LEFT.search(text[max(0, m.start() - 16) : m.start()]) and (value := _KEY_RIGHT.match(text, m.end())):
+            yield value.span(1)
+
+
 _STRICT = {
     "email": re.compile(r"\w[\w.+-]*\s?(?:\(at\)|\[at\]|\{at\}|\sat\s)\s?\w[\w-]*(?:\s?(?:\(dot\)|\[dot\]|\{dot\}|\sdot\s)\s?\w[\w-]*)+", re.I),
     "phone": re.compile(r"\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}|0[0-9]{1,4}[ /-][0-9]{5,8}"),
@@ -109,10 +131,11 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
         if start < m.start():
             out.append(("email", start, m.end()))
             taken = m.end()
-    for m in _IP.finditer(text):
+    digit = _DIGIT.search(text) is not None
+    for m in _IP.finditer(text) if digit else ():
         if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split(".")):
             out.append(("ip", *m.span()))
-    for m in _CARD.finditer(text):
+    for m in _CARD.finditer(text) if digit else ():
         if m.end() - m.start() < 38 and 12 <= len(d := _digits(m.group())) <= 19 and luhn(d):
             out.append(("card", *m.span()))
     for m in _PHONE.finditer(text) if "+" in text else ():
@@ -131,13 +154,12 @@ class Candidate(NamedTuple):
 
 def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[Candidate]:
     """Further spans with the votes of the labelers; none overlaps a base span."""
-    found = []
+    digit = _DIGIT.search(text) is not None
+    found = [("email", *span) for span in _hidden_emails(text)] + [("secret", *span) for span in _secrets(text)]
     for kind, pattern in _CANDIDATES.items():
-        if kind in _NEEDS and not _NEEDS[kind].search(text):
-            continue
-        group = 1 if kind == "secret" else 0
-        found += [(kind, *m.span(group)) for m in pattern.finditer(text)]
-    for m in _CARD.finditer(text):
+        if (digit or kind not in _WITH_DIGITS) and (kind not in _NEEDS or _NEEDS[kind].search(text)):
+            found += [(kind, *m.span()) for m in pattern.finditer(text)]
+    for m in _CARD.finditer(text) if digit else ():
         if m.end() - m.start() < 38 and 13 <= len(_digits(m.group())) <= 19:
             found.append(("card", *m.span()))
     if not found:
@@ -346,7 +368,3 @@ def redact(docs: DataFrame) -> DataFrame:
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out
-
-
-def digest(spans: list[str]) -> str:
-    return hashlib.sha256(",".join(spans).encode()).hexdigest()
