@@ -39,15 +39,21 @@ def simhash64(text: str | None, words: int = 3) -> int:
     return sum(1 << int(i) for i in np.flatnonzero(2 * counts > n))
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """128 bits that tell rows of different id or text apart."""
+    return F.struct(F.xxhash64(id_col, text_col).alias("k1"), F.xxhash64(F.lit(1), text_col, id_col).alias("k2"))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(id, fp long) of every row; fp is the fingerprint as a signed number. Null text: empty."""
+    """(id, key, fp long) of every row; fp is the fingerprint as a signed number. Null text: empty."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = np.fromiter((simhash64(t, words) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-        return pa.record_batch([batch.column(0), pa.array(fps.view(np.int64))], [id_col, "fp"])
+        fps = np.fromiter((simhash64(t, words) for t in batch.column(2).to_pylist()), np.uint64, batch.num_rows)
+        return pa.record_batch([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], [id_col, "key", "fp"])
 
     kind = dict(docs.dtypes)[id_col]
-    return in_batches(docs.select(id_col, text_col), kernel, f"{id_col} {kind}, fp long")
+    rows = docs.select(id_col, row_key(id_col, text_col).alias("key"), text_col)
+    return in_batches(rows, kernel, f"{id_col} {kind}, key struct<k1 long, k2 long>, fp long")
 
 
 def gray_rank(fp: Column) -> Column:
@@ -250,22 +256,38 @@ def _parts(batches) -> Iterator[tuple[int, Iterator[np.ndarray]]]:
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2, rows_per_part: int = 20_000
 ) -> DataFrame:
-    """(id, fp, component_id) of every row of ``docs``; other columns are not read.
-
-    Rows whose fingerprints differ in at most ``radius`` bits are linked; component_id is the
-    smallest id that links reach, the row itself included. Rows of one fingerprint count once
-    in the search. Null and empty texts share fingerprint 0. Rows with a null id take part
-    and get the smallest id of their component, null if it has none. Repeated rows give
-    repeated results; an empty table gives none.
+    """(id, key, fp, group, component_id) of every row of ``docs``; other columns are not read.
+
+    Rows whose fingerprints differ in at most ``radius`` bits are linked. ``group`` names what
+    links reach (by a fingerprint in it), component_id is the smallest id in it, the row
+    itself included; ``key`` tells rows of different id or text apart. Rows of one
+    fingerprint count once in the search. Null and empty texts share fingerprint 0. Rows with
+    a null id take part; component_id is null only if the whole group has no id. Repeated
+    rows give repeated results; an empty table gives none.
     """
     prints = materialise(fingerprints(docs, id_col, text_col, words), "simhash")
     distinct = materialise(prints.groupBy("fp").agg(F.min(id_col).alias("first_id")), "simhash-distinct")
     linked = components(near_links(distinct.select("fp"), radius, rows_per_part)).withColumnRenamed("node", "fp")
     named = distinct.join(linked, "fp")
     lowest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    moved = named.join(lowest, "root").select("fp", "component_id")
-    by_print = distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return prints.join(by_print, "fp").select(id_col, "fp", "component_id")
+    moved = named.join(lowest, "root").select("fp", "root", "component_id")
+    by_print = distinct.join(moved, "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("group"), F.coalesce("component_id", "first_id").alias("component_id")
+    )
+    return prints.join(by_print, "fp").select(id_col, "key", "fp", "group", "component_id")
+
+
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near duplicates, with all its columns: that of the smallest id.
+
+    Rows without an id come last. Of rows that repeat an id and text, one stays.
+    """
+    found = near_duplicates(docs, id_col, text_col)
+    first = F.min(F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), "key"))
+    chosen = found.groupBy("group").agg(first.alias("first")).select("first.key.k1", "first.key.k2")
+    key = row_key(id_col, text_col)
+    kept = docs.select(F.struct("*").alias("row"), key["k1"].alias("k1"), key["k2"].alias("k2")).join(chosen, ["k1", "k2"], "left_semi")
+    return kept.dropDuplicates(["k1", "k2"]).select("row.*")
 
 
 def fingerprint_hex(fp: Column) -> Column:
