@@ -48,6 +48,15 @@ def test_pieces(n):
     assert [start for start, _ in got] == [sum(length for _, length in got[:i]) for i in range(len(got))]
 
 
+def test_ranks_give_the_library_ids():
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    tokenizer.encode_special_tokens = True
+    encode = packing.byte_level_encoder(VOCABULARY)
+    texts = ["", "<|endoftext|> it's we'LL  \n\n x\t", *(f"a{chr(c)}b {chr(c)}{chr(c)}1" for c in range(1, 0x3000))]
+    for text in texts:
+        assert list(encode(text)) == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def check_sequences(rows, capacity):
     by_sequence = {}
     for r in rows:
