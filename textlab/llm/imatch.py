@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textlab.llm.common import bucket_of, quantile_splits
 
-SUBSETS = 32
-# Share of the lexicon in subset k, in 256ths: thin subsets survive large edits, dense ones tell close texts apart.
-SHARES = [(64, 4, 1, 1)[k % 4] for k in range(SUBSETS)]
+# Share of the lexicon in each randomised subset, in 256ths. Dense subsets tell close texts
+# apart, thin ones survive large edits.
+SHARES = (*(64,) * 4, *(4,) * 4, *(1,) * 24)
+SUBSETS = len(SHARES)
 _SEPARATORS = r"[\x00-\x60\x7b-\x7f]+"
 
 
@@ -37,14 +38,24 @@ def lexicon(docs: DataFrame, n_docs: int, idf_low: float = 2.0, idf_high: float
 
 
 def _hashes(ordered: Column) -> Column:
-    """Hash of each subset's sorted digests, null for a subset without any."""
+    """Hash of each subset's sorted digests, null for a subset without any.
 
-    def one(bit: Column) -> Column:
-        inside = F.filter(ordered, lambda t: t["members"].bitwiseAND(bit) != 0)
+    Subsets of one share are read from the terms that are in at least one of them.
+    """
+
+    def one(terms: Column, bit: Column) -> Column:
+        inside = F.filter(terms, lambda t: t["members"].bitwiseAND(bit) != 0)
         joined = F.array_join(F.transform(inside, lambda t: t["digest"].cast("string")), ",")
         return F.substring(F.md5(F.nullif(joined, F.lit(""))), 1, 16)
 
-    return F.transform(F.lit([1 << k for k in range(SUBSETS)]).cast("array<long>"), one)
+    def of_share(share: int) -> Column:
+        bits = [1 << k for k, s in enumerate(SHARES) if s == share]
+        mask, table = F.lit(sum(bits)).cast("long"), F.lit(bits).cast("array<long>")
+        some = F.filter(ordered, lambda t: t["members"].bitwiseAND(mask) != 0)
+        # an array of one, so that the selection is made once
+        return F.element_at(F.transform(F.array(some), lambda terms: F.transform(table, lambda bit: one(terms, bit))), 1)
+
+    return F.concat(*map(of_share, dict.fromkeys(SHARES)))
 
 
 def likeness(a: Column, b: Column, same: Column) -> Column:
