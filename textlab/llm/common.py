@@ -9,11 +9,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def in_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Arrow batches of ``df`` through ``kernel``; a kernel keeps nothing between batches."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The rows in small batches: what a task holds as Python objects stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def in_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = 256) -> DataFrame:
+    """Small Arrow batches of ``df`` through ``kernel``; a kernel keeps nothing between batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, rows):
             out = kernel(batch)
             if out is not None and out.num_rows:
                 yield out

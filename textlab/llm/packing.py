@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from textlab.llm.common import worker_state
+from textlab.llm.common import slices, worker_state
 from textlab.sources.sinks import materialise
 
 
@@ -91,19 +91,17 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_c
 
     def run(batches):
         encode = worker_state(f"encoder_{zlib.crc32(vocabulary.encode())}", lambda: byte_level_encoder(vocabulary))
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                rows: list[tuple[int, int, int, int, int]] = []
-                for k, text in enumerate(part.column(1).to_pylist()):
-                    ids = [*encode(text or ""), end_id]
-                    data = memoryview(np.array(ids, dtype="<u4").tobytes())
-                    for piece, (start, length) in enumerate(pieces_of(len(ids), capacity)):
-                        rows.append((k, piece, start, length, zlib.crc32(data[4 * start : 4 * (start + length)])))
-                k, piece, start, length, crc = (list(c) for c in zip(*rows))
-                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                columns = [part.column(0).take(pa.array(k)), *map(pa.array, (piece, start, length, crc), kinds)]
-                yield pa.record_batch(columns, [id_col, "piece", "start", "length", "ids_crc32"])
+        for batch in slices(batches):
+            rows: list[tuple[int, int, int, int, int]] = []
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                ids = [*encode(text or ""), end_id]
+                data = memoryview(np.array(ids, dtype="<u4").tobytes())
+                for piece, (start, length) in enumerate(pieces_of(len(ids), capacity)):
+                    rows.append((k, piece, start, length, zlib.crc32(data[4 * start : 4 * (start + length)])))
+            k, piece, start, length, crc = (list(c) for c in zip(*rows))
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            columns = [batch.column(0).take(pa.array(k)), *map(pa.array, (piece, start, length, crc), kinds)]
+            yield pa.record_batch(columns, [id_col, "piece", "start", "length", "ids_crc32"])
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, piece int, start long, length long, ids_crc32 long")

@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from textlab.llm.common import fit_logistic, in_batches, worker_state
+from textlab.llm.common import fit_logistic, in_batches, slices, worker_state
 from textlab.sources.sinks import materialise
 
 # Words with masking signs inside ("st*pid") stay whole.
@@ -231,7 +231,7 @@ def _term_counts(sample: DataFrame) -> DataFrame:
         numbers = np.array(list(counts.values()), dtype=np.int64).reshape(-1, 4)
         return pa.record_batch([pa.array(list(counts), pa.string()), *(pa.array(numbers[:, k]) for k in range(4))], ["term", "n0", "t0", "n1", "t1"])
 
-    rows = in_batches(sample.select("sig", "toxic", "text"), kernel, "term string, n0 long, t0 long, n1 long, t1 long")
+    rows = in_batches(sample.select("sig", "toxic", "text"), kernel, "term string, n0 long, t0 long, n1 long, t1 long", 2_000)
     return rows.groupBy("term").agg(*(F.sum(c).alias(c) for c in ("n0", "t0", "n1", "t1")))
 
 
@@ -260,7 +260,7 @@ def _lexicons(counts: DataFrame, min_share: float, max_terms: int) -> list[Lexic
             return batch.filter(pa.array(near, pa.bool_()))
 
         known = counts.where(F.expr(f"{n} > 0 and {t} * 10 < {n} * 3")).select("term")
-        harmless = in_batches(known, kernel, "term string").collect() if terms else []
+        harmless = in_batches(known, kernel, "term string", 10_000).collect() if terms else []
         out.append(Lexicon(terms, [float(r["share"]) for r in rows], frozenset(r["term"] for r in harmless)))
     return out
 
@@ -318,7 +318,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
     def run(batches):
         scores = _worker_scorer(model)
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.record_batch([batch.column(0), pa.array(scores(batch.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
@@ -328,7 +328,7 @@ def keep_harmless(docs: DataFrame, model: Model, threshold: float = 0.3) -> Data
     """The rows of ``docs``, all columns, whose score is below ``threshold``."""
     def run(batches):
         scores = _worker_scorer(model)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             yield batch.filter(pa.array(scores(texts) < threshold))
 
