@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textlab.llm import imatch, packing, personal, simhash, toxicity, urls
+from textlab.llm import bpe, imatch, packing, personal, simhash, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,11 @@ def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op4_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -59,6 +64,6 @@ def op10_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_personal_data, op3_imatch, op6_best_fit_packing, op7_toxicity, op9_host_reputation, op10_simhash_gray)
+    for f in (op2_personal_data, op3_imatch, op4_bpe_tree, op6_best_fit_packing, op7_toxicity, op9_host_reputation, op10_simhash_gray)
 }
 SQL: dict[str, str] = {"op3_imatch": imatch.sql(), "op9_host_reputation": urls.sql(RULES)}
