@@ -31,9 +31,7 @@ class Recent(dict):
     def recall(self, key):
         """Value of a key of the older generation, which becomes a young one; or None."""
         value = self.old.get(key)
-        if value is not None:
-            self[key] = value
-        return value
+        return None if value is None else self.keep(key, value)
 
     def keep(self, key, value):
         if len(self) >= self.limit:
