@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textlab.llm import bpe, imatch, packing, personal, simhash, toxicity, urls
+from textlab.llm import ann, bpe, imatch, packing, personal, simhash, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal.spans(_table(spark, sf_dir, "documents"))
 
@@ -64,6 +68,6 @@ def op10_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_personal_data, op3_imatch, op4_bpe_tree, op6_best_fit_packing, op7_toxicity, op9_host_reputation, op10_simhash_gray)
+    for f in (op1_adaptive_scan, op2_personal_data, op3_imatch, op4_bpe_tree, op6_best_fit_packing, op7_toxicity, op9_host_reputation, op10_simhash_gray)
 }
 SQL: dict[str, str] = {"op3_imatch": imatch.sql(), "op9_host_reputation": urls.sql(RULES)}
