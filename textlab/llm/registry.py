@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textlab.llm import ann, bpe, imatch, packing, personal, simhash, toxicity, urls
+from textlab.llm import ann, bpe, html, imatch, packing, personal, simhash, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,11 @@ def op4_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op5_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extract(_table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -68,6 +73,6 @@ def op10_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_adaptive_scan, op2_personal_data, op3_imatch, op4_bpe_tree, op6_best_fit_packing, op7_toxicity, op9_host_reputation, op10_simhash_gray)
+    for f in (op1_adaptive_scan, op2_personal_data, op3_imatch, op4_bpe_tree, op5_site_style_tree, op6_best_fit_packing, op7_toxicity, op9_host_reputation, op10_simhash_gray)
 }
 SQL: dict[str, str] = {"op3_imatch": imatch.sql(), "op9_host_reputation": urls.sql(RULES)}
