@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textlab.llm import ann, bpe, html, imatch, packing, personal, simhash, toxicity, urls
+from textlab.llm import ann, bpe, chat, html, imatch, packing, personal, simhash, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(_table(spark, sf_dir, "conversations"))
+
+
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
@@ -73,6 +77,17 @@ def op10_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_adaptive_scan, op2_personal_data, op3_imatch, op4_bpe_tree, op5_site_style_tree, op6_best_fit_packing, op7_toxicity, op9_host_reputation, op10_simhash_gray)
+    for f in (
+        op1_adaptive_scan,
+        op2_personal_data,
+        op3_imatch,
+        op4_bpe_tree,
+        op5_site_style_tree,
+        op6_best_fit_packing,
+        op7_toxicity,
+        op8_perspective_rotation,
+        op9_host_reputation,
+        op10_simhash_gray,
+    )
 }
-SQL: dict[str, str] = {"op3_imatch": imatch.sql(), "op9_host_reputation": urls.sql(RULES)}
+SQL: dict[str, str] = {"op3_imatch": imatch.sql(), "op8_perspective_rotation": chat.sql(), "op9_host_reputation": urls.sql(RULES)}
