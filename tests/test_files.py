@@ -25,12 +25,14 @@ def test_object_files_strict_and_tolerant(spark, tmp_path):
 
 
 def test_csv_round_trip_keeps_quotes_and_blanks(spark, tmp_path):
-    df = spark.createDataFrame([(1, 'a "b", c'), (2, None)], "id int, t string")
+    given = [('a "b", c', 1), (None, 2), ("  a ", 3), ('x\n"y', 4)]
+    df = spark.createDataFrame(given, "t string, id int")
     path = S.write_csv(df, str(tmp_path / "x"), ["t", "id"])
-    assert sorted(map(tuple, R.read_csv(spark, path, "t string, id int").collect()), key=lambda r: r[1]) == [
-        ('a "b", c', 1),
-        (None, 2),
-    ]
+    assert sorted(map(tuple, R.read_csv(spark, path, "t string, id int").collect()), key=lambda r: r[1]) == given
+    (tmp_path / "bad.csv").write_text("t,id\nx,1\ny,zwei\n")
+    with pytest.raises(Exception, match="MALFORMED"):
+        R.read_csv(spark, str(tmp_path / "bad.csv"), "t string, id int").collect()
+    assert R.read_csv(spark, str(tmp_path / "bad.csv"), "t string, id int", mode="DROPMALFORMED").collect() == [("x", 1)]
 
 
 def test_lexicon_file(spark, tmp_path):
@@ -66,8 +68,8 @@ def test_stream_lands_each_file_once(spark, tmp_path):
     src, out, ckpt = (str(tmp_path / d) for d in ("in", "out", "ckpt"))
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.json").write_text('{"n": 1}\n{"n": 2}\n')
-    land_new_files(spark, src, "n int", out, ckpt)
-    land_new_files(spark, src, "n int", out, ckpt)
+    assert land_new_files(spark, src, "n int", out, ckpt) == 2
+    assert land_new_files(spark, src, "n int", out, ckpt) == 0
     (tmp_path / "in" / "b.json").write_text('{"n": 3}\n')
     land_new_files(spark, src, "n int", out, ckpt)
     assert sorted(r.n for r in spark.read.parquet(out).collect()) == [1, 2, 3]

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textlab.operators import corpus as C, landing as B, metrics as G, report as J, roster as H, rows as W
+from textlab.operators import corpus as C, extras as K, landing as B, metrics as G, report as J, roster as H, rows as W
 from textlab.operators import joins, stats as S, terms as T, topics as L
 from textlab.operators.names import name_variants
 
@@ -92,11 +92,87 @@ def test_ngrams_stay_inside_a_text(spark):
     docs = spark.createDataFrame(
         [(1, "s", "a", "jeden dwa trzy"), (2, "s", "a", "cztery")], "doc_id int, source string, club string, text string"
     )
-    tokens = C.ordered_tokens(docs, ["doc_id", "source", "club"], ["doc_id"], stopwords=())
-    got = {(r.term, r.ngram_len) for r in T.ngram_counts(tokens, ["doc_id"], ["source", "club"]).collect()}
+    listed = C.lemma_arrays(docs, ["doc_id", "source", "club"], stopwords=())
+    got = {(r.term, r.ngram_len) for r in T.ngram_counts(listed, ["source", "club"]).collect()}
     assert got == {("jeden dwa", 2), ("dwa trzy", 2), ("jeden dwa trzy", 3)}
 
 
+def test_ngrams_across_texts_are_those_of_the_joined_text(spark):
+    rng = random.Random(2)
+    texts = [(i, "ab"[rng.random() < 0.4], [f"w{rng.randrange(6)}" for _ in range(rng.randrange(4))]) for i in range(60)]
+    df = spark.createDataFrame(texts, "doc_id int, club string, words array<string>")
+    want = {}
+    for club in "ab":
+        whole = [w for _, c, ws in texts if c == club for w in ws]
+        for n in (2, 3):
+            for i in range(len(whole) - n + 1):
+                key = club, " ".join(whole[i : i + n]), n
+                want[key] = want.get(key, 0) + 1
+    got = T.cross_ngram_counts(df, ["club"], ["doc_id"])
+    assert {(r.club, r.term, r.ngram_len): r.tf for r in got.collect()} == want
+
+
+def test_two_authors_of_one_club_are_two_rows(spark):
+    details = spark.createDataFrame(
+        [(7, ["1", "2"], None, "kot pies kot")], "num int, `from` array<string>, sentDate date, text string"
+    )
+    members = spark.createDataFrame([(1, "A"), (2, "A"), (3, "B")], "mp_id bigint, club string")
+    lex = spark.createDataFrame([("kot", 1.0)], "token string, val double")
+    texts, authors = C.written_texts(details), C.written_authors(details, members)
+    assert texts.count() == 1
+    got = C.corpus_metrics(texts, authors, lex, stopwords=())
+    assert rows(got.select("mp_id", "club", "weight", "sentiment", "word_count")) == [(1, "A", 0.5, 1.0, 3), (2, "A", 0.5, 1.0, 3)]
+    same = C.corpus(C.written_rows(details, members))
+    assert C.doc_metrics(same, ["doc_id", "club", "source", "weight"], lex).count() == 2
+    counts = T.term_counts(texts, ["doc_id"], stopwords=())
+    assert rows(C.author_counts(counts, authors, ["club"]))[0] == ("A", "kot", 4)
+    assert rows(C.author_counts(counts, authors, ["club"], per_author=False))[0] == ("A", "kot", 2)
+
+
+def test_only_delivered_statements_count(spark):
+    index = spark.createDataFrame([(1, 1, None, i, u) for i, u in enumerate([False, True, None])], "memberID bigint, proceedingNum int, date string, statementNum int, unspoken boolean")
+    index = index.withColumn("date", F.lit("2024-01-01"))
+    texts = index.selectExpr("memberID as mp_id", "proceedingNum", "date", "statementNum", "'x' as text")
+    members = spark.createDataFrame([(1, "A")], "mp_id bigint, club string")
+    assert [r.doc_id for r in C.spoken_rows(index, members, texts).collect()] == ["trans_1_0"]
+
+
+def test_kwic_and_cooccurrence(spark):
+    docs = spark.createDataFrame([(1, "a b Kot c d e"), (2, "kot"), (3, ""), (4, None), (5, "kot kot kotek")], "doc_id int, text string")
+    got = rows(C.kwic(docs, ["doc_id"], "kot", 2))
+    assert got == [(1, 2, "a b", "kot", "c d"), (2, 0, "", "kot", ""), (5, 0, "", "kot", "kot kotek"), (5, 1, "kot", "kot", "kotek")]
+    listed = spark.createDataFrame([(["a", "b", "a", "c"],), ([],), (["a"],)], "words array<string>")
+    assert rows(T.cooccurrence(listed, 2)) == [("a", "b", 2), ("a", "c", 1), ("b", "c", 1)]
+
+
+def test_planted_topics_separate(spark):
+    rng = random.Random(9)
+    themes = [[f"{a}{i}" for i in range(12)] for a in ("kot", "las", "rok")]
+    docs = [(i, "s", f"g{i % 3}", rng.choices(themes[i % 3], k=30)) for i in range(240)]
+    grams = spark.createDataFrame(docs, "doc_id int, source string, club string, grams array<string>")
+    vocabulary = spark.createDataFrame([("s", w, 9) for theme in themes for w in theme], "source string, term string, total int")
+    fit = L.fit_topics(grams, vocabulary, "source", "club", k=3, iterations=40)
+    found = {r.topic: {x.term[:3] for x in fit.topics.where(F.col("topic") == r.topic).where("rank <= 10").collect()} for r in fit.topics.select("topic").distinct().collect()}
+    assert sorted(map(len, found.values())) == [1, 1, 1] and len(set.union(*found.values())) == 3
+    best = {r.club: r.p for r in fit.mix.groupBy("club").agg(F.max("proportion").alias("p")).collect()}
+    assert all(p > 0.8 for p in best.values())
+
+
+def test_cosine_and_plane_of_groups(spark):
+    vectors = {"a": {"x": 0.6, "y": 0.8}, "b": {"z": 1.0}, "c": {"x": 1.0}, "d": {"x": 0.8, "z": 0.6}}
+    df = spark.createDataFrame([("s", g, t, v) for g, ts in vectors.items() for t, v in ts.items()] + [("t", "a", "x", 1.0)], "source string, club string, term string, score double")
+    cosine = {(r.club, r.other): r.cosine for r in K.pairwise_cosine(df, "source", "club").collect()}
+    assert len(cosine) == 6 and cosine["a", "b"] == 0.0 and cosine["a", "c"] == pytest.approx(0.6)
+    at = {(r.source, r.club): (r.pc1, r.pc2) for r in K.group_pca(df, "source", "club").collect()}
+    assert at["t", "a"] == (0.0, 0.0)
+    matrix = np.array([[vectors[g].get(t, 0.0) for t in "xyz"] for g in "abcd"])
+    u, s, _ = np.linalg.svd(matrix - matrix.mean(0))
+    want = u[:, :2] * s[:2]
+    got = np.array([at["s", g] for g in "abcd"])
+    assert np.allclose(np.abs(got), np.abs(want)) and np.allclose(got.mean(0), 0)
+    assert all(got[np.abs(got[:, i]).argmax(), i] > 0 for i in range(2))
+
+
 def test_log_odds(spark):
     counts = spark.createDataFrame(
         [("s", "A", "x", 3), ("s", "B", "y", 1), ("s", "C", "z", 9), ("only", "A", "x", 3)],
@@ -242,7 +318,7 @@ def test_overrides_and_places(spark):
 def test_correlation_is_null_with_a_hole(spark):
     df = spark.createDataFrame([(1, 2, None), (2, 4, 1), (3, 6, 2)], "a int, b int, c int")
     got = {(r.var1, r.var2): r.value for r in S.correlation_matrix(df, ["a", "b", "c"]).collect()}
-    assert len(got) == 9 and got["a", "b"] == pytest.approx(1.0) and got["b", "c"] is None and got["c", "c"] is None
+    assert len(got) == 9 and got["a", "b"] == pytest.approx(1.0) and got["b", "c"] is None and got["c", "c"] == 1.0
 
 
 def test_histogram(spark):
@@ -261,6 +337,10 @@ def test_proceeding_days_fall_back_to_the_list(spark):
     listed = spark.createDataFrame([(1, '{"d": "2024-01-01"}'), (2, '{"d": "2024-01-02"}')], "num int, json string")
     details = spark.createDataFrame([(1, '{"days": ["2024-05-05"]}'), (2, "{}")], "num int, json string")
     assert rows(B.proceeding_days(listed, details)) == [(1, "2024-05-05"), (2, "2024-01-02")]
+    twice = listed.selectExpr("num", "json", "1 as pos").unionByName(
+        spark.createDataFrame([(2, '{"d": "2024-09-09"}', 0), (None, "{}", 0)], "num int, json string, pos int")
+    )
+    assert rows(B.proceeding_days(twice, details)) == [(1, "2024-05-05"), (2, "2024-09-09")]
 
 
 def test_roster_from_landed_members(spark):

@@ -21,7 +21,11 @@ def test_safe_int(one, value, n):
     assert one(V.safe_int, x=value) == n
 
 
-@pytest.mark.parametrize("value", ["łąóż", "ﬁn ½ № …", "Ångström ﬃ", "plain", "ZAŻÓŁĆ gęślą", "Ǆ ǉ ² x"])
+def test_integers_pass_safe_int(one):
+    assert one(V.safe_int, x=-5) == -5
+
+
+@pytest.mark.parametrize("value", ["łąóż", "ﬁn ½ № …", "Ångström ﬃ", "①Ⓐ 한글 ﷺ 𝒜", "plain", "ZAŻÓŁĆ gęślą", "Ǆ ǉ ² x"])
 def test_ascii_fold_is_nfkd_without_marks(one, value):
     expected = "".join(c for c in unicodedata.normalize("NFKD", value) if not unicodedata.combining(c))
     assert one(X.ascii_fold, x=value) == expected

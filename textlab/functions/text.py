@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from functools import lru_cache
 
@@ -19,40 +20,51 @@ from textlab.functions.words import (
 SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
-# Blocks whose letters have accent or compatibility forms.
-_FOLD_RANGES = (
-    (0x00A0, 0x024F),
-    (0x0300, 0x036F),
-    (0x0370, 0x052F),
-    (0x1E00, 0x1FFF),
-    (0x2000, 0x218F),
-    (0xFB00, 0xFB06),
-    (0xFF01, 0xFF5E),
-)
+# Syllables of this block decompose by arithmetic into two or three letters.
+HANGUL = (0xAC00, 0xD7A3)
 
 
 @lru_cache(maxsize=1)
 def _fold_tables() -> tuple[str, str, str, dict[str, str]]:
-    """(from, to, dropped marks, multi-character folds), from Unicode data."""
+    """(from, to, dropped marks, multi-character folds) over all of Unicode, but for Hangul."""
     src, dst, dropped, multi = [], [], [], {}
-    for lo, hi in _FOLD_RANGES:
-        for code in range(lo, hi + 1):
-            char = chr(code)
-            folded = "".join(
-                c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c)
-            )
-            if folded == char:
-                continue
-            if len(folded) == 1:
-                src.append(char)
-                dst.append(folded)
-            elif folded:
-                multi[char] = folded
-            else:
-                dropped.append(char)
+    for code in range(0x80, sys.maxunicode + 1):
+        if HANGUL[0] <= code <= HANGUL[1] or 0xD800 <= code <= 0xDFFF:
+            continue
+        char = chr(code)
+        parts = unicodedata.normalize("NFKD", char)
+        folded = "".join(c for c in parts if not unicodedata.combining(c))
+        if folded == char:
+            continue
+        if len(folded) == 1:
+            src.append(char)
+            dst.append(folded)
+        elif folded:
+            multi[char] = folded
+        else:
+            dropped.append(char)
     return "".join(src), "".join(dst), "".join(dropped), multi
 
 
+def _hangul_letters(text: Column) -> Column:
+    """Hangul syllables as their letters."""
+
+    def letter(code: Column) -> Column:
+        return F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
+
+    def letters(c: Column) -> Column:
+        n = F.ascii(c).cast("bigint") - HANGUL[0]
+        last = n % 28
+        whole = F.concat(
+            letter(F.floor(n / 588) + 0x1100),
+            letter(F.floor(n % 588 / 28) + 0x1161),
+            F.when(last > 0, letter(last + 0x11A7)).otherwise(""),
+        )
+        return F.when((c >= chr(HANGUL[0])) & (c <= chr(HANGUL[1])), whole).otherwise(c)
+
+    return F.array_join(F.transform(F.split(text, ""), letters), "")
+
+
 def _members(letters: str) -> set[str]:
     """The characters of a class body such as ``a-zą``."""
     out, i = set(), 0
@@ -94,24 +106,26 @@ def collapse_ws(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
 
 
+def _expanded(text: Column, multi: dict[str, str]) -> Column:
+    """The characters of ``multi`` replaced one after the other; no expansion holds another."""
+    pairs = F.split(F.lit("\u0000".join(c + to for c, to in multi.items())), "\u0000")
+    return F.aggregate(pairs, text, lambda acc, p: F.replace(acc, F.substring(p, 1, 1), F.substr(p, F.lit(2))))
+
+
 def ascii_fold(text: Column) -> Column:
     """Compatibility-decompose and drop combining marks (ł has no decomposition, so it stays)."""
     src, dst, dropped, multi = _fold_tables()
     single = F.translate(text, src + dropped, dst)
-    # Ligatures and fractions expand to several characters; rare, so only on demand.
-    pairs = F.split(F.lit("|".join(c + to for c, to in multi.items())), r"\|")
-    expanded = F.aggregate(
-        pairs,
-        single,
-        lambda acc, p: F.replace(acc, F.substring(p, 1, 1), F.substr(p, F.lit(2))),
-    )
-    # Cheap tests first: most tokens are ASCII, most texts have no compatibility letter.
-    near = _ranges({c for c in multi if c <= "\u017f"})
-    far = _ranges({c for c in multi if c > "\u017f"})
-    has_multi = text.rlike(f"[{near}]") | (text.rlike("[^\\x00-\\u017f]") & text.rlike(f"[{far}]"))
-    return (
-        F.when(~text.rlike("[^\\x00-\\x7f]"), text).when(has_multi, expanded).otherwise(single)
-    )
+    # Cheap tests first: most tokens are ASCII, most texts have no compatibility letter. What
+    # expands to several characters is rare, so it is replaced only on demand, by blocks.
+    out = F.when(text.rlike(f"[{chr(HANGUL[0])}-{chr(HANGUL[1])}]"), _hangul_letters(single)).otherwise(single)
+    for low, high in ((0x80, 0x17F), (0x180, 0x24FF), (0x2500, sys.maxunicode)):
+        block = {c: to for c, to in multi.items() if low <= ord(c) <= high}
+        beyond = f"[^\\x00-\\x{{{low - 1:x}}}]"
+        out = F.when(text.rlike(beyond) & text.rlike(f"[{_ranges(set(block))}]"), _expanded(out, block)).otherwise(out)
+    return F.when(~text.rlike("[^\\x00-\\x7f]"), text).when(~text.rlike("[^\\x00-\\x{17f}]") & ~text.rlike(
+        f"[{_ranges({c for c in multi if c <= chr(0x17f)})}]"), single
+    ).otherwise(out)
 
 
 def slugify(text: Column, max_len: int = 80) -> Column:

@@ -11,10 +11,13 @@ TRUE_TEXTS = ("true", "1", "t", "yes", "y")
 
 
 def safe_int(value: Column) -> Column:
-    """Digits-only text as a number, anything else null."""
+    """Integers as they are, digits-only text as a number, anything else null."""
     text = strip_space(value.cast("string"))
-    # Tested before the cast: a failing cast raises and catches inside the JVM, row by row.
-    return F.when(text.rlike("^[0-9]+$"), text.try_cast("bigint"))
+    # The type is known when the query is planned, so only one branch is left to run.
+    return F.when(F.typeof(value).isin("tinyint", "smallint", "int", "bigint"), value.try_cast("bigint")).when(
+        # Tested before the cast: a failing cast raises and catches inside the JVM, row by row.
+        text.rlike("^[0-9]+$"), text.try_cast("bigint")
+    )
 
 
 def first_truthy(*values: Column) -> Column:
@@ -27,9 +30,12 @@ def to_bool(value: Column) -> Column:
 
 
 def extract_dates(json_text: Column) -> Column:
-    """Distinct sorted YYYY-MM-DD strings anywhere among the values of a JSON text."""
+    """Distinct sorted YYYY-MM-DD strings anywhere among the values of a JSON text.
+
+    A quote after a backslash is inside a string and opens none.
+    """
     found = F.regexp_extract_all(
-        json_text, F.lit(r'"(\d{4}-\d{2}-\d{2})"(?!\s*:)'), 1
+        json_text, F.lit(r'(?<!\\)"(\d{4}-\d{2}-\d{2})"(?!\s*:)'), 1
     )
     return F.array_sort(F.array_distinct(found))
 
@@ -142,6 +148,7 @@ def bin_comment(comment: Column, rules=COMMENT_RULES, other: str = OTHER_COMMENT
 
 
 def bin_reason(reason: Column) -> Column:
+    # Stems and labels.
     text = F.lower(strip_space(F.coalesce(reason, F.lit(""))))
     return (
         F.when(text == "", F.lit(None).cast("string"))
@@ -153,6 +160,7 @@ def bin_reason(reason: Column) -> Column:
 
 def degree_level(education: Column, degree: Column, higher: str = "wyższe") -> Column:
     """Short label of the degree level, for any education."""
+    # Degrees and labels.
     return (
         F.when(education.isNull() | (education != higher), "wykszt. śr.")
         .when(degree == "profesor", "prof.")
@@ -165,6 +173,7 @@ def degree_level(education: Column, degree: Column, higher: str = "wyższe") ->
 
 
 def sex_label(code: Column) -> Column:
+    # Codes and labels.
     return (
         F.when(code.isin("M", "mężczyzna", "Mężczyzna", "Mezczyzna"), "Mężczyźni")
         .when(code.isin("K", "kobieta", "Kobieta"), "Kobiety")

@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from textlab.functions.text import (
     FOG_COLUMNS,
     ascii_fold,
+    filtered_tokens,
     fold_token,
     keep_token,
+    raw_tokens,
     stopword_list,
     with_fog,
     words,
 )
 from textlab.functions.values import safe_int, to_bool
 from textlab.functions.words import LETTERS
-from textlab.operators.joins import by_key, lookup_join
+from textlab.operators.joins import lookup_join
 
-CORPUS_COLUMNS = ["doc_id", "source", "mp_id", "club", "date", "weight", "text"]
+AUTHOR_COLUMNS = ["doc_id", "source", "mp_id", "club", "date", "weight"]
+CORPUS_COLUMNS = [*AUTHOR_COLUMNS, "text"]
 
 
 def member_clubs(members: DataFrame) -> DataFrame:
@@ -25,46 +28,69 @@ def member_clubs(members: DataFrame) -> DataFrame:
     return members.where(F.coalesce(F.col("club"), F.lit("")) != "").select("mp_id", "club")
 
 
-def written_rows(details: DataFrame, members: DataFrame, clean: Column | None = None) -> DataFrame:
-    """One row per (text, known author); weight is 1 / number of listed authors.
+def _written(details: DataFrame, *columns: Column | str) -> DataFrame:
+    """Texts with an author, under their document key; ``columns`` are made once per text."""
+    return details.where(F.size("from") > 0).select(
+        F.concat(F.lit("interp_"), F.col("num").cast("string")).alias("doc_id"), *columns
+    )
 
-    ``details``: num, from array<string>, sentDate date, and the page in ``html`` (cleaned
-    by ``clean``) or the text in ``text``. The member join runs before the cleaning, so
-    only kept rows pay for it.
-    """
-    authors = details.where(F.size("from") > 0).select(
-        "num",
+
+def _with_authors(texts: DataFrame, members: DataFrame, *columns: str) -> DataFrame:
+    """One row per (text, known author); weight is 1 / number of listed authors."""
+    authors = texts.select(
+        "doc_id",
+        F.lit("interpelacja").alias("source"),
         F.col("sentDate").alias("date"),
         (F.lit(1.0) / F.size("from")).alias("weight"),
-        *[c for c in ("html", "text") if c in details.columns],
+        *columns,
         F.explode("from").alias("_author"),
     )
-    known = lookup_join(
-        authors.withColumn("mp_id", safe_int(F.col("_author"))).where("mp_id is not null"),
-        member_clubs(members),
-        ["mp_id"],
-    )
-    return known.select(
-        F.concat(F.lit("interp_"), F.col("num").cast("string")).alias("doc_id"),
-        F.lit("interpelacja").alias("source"),
-        "mp_id",
-        "club",
-        "date",
-        "weight",
-        (F.col("text") if clean is None else clean).alias("text"),
+    known = authors.withColumn("mp_id", safe_int(F.col("_author"))).where("mp_id is not null")
+    return known.join(member_clubs(members), "mp_id").select(*AUTHOR_COLUMNS, *columns)
+
+
+def written_authors(details: DataFrame, members: DataFrame) -> DataFrame:
+    """One row per (text, known author), without the text.
+
+    ``details``: num, from array<string>, sentDate date.
+    """
+    return _with_authors(_written(details, "from", "sentDate"), members)
+
+
+def written_texts(details: DataFrame, clean: Column | None = None) -> DataFrame:
+    """(doc_id, text): each text once, from its page in ``html`` by ``clean`` or from ``text``."""
+    return _written(details, (F.col("text") if clean is None else clean).alias("text"))
+
+
+def written_rows(details: DataFrame, members: DataFrame, clean: Column | None = None) -> DataFrame:
+    """One row per (text, known author) with the text, which is cleaned before it is copied."""
+    text = (F.col("text") if clean is None else clean).alias("text")
+    return _with_authors(_written(details, "from", "sentDate", text), members, "text")
+
+
+def _spoken(index: DataFrame, members: DataFrame) -> DataFrame:
+    """Delivered statements of known members; an unknown ``unspoken`` is not delivered."""
+    delivered = F.col("unspoken").isNotNull() & ~to_bool(F.col("unspoken"))
+    return (
+        index.where(delivered & (F.col("memberID") > 0))
+        .select(F.col("memberID").alias("mp_id"), "proceedingNum", "date", "statementNum")
+        .join(member_clubs(members), "mp_id")
     )
 
 
+STATEMENT = ["mp_id", "proceedingNum", "date", "statementNum"]
+
+
+def _statement_id() -> Column:
+    return F.concat_ws("_", F.lit("trans"), "proceedingNum", "statementNum")
+
+
 def spoken_rows(
     index: DataFrame, members: DataFrame, texts: DataFrame, clean: Column | None = None
 ) -> DataFrame:
     """Delivered statements of known members that have a landed text; weight 1."""
-    delivered = index.where(~to_bool(F.col("unspoken")) & (F.col("memberID") > 0)).select(
-        F.col("memberID").alias("mp_id"), "proceedingNum", "date", "statementNum"
-    )
-    known = lookup_join(delivered, member_clubs(members), ["mp_id"])
-    return known.join(texts, ["mp_id", "proceedingNum", "date", "statementNum"]).select(
-        F.concat_ws("_", F.lit("trans"), "proceedingNum", "statementNum").alias("doc_id"),
+    return _spoken(index, members).join(texts, STATEMENT).select(
+        _statement_id().alias("doc_id"),
         F.lit("stenogram").alias("source"),
         "mp_id",
         "club",
@@ -121,10 +147,34 @@ def doc_tokens(
     )
 
 
-def ordered_tokens(docs: DataFrame, keys: list[str], by: list[str], **rules) -> DataFrame:
-    """``doc_tokens`` partitioned by text for windows over ``by``: texts are moved, which
-    are smaller than their token rows, and the windows need no shuffle of their own."""
-    return doc_tokens(by_key(docs, *by), keys, **rules)
+def lemma_arrays(
+    docs: DataFrame,
+    keys: list[str],
+    stopwords=None,
+    names: DataFrame | None = None,
+    letters: str = LETTERS,
+    column: str = "lemma",
+) -> DataFrame:
+    """(keys, words): the filtered lemmas (or tokens) of each text in order.
+
+    Without a name table this is a projection. With one, the tokens meet it as rows and are
+    gathered again: the rows of a text combine before the shuffle, which carries one array
+    per text and no text. Texts left without a token keep an empty array; ``keys`` must tell
+    texts apart.
+    """
+    stop = stopword_list() if stopwords is None else stopwords
+    if names is None:
+        kept = filtered_tokens(F.col("text"), stop, letters)
+        return docs.select(*keys, (F.transform(kept, lambda w: fold_token(w)) if column == "lemma" else kept).alias("words"))
+    exploded = docs.select(*keys, F.posexplode_outer(words(F.col("text"), letters)).alias("pos", "_w"))
+    tokens = exploded.select(*keys, "pos", F.lower("_w").alias("token"))
+    keep = F.coalesce(keep_token(F.col("token"), stop), F.lit(False))
+    named = names.select(F.col("name").alias("_folded"), F.lit(True).alias("_named"))
+    marked = lookup_join(tokens.withColumn("_folded", ascii_fold(F.col("token"))), named, ["_folded"], "left")
+    shown = fold_token(F.col("token")) if column == "lemma" else F.col("token")
+    wanted = F.when(keep & F.col("_named").isNull(), F.struct("pos", shown.alias("word")))
+    in_order = F.array_sort(F.collect_list(wanted))
+    return marked.groupBy(*keys).agg(F.transform(in_order, lambda r: r["word"]).alias("words"))
 
 
 def doc_metrics(
@@ -135,24 +185,47 @@ def doc_metrics(
     names: DataFrame | None = None,
     letters: str = LETTERS,
 ) -> DataFrame:
-    """Per-document sentiment and readability.
+    """Sentiment and readability of every row of ``docs``; rows with equal keys stay apart.
 
     The token rules are applied to the lexicon, not to the running text: a token scores
-    exactly when it is a lexicon word that the rules keep. Documents keep their row even
-    without a scored token. ``keys`` must identify a row. The aggregate combines on the
-    map side, so one row per document is shuffled.
+    exactly when it is a lexicon word that the rules keep. Texts keep their row even
+    without a scored token. The aggregate combines on the map side, so one row per text is
+    shuffled. For texts with several authors see ``corpus_metrics``.
     """
     scored = vocabulary_filter(lexicon_words, stopwords, names)
-    listed = with_fog(docs.select(*keys, "text"), "text", letters, words_as="_list")
-    exploded = listed.select(*keys, *FOG_COLUMNS, F.explode_outer("_list").alias("_w"))
-    tokens = exploded.select(*keys, *FOG_COLUMNS, F.lower("_w").alias("token"))
+    numbered = docs.select(*keys, "text", F.monotonically_increasing_id().alias("_row"))
+    listed = with_fog(numbered, "text", letters, words_as="_list")
+    exploded = listed.select(*keys, "_row", *FOG_COLUMNS, F.explode_outer("_list").alias("_w"))
+    tokens = exploded.select(*keys, "_row", *FOG_COLUMNS, F.lower("_w").alias("token"))
     return (
         lookup_join(tokens, scored, ["token"], "left")
-        .groupBy(*keys, *FOG_COLUMNS)
+        .groupBy(*keys, "_row", *FOG_COLUMNS)
         .agg(F.coalesce(F.avg("val"), F.lit(0.0)).alias("sentiment"))
+        .drop("_row")
     )
 
 
+METRICS_COLUMNS = [*AUTHOR_COLUMNS, "sentiment", *FOG_COLUMNS]
+
+
+def corpus_metrics(texts: DataFrame, authors: DataFrame, lexicon_words: DataFrame, **rules) -> DataFrame:
+    """One row per (text, author): each text is measured once, then joined to its authors.
+
+    ``texts``: (doc_id, text), each text once; ``authors``: the corpus columns but the text.
+    """
+    return authors.join(doc_metrics(texts, ["doc_id"], lexicon_words, **rules), "doc_id").select(*METRICS_COLUMNS)
+
+
+def author_counts(counts: DataFrame, authors: DataFrame, keys: list[str], per_author: bool = True) -> DataFrame:
+    """(keys, term, tf) from term counts of texts (doc_id, term, tf) and their authors.
+
+    A text counts once for each of its authors in a group, or once with ``per_author=False``.
+    Authors are counted per (text, group) first, so no text is copied.
+    """
+    groups = authors.groupBy("doc_id", *keys).agg((F.count("*") if per_author else F.lit(1)).alias("_n"))
+    return counts.join(groups, "doc_id").groupBy(*keys, "term").agg(F.sum(F.col("tf") * F.col("_n")).alias("tf"))
+
+
 def doc_sentiment(
     docs: DataFrame,
     keys: list[str],
@@ -171,14 +244,16 @@ def doc_sentiment(
     )
 
 
-def kwic(tokens: DataFrame, keys: list[str], word: str, width: int = 3) -> DataFrame:
-    """Each occurrence of a word with its neighbours, from a token table (keys, pos, token)."""
-    in_order = Window.partitionBy(*keys).orderBy("pos")
-    left = F.array(*[F.lag("token", i).over(in_order) for i in range(width, 0, -1)])
-    right = F.array(*[F.lead("token", i).over(in_order) for i in range(1, width + 1)])
-    return (
-        tokens.withColumn("left", F.array_join(F.array_compact(left), " "))
-        .withColumn("right", F.array_join(F.array_compact(right), " "))
-        .where(F.col("token") == word)
-        .select(*keys, "pos", "left", F.col("token").alias("keyword"), "right")
+def kwic(docs: DataFrame, keys: list[str], word: str, width: int = 3, letters: str = LETTERS) -> DataFrame:
+    """Each occurrence of a word with its neighbours, cut out of each text's own words."""
+    listed = docs.where(F.contains(F.lower("text"), F.lit(word))).select(*keys, raw_tokens(F.col("text"), letters).alias("_w"))
+    at = F.filter(F.sequence(F.lit(0), F.size("_w") - 1), lambda i: F.get("_w", i) == word)
+    found = listed.where(F.size("_w") > 0).select(*keys, "_w", F.explode(at).alias("pos"))
+    before = F.least(F.lit(width), F.col("pos"))
+    return found.select(
+        *keys,
+        "pos",
+        F.array_join(F.slice("_w", F.col("pos") - before + 1, before), " ").alias("left"),
+        F.lit(word).alias("keyword"),
+        F.array_join(F.slice("_w", F.col("pos") + 2, F.lit(width)), " ").alias("right"),
     )

@@ -37,41 +37,61 @@ def centroid_distances(scores: DataFrame, channel: str, group: str) -> DataFrame
 
 
 def pairwise_cosine(scores: DataFrame, channel: str, group: str) -> DataFrame:
-    """Cosine of every two groups of a channel, by a join on term.
+    """Cosine of every two groups of a channel, 0 for two without a common term.
 
-    A term of the bounded vocabulary has at most one row per group, so a key never holds
-    more than that. ``scores`` is read twice: pass a written table.
+    All pairs of groups is what is asked: fine for clubs, not for members. A term of the
+    bounded vocabulary has at most one row per group, so a key never holds more than that.
+    ``scores`` is read several times: pass a written table.
     """
     other = scores.select(channel, "term", F.col(group).alias("other"), F.col("score").alias("_s"))
-    return (
+    dots = (
         scores.join(other, [channel, "term"])
         .where(F.col(group) < F.col("other"))
         .groupBy(channel, group, "other")
         .agg(F.sum(F.col("score") * F.col("_s")).alias("cosine"))
     )
+    groups = scores.select(channel, group).distinct()
+    pairs = groups.join(groups.withColumnRenamed(group, "other"), channel).where(F.col(group) < F.col("other"))
+    return pairs.join(dots, [channel, group, "other"], "left").fillna(0.0, ["cosine"])
 
 
-def group_pca(scores: DataFrame, group: str, k: int = 2) -> DataFrame:
-    """2-D positions of groups from their cosine rows: one short vector per group.
+def group_pca(scores: DataFrame, channel: str, group: str, k: int = 2) -> DataFrame:
+    """(channel, group, pc1 .. pck): principal coordinates of the groups of each channel.
 
-    ``scores`` is read three times: pass a written table.
+    The matrix of dot products of a channel's vectors, centred on both sides, has the
+    principal axes of the vectors as eigenvectors; coordinates are these times the root
+    of the eigenvalue, the largest one of an axis made positive. One small matrix (groups
+    squared) per channel, each in a task of its own; axes beyond the rank are 0. ``scores`` is
+    read twice: pass a written table.
     """
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    names = [r[0] for r in scores.select(group).distinct().orderBy(group).collect()]
-    other = scores.select("term", F.col(group).alias("_other"), F.col("score").alias("_s"))
-    gram = (
-        scores.join(other, "term")
-        .groupBy(group)
-        .pivot("_other", names)
-        .agg(F.sum(F.col("score") * F.col("_s")))
-        .fillna(0.0)
+    other = scores.select(channel, "term", F.col(group).alias("_other"), F.col("score").alias("_s"))
+    dots = (
+        scores.join(other, [channel, "term"])
+        .groupBy(channel, group, "_other")
+        .agg(F.sum(F.col("score") * F.col("_s")).alias("_dot"))
     )
-    rows = gram.select(group, array_to_vector(F.array(*[F.col(f"`{n}`") for n in names])).alias("v"))
-    model = PCA(k=k, inputCol="v", outputCol="p").fit(rows)
-    at = vector_to_array("p")
-    return model.transform(rows).select(group, *[at[i].alias(f"pc{i + 1}") for i in range(k)])
+    axes = [f"pc{i + 1}" for i in range(k)]
+
+    def positions(rows):
+        import numpy as np
+
+        names = sorted(rows[group].unique())
+        at = {name: i for i, name in enumerate(names)}
+        gram = np.zeros((len(names), len(names)))
+        gram[rows[group].map(at), rows["_other"].map(at)] = rows["_dot"]
+        gram = gram - gram.mean(0) - gram.mean(1)[:, None] + gram.mean()
+        values, vectors = np.linalg.eigh((gram + gram.T) / 2)
+        top = [len(names) - 1 - i for i in range(min(k, len(names)))]
+        found = vectors[:, top] * np.sqrt(np.maximum(values[top], 0))
+        found *= np.where(found[np.abs(found).argmax(0), range(len(top))] < 0, -1.0, 1.0)
+        out = rows.iloc[: len(names)][[channel]].reset_index(drop=True).assign(**{group: names})
+        for i, axis in enumerate(axes):
+            out[axis] = found[:, i] if i < len(top) else 0.0
+        return out
+
+    types = dict(scores.dtypes)
+    schema = f"`{channel}` {types[channel]}, `{group}` {types[group]}, " + ", ".join(f"{a} double" for a in axes)
+    return dots.groupBy(channel).applyInPandas(positions, schema)
 
 
 def browse(

@@ -4,61 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# A lookup of this many short rows is tens of megabytes in memory.
+# A word list is broadcast up to these sizes, both counted before.
 BROADCAST_ROWS = 300_000
+BROADCAST_BYTES = 32 << 20
 
 
-def small_copy(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame | None:
-    """The table as a local relation if it has at most ``max_rows`` rows, else None.
+def small_copy(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame | None:
+    """The table as a local relation if rows and bytes are within the bounds, else None.
 
     A broadcast passes through the driver anyway; reading one row beyond the bound tells
     whether it may, and the rows read are then not computed a second time.
     """
     rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
+    if rows.num_rows > max_rows or rows.nbytes > max_bytes:
         return None
     return df.sparkSession.createDataFrame(rows, df.schema)
 
 
-def lookup_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: list[str],
-    how: str = "inner",
-    max_rows: int = BROADCAST_ROWS,
-    salts: int = 64,
-) -> DataFrame:
-    """Join a large, possibly skewed table with a lookup.
+def lookup_join(tokens: DataFrame, words: DataFrame, on: list[str], how: str = "inner", max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Join exploded tokens with a word list.
 
-    The lookup is broadcast when its counted size allows. A larger one is shuffled with
-    the hot keys of ``left`` spread over ``salts`` copies of each lookup row; every row
-    still meets every lookup row of its key.
+    The list is broadcast when its counted size allows, so that the tokens are not shuffled;
+    beyond that it is an ordinary join, whose hot keys adaptive execution splits.
     """
-    small = small_copy(right, max_rows)
-    if small is not None:
-        return left.join(F.broadcast(small), on, how)
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows handed to all cores by key where the input has fewer splits than cores.
-
-    Text functions are CPU-bound and a small file is one split. A large input has splits
-    enough and is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
-
-
-def by_key(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows of a key in one partition; at least one partition per core for a small input,
-    as many as the session and AQE choose for a large one."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, *keys)
-    return df.repartition(*keys)
+    small = small_copy(words, max_rows)
+    return tokens.join(words if small is None else F.broadcast(small), on, how)
 
 
 def top_k(
@@ -68,13 +38,15 @@ def top_k(
     k: int,
     spread: list[str],
     rank_col: str | None = None,
-    salts: int = 64,
+    salts: int | None = None,
 ) -> DataFrame:
     """First ``k`` rows per partition, exactly, without sorting a hot partition in one task.
 
-    Each partition is cut into ``salts`` shares by a hash of ``spread``; a row outside the
-    first k of its share cannot be among the first k overall.
+    Each partition is cut into ``salts`` shares (as many as the session has shuffle partitions)
+    by a hash of ``spread``; a row outside the first k of its share cannot be among the first
+    k overall.
     """
+    salts = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     share = F.pmod(F.xxhash64(*spread), F.lit(salts))
     rank = rank_col or "_rank"
     in_share = Window.partitionBy(*partition, "_share").orderBy(*order)

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from textlab.functions.text import slugify
 from textlab.functions.values import extract_dates, first_truthy, safe_int
-from textlab.operators.joins import lookup_join
 
 
 def dim_members(listed: DataFrame, details: DataFrame, id_columns=("id", "alt_id", "mpId")) -> DataFrame:
@@ -49,13 +48,15 @@ def member_slugs(members: DataFrame) -> DataFrame:
 
 
 def proceeding_days(proceedings: DataFrame, details: DataFrame) -> DataFrame:
-    """Distinct (num, day): dates of the detail record, else of the list entry.
+    """Distinct (num, day): dates of the detail record, else of the first list entry.
 
-    Both inputs: num and the record as JSON text in ``json``.
+    Both inputs: num and the record as JSON text in ``json``. ``pos`` is the place in the list;
+    without it the order of reading counts.
     """
-    entries = proceedings.select("num", extract_dates(F.col("json")).alias("_listed")).where(
-        "num is not null"
-    )
+    place = F.col("pos") if "pos" in proceedings.columns else F.monotonically_increasing_id()
+    listed = proceedings.where("num is not null").select("num", "json", place.alias("_pos"))
+    first = listed.groupBy("num").agg(F.min_by("json", "_pos").alias("json"))
+    entries = first.select("num", extract_dates(F.col("json")).alias("_listed"))
     found = details.select("num", extract_dates(F.col("json")).alias("_detail"))
     days = F.when(F.size("_detail") > 0, F.col("_detail")).otherwise(F.col("_listed"))
     return (
@@ -97,9 +98,7 @@ def member_folder(mp_id: Column, slug: Column) -> Column:
 
 def statement_routes(index: DataFrame, slugs: DataFrame) -> DataFrame:
     """Relative landing path of every statement page."""
-    known = lookup_join(
-        index, slugs.select(F.col("mp_id").alias("memberID"), "slug"), ["memberID"], "left"
-    )
+    known = index.join(slugs.select(F.col("mp_id").alias("memberID"), "slug"), "memberID", "left")
     slug = F.coalesce(F.col("slug"), slugify(F.col("name")))
     folder = F.when(
         F.col("memberID") > 0, F.concat(F.lit("html_by_mp/"), member_folder(F.col("memberID"), slug))
@@ -121,7 +120,7 @@ def author_pointers(details: DataFrame, slugs: DataFrame, root: str, prefix: str
     authors = details.select("num", F.explode("from").alias("_a")).select(
         "num", safe_int(F.col("_a")).alias("mp_id")
     ).where("mp_id is not null")
-    known = lookup_join(authors, slugs.select("mp_id", "slug"), ["mp_id"], "left")
+    known = authors.join(slugs.select("mp_id", "slug"), "mp_id", "left")
     folder = member_folder(F.col("mp_id"), F.coalesce("slug", F.lit("unknown")))
     return known.select(
         "mp_id",

@@ -18,7 +18,6 @@ from textlab.functions.values import (
     term_ordinal,
     to_bool,
 )
-from textlab.operators.joins import lookup_join
 
 # Label variants of the same club.
 CLUB_LABELS = {
@@ -69,7 +68,7 @@ def apply_overrides(df: DataFrame, overrides: DataFrame, key: str) -> DataFrame:
     wide = overrides.groupBy(key).agg(
         *[F.max(F.when(F.col("column") == c, F.col("value"))).alias(f"_{c}") for c in columns]
     )
-    return lookup_join(df, wide, [key], "left").select(
+    return df.join(wide, key, "left").select(
         key, *[F.coalesce(F.col(f"_{c}").try_cast(types[c]), F.col(c)).alias(c) for c in columns]
     )
 
@@ -132,7 +131,7 @@ def raw_roster(members: DataFrame) -> DataFrame:
 
 def published_roster(raw: DataFrame, sexes: DataFrame, key: str, reference_date: str = REFERENCE_DATE) -> DataFrame:
     """The finished roster in its column order; ``sexes``: key, plec."""
-    return clean_roster(lookup_join(raw, sexes, [key], "left"), reference_date).select(*ROSTER_COLUMNS)
+    return clean_roster(raw.join(sexes, key, "left"), reference_date).select(*ROSTER_COLUMNS)
 
 
 def load_roster(df: DataFrame, artefacts: dict[str, str] | None = None) -> DataFrame:
@@ -158,7 +157,7 @@ def place_lookup(members: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataF
     places = members.select(place.alias("miejsceUr")).where("miejsceUr is not null").distinct()
     missing = places.join(cache.select("miejsceUr"), "miejsceUr", "left_anti")
     stale = [c for c in ("miejsceUrLan", "miejsceUrLon") if c in members.columns]
-    return lookup_join(members.drop(*stale), cache, ["miejsceUr"], "left"), missing
+    return members.drop(*stale).join(cache, "miejsceUr", "left"), missing
 
 
 def extend_cache(cache: DataFrame, found: DataFrame) -> DataFrame:

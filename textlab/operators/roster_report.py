@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textlab.functions.text import half_even, n_label, pct_label
 from textlab.functions.values import degree_level, sex_label
-from textlab.operators.joins import lookup_join
 from textlab.operators.stats import complete_grid, share_of_total, summary_by
 
 # Display order of clubs, sexes, degree levels and inactivity reasons.
@@ -274,6 +273,6 @@ def postgraduate_heat(mp: DataFrame, levels=tuple(range(7))) -> DataFrame:
 
 def with_default(ids: DataFrame, column: str, mapping: DataFrame, label: str, default: str) -> DataFrame:
     """Distinct ids with their mapped label, or the default."""
-    return lookup_join(ids.select(column).distinct(), mapping, [column], "left").withColumn(
+    return ids.select(column).distinct().join(mapping, column, "left").withColumn(
         label, F.coalesce(label, F.lit(default))
     )

@@ -2,27 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+
+def slice_of(value: Column, cuts: list) -> Column:
+    """Number of the ascending ``cuts`` that are <= value, by binary search; null gives 0."""
+    if not cuts:
+        return F.lit(0)
+    steps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
+    table = F.array(*[F.lit(c) for c in cuts])
+
+    def step(at: Column, width: Column) -> Column:
+        ahead = at + width
+        fits = (ahead <= len(cuts)) & (F.element_at(table, F.least(ahead, F.lit(len(cuts)))) <= value)
+        return F.when(fits, ahead).otherwise(at)
+
+    return F.aggregate(F.lit(steps).cast("array<int>"), F.lit(0), step)
 
 
 def with_row_id(
-    df: DataFrame, key: str, ties: list[str] = (), name: str = "id", start: int = 0, parts: int = 64
-) -> DataFrame:
+    df: DataFrame, key: str, ties: list[str] = (), name: str = "id", start: int = 0,
+    rows_per_slice: int = 1_000_000, parts: int | None = None,
+) -> DataFrame:
     """Consecutive numbers in the order of a numeric or date key.
 
-    The key range is cut at approximate quantiles (``parts`` numbers reach the driver and
+    The key range is cut at approximate quantiles into ``parts`` slices, by default of about
+    ``rows_per_slice`` when the key is close to unique (as many numbers reach the driver and
     come back as literals, so every stage sees the same cuts); rows are numbered inside a
-    slice and shifted by the rows before it. A slice holds about 1/parts of the rows when
-    the key is close to unique.
+    slice and shifted by the rows before it.
     """
-    probs = [i / parts for i in range(1, parts)]
-    cuts = df.agg(F.percentile_approx(key, F.array(*[F.lit(p) for p in probs]), 10_000)).first()[0]
-    cuts = sorted(set(cuts or []))
-    slice_no = F.lit(0)
-    if cuts:
-        edges = F.array(*[F.lit(c) for c in cuts])
-        slice_no = F.size(F.filter(edges, lambda e: e <= F.col(key)))
-    sliced = df.withColumn("_slice", slice_no)
+    parts = parts or -(-df.count() // rows_per_slice)
+    cuts = []
+    if parts > 1:
+        probs = [i / parts for i in range(1, parts)]
+        cuts = sorted(set(df.agg(F.percentile_approx(key, probs, max(10_000, 20 * parts))).first()[0] or []))
+    sliced = df.withColumn("_slice", slice_of(F.col(key), cuts))
     before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         sliced.groupBy("_slice")
@@ -31,7 +45,7 @@ def with_row_id(
         .drop("_n")
     )
     inside = Window.partitionBy("_slice").orderBy(key, *ties)
-    # At most ``parts`` offsets.
+    # One offset per slice.
     return (
         sliced.withColumn("_r", F.row_number().over(inside))
         .join(F.broadcast(offsets), "_slice")

@@ -4,30 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from textlab.operators.joins import lookup_join
-
 
 def grouped_quantiles(
     df: DataFrame,
     keys: list[str],
     value: str,
     probs: list[float],
-    resolution: int = 256,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles, one row (keys, prob, quantile) each.
 
     No task ever holds a whole group: equal values are counted first, the counts are cut
-    into ordered slices by a fixed monotone function of the value, and only the slices
+    into 64 ordered slices at the group's own approximate quantiles, and only the slices
     that contain a wanted rank are sorted.
     """
-    counts = (
+    counted = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(F.count("*").alias("_n"))
-        .withColumn(
-            "_slice", F.floor(F.signum("_v") * F.log1p(F.abs("_v")) * resolution).cast("int")
-        )
     )
+    cuts = counted.groupBy(*keys).agg(F.percentile_approx("_v", [i / 64 for i in range(1, 64)], 2_000).alias("_cuts"))
+
+    def step(at: Column, width: Column) -> Column:
+        return F.when(F.element_at("_cuts", at + width) <= F.col("_v"), at + width).otherwise(at)
+
+    slice_no = F.aggregate(F.lit([32, 16, 8, 4, 2, 1]).cast("array<int>"), F.lit(0), step)
+    counts = counted.join(cuts, keys).select(*keys, "_v", "_n", slice_no.alias("_slice"))
     by_slice = Window.partitionBy(*keys).orderBy("_slice")
     spans = (
         counts.groupBy(*keys, "_slice")
@@ -127,7 +128,7 @@ def box_stats(df: DataFrame, keys: list[str], x: str) -> DataFrame:
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     near = F.col("_x").between(F.col("q1") - reach, F.col("q3") + reach)
     return (
-        lookup_join(some, hinges, keys)
+        some.join(hinges, keys)
         .groupBy(*keys)
         .agg(
             F.count("*").alias("n"),
@@ -142,13 +143,13 @@ def box_stats(df: DataFrame, keys: list[str], x: str) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Melted Pearson matrix; a null in either column makes the pair null. One pass."""
+    """Melted Pearson matrix; a null in either of two columns makes the pair null. One pass."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
 
     def guarded(a: str, b: str) -> Column:
         holes = F.count_if(F.col(a).isNull() | F.col(b).isNull())
         value = F.corr(F.col(a).cast("double"), F.col(b).cast("double"))
-        return F.when(holes == 0, value)
+        return F.lit(1.0) if a == b else F.when(holes == 0, value)
 
     row = df.agg(*[guarded(a, b).alias(f"{a}|{b}") for a, b in pairs])
     cells = F.array(

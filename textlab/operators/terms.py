@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from textlab.functions.text import fold_token, words
 from textlab.functions.words import LETTERS
 from textlab.operators.corpus import vocabulary_filter
-from textlab.operators.joins import lookup_join, top_k
+from textlab.operators.joins import top_k
 
 
 def term_counts(
@@ -31,31 +31,52 @@ def term_counts(
     return kept.groupBy(*keys, fold_token(F.col("token")).alias("term")).agg(F.sum("tf").alias("tf"))
 
 
-def ngram_counts(tokens: DataFrame, doc_keys: list[str], keys: list[str], sizes=(2, 3)) -> DataFrame:
-    """(keys, term, ngram_len, tf) of lemma n-grams within one text.
+def ngram_counts(listed: DataFrame, keys: list[str], sizes=(2, 3)) -> DataFrame:
+    """(keys, term, ngram_len, tf) of n-grams within each row's ``words``.
 
-    ``tokens`` is a ``doc_tokens`` table; the window is per text, which bounds it.
+    ``listed`` is a ``lemma_arrays`` table.
     """
-    in_order = Window.partitionBy(*doc_keys).orderBy("pos")
-    following = [F.lead("lemma", i).over(in_order).alias(f"_l{i}") for i in range(1, max(sizes))]
-    words = tokens.select(*dict.fromkeys([*doc_keys, *keys]), F.col("lemma").alias("_l0"), *following)
-    grams = F.array(
-        *[
-            F.struct(
-                F.when(
-                    F.col(f"_l{n - 1}").isNotNull(), F.concat_ws(" ", *[f"_l{i}" for i in range(n)])
-                ).alias("term"),
-                F.lit(n).alias("ngram_len"),
-            )
-            for n in sizes
-        ]
-    )
-    return (
-        words.select(*keys, F.inline(grams))
-        .where("term is not null")
-        .groupBy(*keys, "term", "ngram_len")
-        .agg(F.count("*").alias("tf"))
+
+    def grams(n: int) -> Column:
+        last = F.size("words") - n
+        at = F.when(last >= 0, F.sequence(F.lit(1), last + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(
+            at, lambda i: F.struct(F.array_join(F.slice("words", i, n), " ").alias("term"), F.lit(n).alias("ngram_len"))
+        )
+
+    every = F.concat(*map(grams, sizes))
+    return listed.select(*keys, F.inline(every)).groupBy(*keys, "term", "ngram_len").agg(F.count("*").alias("tf"))
+
+
+def cross_ngram_counts(listed: DataFrame, group: list[str], order: list[str], sizes=(2, 3)) -> DataFrame:
+    """(group, term, ngram_len, tf) of n-grams when a group's texts, in order, are one text.
+
+    To the n-grams within texts come those over borders; for these only the first and last
+    words of each text meet in a window.
+    """
+    n_edge = max(sizes) - 1
+    edges = listed.where(F.size("words") > 0).select(
+        *group,
+        *order,
+        F.slice("words", 1, n_edge).alias("_head"),
+        F.slice("words", F.greatest(F.size("words") - n_edge + 1, F.lit(1)), F.lit(n_edge)).alias("_tail"),
     )
+    in_order = Window.partitionBy(*group).orderBy(*order)
+    heads = F.array_compact(F.array(*[F.lead("_head", i).over(in_order) for i in range(1, n_edge + 1)]))
+    met = edges.select(*group, "_tail", F.slice(F.flatten(heads), 1, n_edge).alias("_ahead"))
+
+    def crossing(n: int) -> Column:
+        whole = F.concat("_tail", F.slice("_ahead", 1, n - 1))
+        first = F.greatest(F.size("_tail") - n + 2, F.lit(1))
+        last = F.least(F.size("_tail"), F.size(whole) - n + 1)
+        at = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(
+            at, lambda i: F.struct(F.array_join(F.slice(whole, i, n), " ").alias("term"), F.lit(n).alias("ngram_len"))
+        )
+
+    over = met.select(*group, F.inline(F.concat(*map(crossing, sizes)))).groupBy(*group, "term", "ngram_len").agg(F.count("*").alias("tf"))
+    both = ngram_counts(listed, group, sizes).unionByName(over)
+    return both.groupBy(*group, "term", "ngram_len").agg(F.sum("tf").alias("tf"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -77,23 +98,16 @@ def tfidf_top(
 ) -> DataFrame:
     """Top terms per group when all texts of a group form one document, per channel.
 
-    One linear pass over the counts: document frequency and total by a window per term
-    (at most one row per group), vocabulary by a two-step top-k, norm and rank by windows
-    over at most ``max_features`` rows.
+    ``counts`` is read twice: pass a written table. Document frequency and total are one row
+    per term; the vocabulary, at most ``max_features`` rows per channel, is broadcast back
+    to the counts, and norm and rank run over at most that many rows of a group.
     """
-    n_groups = docs.groupBy(channel).agg(F.countDistinct(group).alias("_n"))
-    per_term = Window.partitionBy("_hash", channel, "term")
-    bounded = lookup_join(
-        with_term_hash(counts, channel).withColumn("_df", F.count("*").over(per_term)).withColumn(
-            "_total", F.sum("tf").over(per_term)
-        ).where(F.col("_df") >= min_df),
-        n_groups,
-        [channel],
-    ).where(F.col("_df") <= F.lit(max_df) * F.col("_n"))
-    vocabulary = _first_terms(bounded, [channel], max_features)
-    weight = F.col("tf") * idf(F.col("_n"), F.col("_df"))
+    n_groups = docs.groupBy(channel).agg(F.countDistinct(group).alias("n"))
+    vocab = vocabulary(counts, n_groups, [channel], min_df, max_df, max_features)
+    weight = F.col("tf") * idf(F.col("n"), F.col("df"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(channel, group)))
-    scored = vocabulary.withColumn("_w", weight).withColumn("score", F.col("_w") / norm)
+    kept = counts.join(F.broadcast(vocab), [channel, "term"])
+    scored = kept.withColumn("_w", weight).withColumn("score", F.col("_w") / norm)
     extra = ["ngram_len"] if ngram_len else []
     if scores_only:
         return scored.select(channel, group, "term", *extra, "score")
@@ -111,19 +125,6 @@ def with_term_hash(df: DataFrame, channel: str) -> DataFrame:
     return df.withColumn("_hash", F.xxhash64(channel, "term"))
 
 
-def _first_terms(rows: DataFrame, partition: list[str], k: int, salts: int = 64) -> DataFrame:
-    """Rows of the k terms with the largest ``_total`` (ties by term), in two steps so that
-    no task ranks a whole vocabulary. A term's rows share one salt."""
-    order = [F.desc("_total"), F.asc("term")]
-    share = F.pmod(F.xxhash64("term"), F.lit(salts))
-    out = rows.withColumn("_share", share)
-    for keys in ([*partition, "_share"], partition):
-        out = out.withColumn(
-            "_r", F.dense_rank().over(Window.partitionBy(*keys).orderBy(*order))
-        ).where(F.col("_r") <= k)
-    return out.drop("_r", "_share")
-
-
 def vocabulary(
     doc_terms: DataFrame,
     n_docs: DataFrame,
@@ -139,7 +140,7 @@ def vocabulary(
     terms = doc_terms.groupBy(*partition, "term").agg(
         F.count("*").alias("df"), F.sum("tf").alias("total")
     ).where(F.col("df") >= min_df)
-    bounded = lookup_join(terms, n_docs, partition).where(
+    bounded = terms.join(n_docs, partition).where(
         F.col("df") <= F.lit(max_df) * F.col("n")
     )
     return top_k(bounded, partition, [F.desc("total"), F.asc("term")], max_features, ["term"])
@@ -177,7 +178,7 @@ def tfidf_group_mean(
     sizes = docs.groupBy(group).agg(F.count("*").alias("_docs"))
     best = Window.partitionBy(group).orderBy(F.desc("score"), "term")
     return (
-        lookup_join(sums, sizes, [group])
+        sums.join(sizes, group)
         .withColumn("score", F.col("_s") / F.col("_docs"))
         .withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= top)
@@ -239,17 +240,16 @@ def log_odds(
     )
 
 
-def cooccurrence(tokens: DataFrame, keys: list[str], window: int = 2) -> DataFrame:
+def cooccurrence(listed: DataFrame, window: int = 2) -> DataFrame:
     """Unordered pairs of different words at most ``window`` positions apart, with counts.
 
-    Neighbours come from leads within a text, so no text is joined with itself.
+    Neighbours come from each row's own ``words``, so no text is joined with itself.
     """
-    in_order = Window.partitionBy(*keys).orderBy("pos")
-    near = F.array(*[F.lead("token", i).over(in_order) for i in range(1, window + 1)])
-    return (
-        tokens.select("token", F.array_compact(near).alias("_near"))
-        .select("token", F.explode("_near").alias("other"))
-        .where(F.col("token") != F.col("other"))
-        .groupBy(F.least("token", "other").alias("word_a"), F.greatest("token", "other").alias("word_b"))
-        .agg(F.count("*").alias("n"))
-    )
+
+    def at_distance(d: int) -> Column:
+        ahead = F.slice("words", F.lit(d + 1), F.greatest(F.size("words") - d, F.lit(0)))
+        pair = F.zip_with("words", ahead, lambda a, b: F.when(a != b, F.struct(F.least(a, b).alias("word_a"), F.greatest(a, b).alias("word_b"))))
+        return F.array_compact(pair)
+
+    every = F.concat(*[at_distance(d) for d in range(1, window + 1)])
+    return listed.select(F.inline(every)).groupBy("word_a", "word_b").agg(F.count("*").alias("n"))

@@ -8,7 +8,6 @@ from textlab.functions import text as X
 from textlab.functions.values import first_truthy, safe_int
 from textlab.operators import corpus as C, extras as K, metrics as G, report as J, terms as T
 from textlab.operators import topics as L
-from textlab.operators.joins import by_key, spread
 from textlab.operators.names import name_variants
 from textlab.operators.stats import box_stats
 from textlab.plans.oracle import (
@@ -48,7 +47,7 @@ def slugify(t: Tables):
     "safe_int",
     "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,"
     " CASE WHEN regexp_full_match(event_type, '[0-9]+') THEN 1 END AS typed,"
-    " CASE WHEN user_id % 3 = 0 THEN NULL ELSE user_id END AS padded FROM events",
+    " CASE WHEN user_id % 3 = 0 THEN NULL ELSE user_id END AS padded, -user_id AS signed FROM events",
 )
 def safe_ints(t: Tables):
     padded = F.concat(
@@ -59,6 +58,7 @@ def safe_ints(t: Tables):
         safe_int(F.get_json_object("props", "$.k")).alias("k"),
         safe_int(F.col("event_type")).cast("int").alias("typed"),
         safe_int(padded).alias("padded"),
+        safe_int(-F.col("user_id")).alias("signed"),
     )
 
 
@@ -149,7 +149,7 @@ def mentions_doc(t: Tables):
 
 @Q.add("name_variants", sql("SELECT name FROM names", "names"))
 def variants(t: Tables):
-    return name_variants((t.part, "p_name"))
+    return name_variants((t.part, "p_name"), (t.supplier, "s_name"))
 
 
 @Q.add(
@@ -221,7 +221,7 @@ WHERE turn > 0 AND role <> 'system' AND n_nationkey <> 3
 
 def written(t: Tables):
     """Line items as co-authored texts: a supplier, a second number and a bad id as authors."""
-    details = spread(t.lineitem, "l_orderkey").select(
+    details = t.dealt(t.lineitem, "l_orderkey").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("num"),
         F.array(
             F.col("l_suppkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_returnflag")
@@ -245,7 +245,8 @@ def spoken(t: Tables):
         F.col("conv_id").alias("proceedingNum"),
         day.alias("date"),
         F.col("turn").alias("statementNum"),
-        (F.col("role") == "system").alias("unspoken"),
+        # not known for one part of the system turns
+        F.when((F.col("role") != "system") | (F.col("conv_id") % 2 == 0), F.col("role") == "system").alias("unspoken"),
         "text",
     )
     members = t.nation.select(
@@ -283,8 +284,10 @@ def sentiment_doc(t: Tables):
     return rounded(C.doc_sentiment(t.docs, ["doc_id"], t.lexicon, **rules(t)))
 
 
-def metrics(t: Tables):
-    return C.doc_metrics(t.docs, ["doc_id", "club", "source", "weight"], t.lexicon, **rules(t))
+def metrics(t: Tables, *channels: str):
+    """Of all texts, or of those in some channels; the choice reaches the scan."""
+    docs = t.docs.where(F.col("source").isin(*channels)) if channels else t.docs
+    return C.doc_metrics(docs, ["doc_id", "club", "source", "weight"], t.lexicon, **rules(t))
 
 
 @Q.add(
@@ -300,7 +303,7 @@ def docs_metrics(t: Tables):
 # --- term statistics ------------------------------------------------------------------
 
 def unigrams(t: Tables):
-    return T.term_counts(t.docs, ["source", "club"], folded=True, **rules(t))
+    return materialise(T.term_counts(t.docs, ["source", "club"], folded=True, **rules(t)), "term-counts")
 
 
 def tfidf_sql(counts: str, extra: str, min_df: int, max_df: float, features: int) -> str:
@@ -328,8 +331,8 @@ def top_terms(t: Tables):
 
 
 def top_ngrams(t: Tables):
-    tokens = C.ordered_tokens(t.raw_docs, ["doc_id", "source", "club"], ["doc_id"], **rules(t))
-    counts = T.ngram_counts(tokens, ["doc_id"], ["source", "club"])
+    listed = C.lemma_arrays(t.docs, ["doc_id", "source", "club"], **rules(t))
+    counts = materialise(T.ngram_counts(listed, ["source", "club"]), "gram-counts")
     return T.tfidf_top(counts, t.raw_docs, "source", "club", 4, 0.45, 6000, 6, ngram_len=True)
 
 
@@ -382,28 +385,32 @@ def word_counts(t: Tables):
     return word_count_table(t)
 
 
-@Q.add(
-    "vocab_1_2gram",
-    sql("""SELECT source, term, df, CAST(total AS BIGINT) AS total FROM (SELECT source, term, df, total,
+VOCABULARY_SQL = """SELECT source, term, df, CAST(total AS BIGINT) AS total FROM (SELECT source, term, df, total,
   row_number() OVER (PARTITION BY source ORDER BY total DESC, term) AS r FROM
   (SELECT source, term, count(DISTINCT doc_id) AS df, count(*) AS total FROM (
     SELECT source, doc_id, lemma AS term FROM tok UNION ALL
     SELECT source, doc_id, lemma || ' ' || lead(lemma) OVER (PARTITION BY doc_id ORDER BY pos) FROM tok)
    WHERE term IS NOT NULL GROUP BY 1, 2)
   JOIN (SELECT source, count(*) AS n FROM docs GROUP BY 1) USING (source)
-  WHERE df >= 10 AND df <= 0.5 * n) WHERE r <= 4000""", "tok"),
+  WHERE df >= 10 AND df <= 0.5 * n) WHERE r <= 4000"""
+
+
+@Q.add(
+    "vocab_1_2gram",
+    sql(VOCABULARY_SQL, "tok"),
 )
 def vocab_1_2gram(t: Tables):
     return gram_vocabulary(t)
 
 
+def gram_table(t: Tables):
+    """Grams of every text, written with one folder per channel."""
+    grams = L.gram_arrays(t.docs, ["doc_id", "club", "source"], **rules(t))
+    return materialise(grams, "grams", ["source"])
+
+
 def gram_vocabulary(t: Tables):
-    keys = ["source", "doc_id"]
-    tokens = C.ordered_tokens(t.raw_docs, keys, ["doc_id"], **rules(t))
-    doc_terms = T.ngram_counts(tokens, ["doc_id"], keys, sizes=(1, 2))
-    n_docs = t.raw_docs.groupBy("source").agg(F.count("*").alias("n"))
-    kept = T.vocabulary(doc_terms, n_docs, ["source"], 10, 0.5, 4000)
-    return kept.select("source", "term", "df", "total")
+    return L.gram_vocabulary(gram_table(t), "source").select("source", "term", "df", "total")
 
 
 @Q.add(
@@ -431,8 +438,9 @@ def block_odds(t: Tables):
 # --- topic models (rows-only: the fit is not reproducible in SQL) ------------------------
 
 def topic_fit(t: Tables) -> L.TopicFit:
-    grams = L.gram_arrays(t.raw_docs, ["doc_id", "club", "source"], **rules(t))
-    return L.fit_topics(grams, gram_vocabulary(t), "source", "club")
+    grams = gram_table(t)
+    vocabulary = materialise(L.gram_vocabulary(grams, "source"), "gram-vocabulary")
+    return L.fit_topics(grams, vocabulary, "source", "club")
 
 
 @Q.add("lda_fit")
@@ -452,6 +460,40 @@ def lda_topic_mix(t: Tables):
     return topic_fit(t).mix
 
 
+@Q.add(
+    "lda_report",
+    sql("", "tok").rstrip() + """,
+vocab AS (SELECT source, least(12, count(*)) AS terms FROM (""" + VOCABULARY_SQL + """) GROUP BY 1),
+clubs AS (SELECT source, club, count(*) AS n FROM docs JOIN vocab USING (source) GROUP BY 1, 2)
+SELECT source, club, 6 AS topics, terms * 6 AS terms, 1.0::DOUBLE AS share, 6 AS labels, 21 AS ranks, 0 AS foreign_terms
+FROM clubs JOIN vocab USING (source)""",
+)
+def lda_report(t: Tables):
+    """Fit, labels, order and labelled mix of one model, reduced to what holds for any fit:
+    six topics per channel and club whose shares add up, with their terms from the vocabulary."""
+    grams = gram_table(t)
+    vocabulary = materialise(L.gram_vocabulary(grams, "source"), "gram-vocabulary")
+    fit = L.fit_topics(grams, vocabulary, "source", "club")
+    labels = L.topic_labels(fit.topics)
+    shown = J.topic_mix_labelled(fit.mix, labels)
+    order = J.topic_order(fit.mix)
+    places = order.groupBy("source").agg(
+        (F.sum("topic_ord") - F.count("*") * (F.min("topic_ord") - 1)).cast("int").alias("ranks")
+    )
+    known = vocabulary.select("source", "term", F.lit(1).alias("_known"))
+    terms = (
+        fit.topics.join(known, ["source", "term"], "left")
+        .groupBy("source")
+        .agg(F.count("*").alias("terms"), F.count_if(F.col("_known").isNull()).cast("int").alias("foreign_terms"))
+    )
+    sums = shown.groupBy("source", "club").agg(
+        F.countDistinct("topic").cast("int").alias("topics"),
+        F.round(F.sum("proportion"), 6).alias("share"),
+        F.countDistinct("topic_lab").cast("int").alias("labels"),
+    )
+    return sums.join(places, "source").join(terms, "source")
+
+
 # --- style aggregates -----------------------------------------------------------------
 
 _STYLE = (
@@ -470,19 +512,19 @@ def style_metrics(t: Tables):
     return rounded(G.style_metrics(per_doc, GROUP).select(*GROUP, *_STYLE))
 
 
-def means(t: Tables):
-    return G.style_means(metrics(t), GROUP)
+def means(t: Tables, *channels: str):
+    return G.style_means(metrics(t, *channels), GROUP)
 
 
 def dumbbell(t: Tables):
-    return G.pivot_channels(means(t), "club", "source", "sentiment_mean", WRITTEN, SPOKEN, "delta")
+    return G.pivot_channels(means(t, WRITTEN, SPOKEN), "club", "source", "sentiment_mean", WRITTEN, SPOKEN, "delta")
 
 
 WIDE_SQL = (
     "wide AS (SELECT club, max({v}) FILTER (WHERE source = '" + WRITTEN + "') AS " + WRITTEN
     + ", max({v}) FILTER (WHERE source = '" + SPOKEN + "') AS " + SPOKEN
     + ", max({v}) FILTER (WHERE source = '" + SPOKEN + "') - max({v}) FILTER (WHERE source = '" + WRITTEN
-    + "') AS delta FROM style GROUP BY 1)\n"
+    + "') AS delta FROM style WHERE source IN ('" + WRITTEN + "', '" + SPOKEN + "') GROUP BY 1)\n"
 )
 DUMBBELL_SQL = sql("", "style").rstrip() + ",\n" + WIDE_SQL.format(v="sentiment_mean")
 FOG_SQL = sql("", "style").rstrip() + ",\n" + WIDE_SQL.format(v="fog_mean")
@@ -526,10 +568,7 @@ w AS (SELECT doc_id, pos, token, concat_ws(' ', lag(token, 3) OVER o, lag(token,
 SELECT doc_id, pos, "left", token AS keyword, "right" FROM w WHERE token = 'tion'""",
 )
 def kwic(t: Tables):
-    words_ = by_key(t.raw_docs, "doc_id").select(
-        "doc_id", F.posexplode(X.raw_tokens(F.col("text"))).alias("pos", "token")
-    )
-    return C.kwic(words_, ["doc_id"], "tion", 3)
+    return C.kwic(t.docs, ["doc_id"], "tion", 3)
 
 
 @Q.add(
@@ -539,8 +578,7 @@ def kwic(t: Tables):
   WINDOW o AS (PARTITION BY doc_id ORDER BY pos)) WHERE other IS NOT NULL AND other <> token GROUP BY 1, 2""", "tok"),
 )
 def cooccurrence(t: Tables):
-    tokens = C.ordered_tokens(t.raw_docs, ["doc_id"], ["doc_id"], **rules(t))
-    return T.cooccurrence(tokens, ["doc_id"], 2)
+    return T.cooccurrence(C.lemma_arrays(t.docs, ["doc_id"], **rules(t), column="token"), 2)
 
 
 def unit_vectors(t: Tables):
@@ -560,8 +598,12 @@ def centroid_distance(t: Tables):
 
 @Q.add(
     "club_cosine",
-    UNI_SQL + """SELECT a.source, a.club, b.club AS other, round(sum(a.score * b.score), 8) AS cosine
-FROM scores_t a JOIN scores_t b ON a.source = b.source AND a.term = b.term AND a.club < b.club GROUP BY 1, 2, 3""",
+    UNI_SQL + """, g AS (SELECT DISTINCT source, club FROM scores_t),
+c AS (SELECT a.source, a.club, b.club AS other, sum(a.score * b.score) AS x
+  FROM scores_t a JOIN scores_t b ON a.source = b.source AND a.term = b.term AND a.club < b.club GROUP BY 1, 2, 3)
+SELECT a.source, a.club, b.club AS other, round(coalesce(x, 0.0), 8) AS cosine
+FROM g a JOIN g b ON a.source = b.source AND a.club < b.club
+LEFT JOIN c ON c.source = a.source AND c.club = a.club AND c.other = b.club""",
 )
 def club_cosine(t: Tables):
     return rounded(K.pairwise_cosine(materialise(unit_vectors(t), "vectors"), "source", "club"))
@@ -569,9 +611,20 @@ def club_cosine(t: Tables):
 
 @Q.add("club_pca")
 def club_pca(t: Tables):
-    """Positions of all (channel, club) vectors in one plane."""
-    vectors = unit_vectors(t).withColumn("channel_club", F.concat_ws("/", "source", "club"))
-    return K.group_pca(materialise(vectors, "vectors"), "channel_club")
+    """Positions of the clubs of each channel in a plane of their own."""
+    return K.group_pca(materialise(unit_vectors(t), "vectors"), "source", "club")
+
+
+@Q.add(
+    "club_pca_center",
+    UNI_SQL + """, n AS (SELECT source, count(DISTINCT club) AS clubs, count(DISTINCT club) > 1 AS spread FROM scores_t GROUP BY 1)
+SELECT source, clubs, 0.0::DOUBLE AS mean1, 0.0::DOUBLE AS mean2 FROM n""",
+)
+def club_pca_center(t: Tables):
+    """What holds for any such plane: one point per club, around zero."""
+    at = K.group_pca(materialise(unit_vectors(t), "vectors"), "source", "club").groupBy("source")
+    means = [(F.round(F.avg(f"pc{i}"), 6) + 0.0).alias(f"mean{i}") for i in (1, 2)]
+    return at.agg(F.count("*").alias("clubs"), *means)
 
 
 @Q.add(
@@ -616,3 +669,15 @@ def browse(t: Tables):
     )
 
 
+@Q.add(
+    "browse_dates",
+    "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, o_orderstatus FROM orders"
+    " WHERE o_orderstatus IN ('F', 'O') AND CAST(o_orderdate AS DATE) BETWEEN DATE '1995-03-01' AND DATE '1995-06-30'",
+)
+def browse_dates(t: Tables):
+    """Rows of some kinds within a range of days."""
+    rows = t.orders.withColumn("day", F.col("o_orderdate").cast("date"))
+    condition = F.col("o_orderstatus").isin("F", "O") & F.col("o_orderdate").between(
+        F.lit("1995-03-01").cast("timestamp"), F.lit("1995-06-30 23:59:59.999999").cast("timestamp")
+    )
+    return rounded(K.browse(rows, condition, ["o_orderkey", "day", "o_orderstatus"], ["day", "o_orderkey"]))

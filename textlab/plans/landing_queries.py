@@ -9,7 +9,6 @@ from textlab.functions.text import collapse_ws
 from textlab.functions.values import extract_dates
 from textlab.operators import landing as B
 from textlab.operators.corpus import lexicon
-from textlab.operators.joins import spread
 from textlab.operators.rows import with_row_id
 from textlab.plans.oracle import sql
 from textlab.plans.registry import Registry, rounded
@@ -23,12 +22,13 @@ TERM = 10
 
 # Orders as proceeding records: JSON texts with dates among values, keys and prose.
 PROCEEDINGS = """
-SELECT o_orderkey AS num,
+SELECT o_orderkey AS num, 0 AS pos,
   '{{"num": ' || CAST(o_orderkey AS STRING) || ', "1999-01-01": 1, "note": "seen 1998-02-02 at noon", "day": "'
     || CAST(CAST(o_orderdate AS DATE) AS STRING) || '", "days": ["'
     || CAST(CAST(CAST(o_orderdate AS DATE) + INTERVAL 7 DAY AS DATE) AS STRING) || '", ["'
-    || CAST(CAST(o_orderdate AS DATE) AS STRING) || '"]]}}' AS json
+    || CAST(CAST(o_orderdate AS DATE) AS STRING) || '"], "said \\\\"2001-01-01", "\\\\"2002-02-02\\\\""]}}' AS json
 FROM {orders}
+UNION ALL SELECT o_orderkey, 1, '{{"again": "2003-03-03"}}' FROM {orders} WHERE o_orderkey % 5 = 0
 """
 DETAILS = """
 SELECT o_orderkey AS num,
@@ -46,7 +46,7 @@ _DAY = "CAST(o_orderdate AS DATE)"
     " AS dates FROM orders",
 )
 def dates(t: Tables):
-    rows = t.spark.sql(PROCEEDINGS, orders=t.orders)
+    rows = t.spark.sql(PROCEEDINGS, orders=t.orders).where("pos = 0")
     return rows.select("num", F.array_join(extract_dates(F.col("json")), ",").alias("dates"))
 
 
@@ -213,7 +213,7 @@ def text_details(t: Tables):
         F.array(attachment).alias("attachments"),
     )
     own = F.struct(F.lit("K").alias("key"), F.array(attachment, attachment).alias("attachments"))
-    return spread(t.lineitem, "l_orderkey").select(
+    return t.dealt(t.lineitem, "l_orderkey").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("num"),
         F.array(F.col("l_suppkey").cast("string"), flag).alias("from"),
         F.array(reply, own).alias("replies"),
@@ -315,7 +315,7 @@ def incremental_antijoin(t: Tables):
 # --- pages ------------------------------------------------------------------------------
 
 def pages(t: Tables):
-    return spread(t.pages, "page_id")
+    return t.dealt(t.pages, "page_id")
 
 
 TEXT_SQL = (
@@ -341,7 +341,7 @@ def strip_stage(t: Tables):
         F.lit("(Głosy, OKLASKI "), "source", F.lit(") "), "text", F.lit(" ("), "source",
         F.lit(")"), F.lit("(dzwonek)"),
     )
-    return spread(t.documents, "doc_id").select("doc_id", M.strip_stage(framed).alias("text"))
+    return t.dealt(t.documents, "doc_id").select("doc_id", M.strip_stage(framed).alias("text"))
 
 
 @Q.add(
@@ -350,7 +350,7 @@ def strip_stage(t: Tables):
 )
 def strip_brackets(t: Tables):
     framed = F.concat("lang", F.lit(" ["), "source", F.lit("] "), "text", F.lit(" []"))
-    return spread(t.documents, "doc_id").select("doc_id", M.strip_brackets(framed).alias("text"))
+    return t.dealt(t.documents, "doc_id").select("doc_id", M.strip_brackets(framed).alias("text"))
 
 
 STARTS, PHRASES = ("the ", "de ", "und"), ("tion the", "er de")
@@ -365,7 +365,7 @@ KEPT_SQL = (
     f"SELECT doc_id, len({KEPT_SQL}) AS lines, array_to_string({KEPT_SQL}, '|') AS kept FROM documents",
 )
 def drop_procedural(t: Tables):
-    kept = spread(t.documents, "doc_id").select(
+    kept = t.dealt(t.documents, "doc_id").select(
         "doc_id", M.kept_lines(F.col("text"), starts=STARTS, phrases=PHRASES).alias("k")
     )
     return kept.select("doc_id", F.size("k").alias("lines"), F.array_join("k", "|").alias("kept"))
@@ -394,7 +394,7 @@ def blocked_pages(t: Tables):
     "SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM documents",
 )
 def collapse(t: Tables):
-    return spread(t.documents, "doc_id").select("doc_id", collapse_ws(F.col("text")).alias("text"))
+    return t.dealt(t.documents, "doc_id").select("doc_id", collapse_ws(F.col("text")).alias("text"))
 
 
 def _tag_sql(tag: str) -> str:
@@ -462,9 +462,13 @@ def src_json_dir(t: Tables):
     return R.read_json_objects(t.spark, path, schema, r"/num=(\d+)/")
 
 
-@Q.add("src_csv", CUSTOMER_SQL.replace("c_mktsegment", "CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment"))
+@Q.add("src_csv", CUSTOMER_SQL.replace("c_mktsegment", "CASE WHEN c_custkey % 9 = 0 THEN NULL WHEN c_custkey % 9 = 1 THEN"
+    " '  \"' || c_mktsegment || '\",' || chr(10) || ' x ' ELSE c_mktsegment END AS c_mktsegment"))
 def src_csv(t: Tables):
-    rows = t.customer.withColumn("c_mktsegment", F.when(F.col("c_custkey") % 9 != 0, F.col("c_mktsegment")))
+    """Some values hold blanks at both ends, quotes, separators and line breaks."""
+    odd = F.concat(F.lit('  "'), F.col("c_mktsegment"), F.lit('",\n x '))
+    part = F.col("c_custkey") % 9
+    rows = t.customer.withColumn("c_mktsegment", F.when(part == 1, odd).when(part != 0, F.col("c_mktsegment")))
     path = S.write_csv(rows, folder(t, "csv"), rows.columns)
     return R.read_csv(t.spark, path, CUSTOMER)
 
@@ -518,11 +522,12 @@ def src_pair_details_body(t: Tables):
 
 @Q.add(
     "sink_csv",
-    "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, nullif(CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority END, '')"
+    "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, nullif(CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 3 = 1 THEN ' ' || o_orderpriority || chr(10) || '\"' ELSE o_orderpriority END, '')"
     " AS o_orderpriority, o_orderstatus FROM orders",
 )
 def sink_csv(t: Tables):
-    rows = t.orders.withColumn("o_orderpriority", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")))
+    part, odd = F.col("o_orderkey") % 3, F.concat(F.lit(" "), F.col("o_orderpriority"), F.lit('\n"'))
+    rows = t.orders.withColumn("o_orderpriority", F.when(part == 1, odd).when(part != 0, F.col("o_orderpriority")))
     path = S.write_csv(rows, folder(t, "sink-csv"), ["o_orderkey", "o_orderpriority", "o_orderstatus"])
     return R.read_csv(t.spark, path, "o_orderkey string, o_orderpriority string, o_orderstatus string")
 

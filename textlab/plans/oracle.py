@@ -57,7 +57,8 @@ PARTS: dict[str, tuple[str, tuple[str, ...]]] = {
     ),
     "parts": (
         "SELECT part FROM (SELECT DISTINCT unnest(regexp_split_to_array("
-        "regexp_replace(lower(p_name), '[-,]', ' ', 'g'), '\\s+')) AS part FROM part) WHERE length(part) > 2",
+        "regexp_replace(lower(name), '[-,]', ' ', 'g'), '\\s+')) AS part"
+        " FROM (SELECT p_name AS name FROM part UNION ALL SELECT s_name FROM supplier)) WHERE length(part) > 2",
         (),
     ),
     "bases": (
@@ -206,8 +207,9 @@ PARTS: dict[str, tuple[str, tuple[str, ...]]] = {
 }
 
 
-def sql(body: str, *needs: str) -> str:
-    """``body`` after the WITH list of everything it needs, dependencies first."""
+def sql(body: str, *needs: str, **instead: str) -> str:
+    """``body`` after the WITH list of everything it needs, dependencies first; ``instead`` gives
+    other texts for some names."""
     order: list[str] = []
 
     def visit(name: str) -> None:
@@ -220,7 +222,7 @@ def sql(body: str, *needs: str) -> str:
         visit(name)
     if not order:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({PARTS[n][0]})" for n in order) + "\n" + body
+    return "WITH " + ",\n".join(f"{n} AS ({instead.get(n, PARTS[n][0])})" for n in order) + "\n" + body
 
 
 def mention_sql(needle: str) -> str:

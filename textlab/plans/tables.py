@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from textlab.functions.text import raw_tokens
 from textlab.functions.words import DOMAIN_STOPWORDS
 from textlab.operators.corpus import lexicon
-from textlab.operators.joins import spread
 from textlab.operators.names import name_variants
 from textlab.operators.roster import clean_roster, load_roster
 
@@ -93,11 +92,19 @@ class Tables:
     @cached_property
     def docs(self) -> DataFrame:
         """Corpus rows: club, source (channel), weight and text."""
-        return spread(self.raw_docs, "doc_id")
+        return self.dealt(self.raw_docs, "doc_id")
+
+    def dealt(self, df: DataFrame, key: str) -> DataFrame:
+        """Rows dealt to ``spark.textlab.partitions`` tasks where that is set, else as scanned.
+
+        For tables that lie in one split on a machine of many cores; a cluster leaves it unset.
+        """
+        parts = int(self.spark.conf.get("spark.textlab.partitions", "0"))
+        return df.repartition(parts, key) if parts else df
 
     @cached_property
     def raw_docs(self) -> DataFrame:
-        """The same rows as scanned, for operators that partition by text themselves."""
+        """The same rows as scanned."""
         return self.documents.select(
             "doc_id",
             F.col("source").alias("club"),
@@ -120,8 +127,8 @@ class Tables:
 
     @cached_property
     def names(self) -> DataFrame:
-        """Name variants of the distinct part names."""
-        return name_variants((self.part, "p_name"))
+        """Name variants of the listed names (parts) and of the speakers' names (suppliers)."""
+        return name_variants((self.part, "p_name"), (self.supplier, "s_name"))
 
     @cached_property
     def raw_roster(self) -> DataFrame:

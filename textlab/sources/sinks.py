@@ -22,18 +22,19 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/textlab/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, partition_by: list[str] = ()) -> DataFrame:
     """Write once to the shared folder and read back: cuts lineage, outlives executors."""
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str], sep: str = ",", header: bool = True) -> str:
-    """Fixed column order; missing values as empty text."""
+    """Fixed column order; missing values as empty text, blanks at both ends kept."""
     df.select(*columns).write.csv(
-        path, header=header, sep=sep, nullValue="", emptyValue="", quote='"', escape='"'
-    )
+        path, header=header, sep=sep, nullValue="", emptyValue="", quote='"', escape='"',
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    )
     return path
 
 

@@ -13,14 +13,22 @@ def land_new_files(
     The checkpoint remembers the files, so a rerun resumes and a crash repeats nothing.
     """
     stream = spark.readStream.schema(schema).format(fmt).load(path)
+    added = spark.sparkContext.accumulator(0)
+
+    def append(batch: DataFrame, number: int) -> None:
+        # One folder per batch: a batch that is repeated after a crash replaces itself.
+        folder = f"{out.rstrip('/')}/batch={number}"
+        batch.write.mode("overwrite").parquet(folder)
+        added.add(spark.read.parquet(folder).count())
+
     query = (
-        stream.writeStream.format("parquet")
+        stream.writeStream.foreachBatch(append)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .start(out)
+        .start()
     )
     query.awaitTermination()
-    return sum(p["numInputRows"] for p in query.recentProgress)
+    return added.value
 
 
 def activity_stream(events: DataFrame, when: str, group: str, period: str = "1 day", lateness: str = "1 hour") -> DataFrame:
