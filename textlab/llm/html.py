@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from textlab.llm.common import slices
+from textlab.operators.joins import lookup_join
 from textlab.sources.sinks import materialise
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>", re.S)
@@ -230,7 +231,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "://([^/?#]*)", 1))
     sited = pages.select("page_id", "url", "html", host.alias("host"))
-    known = sited.join(noise_nodes(sited), "host", "left").select("page_id", "url", "html", "noise")
+    # pages stay where they are while the table of hosts is small enough to be broadcast
+    known = lookup_join(sited, noise_nodes(sited), ["host"], "left").select("page_id", "url", "html", "noise")
 
     def run(batches):
         for batch in slices(batches):
