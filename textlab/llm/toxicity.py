@@ -201,7 +201,7 @@ def _sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
     """At most ``max_rows`` labelled texts of the training part, one of each group of near copies."""
     train = (
         labels.where("doc_id is not null and toxic is not null and crc32(cast(doc_id as string)) % 4 != 2")
-        .groupBy("doc_id")
+        .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg(F.max("toxic").cast("int").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_rows)
@@ -211,7 +211,7 @@ def _sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
         sig = [_signature(t) for t in batch.column(2).to_pylist()]
         return pa.record_batch([*batch.columns, pa.array(sig, pa.int64())], ["doc_id", "toxic", "text", "sig"])
 
-    texts = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(train), "doc_id").select("doc_id", "toxic", "text")
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(train), "doc_id").select("doc_id", "toxic", "text")
     signed = in_batches(texts, kernel, "doc_id long, toxic int, text string, sig long")
     one = signed.groupBy("sig").agg(F.min_by(F.struct("toxic", "text"), "doc_id").alias("r"))
     return materialise(one.select("sig", "r.toxic", "r.text"), "toxicity-sample")
