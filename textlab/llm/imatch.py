@@ -111,27 +111,29 @@ def fingerprints(docs: DataFrame, rows_per_bucket: int = 2_000, max_buckets: int
     ).select("bucket", "guest", "place", "doc_id", n_chars.cast("long").alias("n_chars"), "text", edited.alias("edited"))
 
     split = texts.select(
-        "bucket", "guest", "place", "doc_id", "n_chars", F.sha2("edited", 256).alias("sha"),
+        "bucket", "place", "guest", "doc_id", "n_chars", F.sha2("edited", 256).alias("sha"),
         terms(F.col("text")).alias("own"), terms(F.col("edited")).alias("changed"),
     )
 
     def all_terms(t: str) -> Column:
         return F.substring(F.md5(F.array_join(F.sort_array(t), " ")), 1, 16)
 
-    # one row per term; role 2 carries what the document's row needs besides
+    # One row per term, as narrow as can be; role 2 carries what the document's row needs besides.
     def roled(t: str, role: int) -> Column:
         return F.transform(t, lambda term: F.struct(F.lit(role).alias("role"), term.alias("term")))
 
-    rest = F.array(F.struct(F.lit(2).alias("role"), F.concat_ws(":", "sha", all_terms("own"), all_terms("changed")).alias("term")))
+    carried = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("guest", "doc_id", "n_chars", "sha")]
+    rest = F.concat_ws(":", *carried, all_terms("own"), all_terms("changed"))
+    first_row = F.array(F.struct(F.lit(2).alias("role"), rest.alias("term")))
     rows = split.select(
-        "bucket", "guest", "place", "doc_id", "n_chars", F.explode(F.concat(rest, roled("own", 0), roled("changed", 1))).alias("t")
-    ).select("bucket", "guest", "place", "doc_id", "n_chars", "t.role", "t.term")
+        "bucket", "place", F.explode(F.concat(first_row, roled("own", 0), roled("changed", 1))).alias("t")
+    ).select("bucket", "place", "t.role", "t.term")
     known = rows.join(F.broadcast(lexicon(docs, n_docs, idf_low, idf_high)), "term", "left").where("role = 2 or digest is not null")
 
     def found(role: int) -> Column:
         return F.sort_array(F.collect_list(F.when(F.col("role") == role, F.struct("digest", "members"))))
 
-    per_text = known.groupBy("bucket", "guest", "place", "doc_id", "n_chars").agg(
+    per_text = known.groupBy("bucket", "place").agg(
         found(0).alias("own"), found(1).alias("changed"), F.split(F.max(F.when(F.col("role") == 2, F.col("term"))), ":").alias("rest")
     )
 
@@ -141,11 +143,12 @@ def fingerprints(docs: DataFrame, rows_per_bucket: int = 2_000, max_buckets: int
 
     hashed = per_text.withColumns({"own": _hashes(F.col("own")), "changed": _hashes(F.col("changed"))})
     named = hashed.select(
-        "bucket", "guest", "place", "doc_id", "n_chars", "own", "changed",
-        F.element_at("rest", 1).alias("edited_sha256"), shown("own", 2).alias("fingerprint"), shown("changed", 3).alias("edited_fingerprint"),
+        "bucket", "place", "own", "changed", F.element_at("rest", 1).alias("guest"),
+        F.nullif(F.element_at("rest", 2), F.lit("")).cast("long").alias("doc_id"), F.element_at("rest", 3).cast("long").alias("n_chars"),
+        F.element_at("rest", 4).alias("edited_sha256"), shown("own", 5).alias("fingerprint"), shown("changed", 6).alias("edited_fingerprint"),
     )
     in_order = Window.partitionBy("bucket").orderBy("place")
-    seen = named.withColumn("following", F.lead(F.struct("own", "fingerprint")).over(in_order)).where("guest = 0")
+    seen = named.withColumn("following", F.lead(F.struct("own", "fingerprint")).over(in_order)).where("guest = '0'")
     return seen.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("own"), F.col("changed"), F.col("fingerprint") == F.col("edited_fingerprint")).alias("near_edited"),
