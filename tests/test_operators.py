@@ -367,3 +367,10 @@ def test_roster_from_landed_members(spark):
     assert jan.nieaktywnoscKategoria == "Mandat w Parlamencie Europejskim"
     assert (anna.wiek, anna.ktoraKadencja, anna.czyAktywny, anna.nieaktywnoscKategoria) == (35, 1, True, None)
     assert H.load_roster(H.published_roster(raw, sexes, "imieNazwisko")).schema["nrOkreguWyborczego"].dataType.simpleString() == "string"
+
+
+def test_slice_of(spark):
+    cuts = [-5, 0, 3, 10, 11]
+    got = spark.range(-8, 15).select("id", W.slice_of(F.col("id"), cuts).alias("s")).collect()
+    assert all(r.s == sum(c <= r.id for c in cuts) for r in got)
+    assert spark.range(1).select(W.slice_of(F.lit(None).cast("bigint"), cuts)).first()[0] == 0

@@ -38,11 +38,12 @@ def ngram_counts(listed: DataFrame, keys: list[str], sizes=(2, 3)) -> DataFrame:
     """
 
     def grams(n: int) -> Column:
-        last = F.size("words") - n
-        at = F.when(last >= 0, F.sequence(F.lit(1), last + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(
-            at, lambda i: F.struct(F.array_join(F.slice("words", i, n), " ").alias("term"), F.lit(n).alias("ngram_len"))
-        )
+        out = F.col("words")
+        for i in range(1, n):
+            ahead = F.slice("words", F.lit(i + 1), F.greatest(F.size("words") - i, F.lit(0)))
+            # no word ahead: null, which stays null
+            out = F.zip_with(out, ahead, lambda gram, word: F.concat(gram, F.lit(" "), word))
+        return F.transform(F.array_compact(out), lambda g: F.struct(g.alias("term"), F.lit(n).alias("ngram_len")))
 
     every = F.concat(*map(grams, sizes))
     return listed.select(*keys, F.inline(every)).groupBy(*keys, "term", "ngram_len").agg(F.count("*").alias("tf"))
