@@ -4,8 +4,10 @@ import xxhash
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from textlab.llm.common import Forest, bucket_of
+from conftest import SMALL
+from textlab.llm.common import Forest
 from textlab.llm.components import components
+from textlab.llm.registry import op10_simhash_gray
 from textlab.llm.simhash import GrayTree, gray_rank, near_duplicates, near_links, simhash64
 
 
@@ -89,7 +91,31 @@ def test_edge_rows(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
-def test_bucket_of(spark):
-    splits = [-5, 0, 3, 10, 11]
-    rows = spark.range(-8, 15).select("id", bucket_of(F.col("id"), splits).alias("b")).collect()
-    assert all(r["b"] == sum(s <= r["id"] for s in splits) for r in rows)
+def test_query_against_brute_force(spark):
+    """Whole texts and every pair; near copies of some texts are added as further documents."""
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    rows = {r["doc_id"]: r for r in op10_simhash_gray(spark, SMALL).collect()}
+    ids = sorted(docs)
+    prints = [plain(docs[i]) for i in ids]
+    roots = brute(prints, 2)
+    lowest = {}
+    for i, root in zip(ids, roots):
+        lowest[root] = min(lowest.get(root, i), i)
+    for i, root, fp in zip(ids, roots, prints):
+        assert rows[i]["fingerprint"] == f"{fp:016x}" and rows[i]["component_id"] == lowest[root]
+
+
+def test_near_copies_of_long_texts(spark):
+    rng = np.random.default_rng(8)
+    texts = []
+    for k in range(30):
+        words = [f"w{rng.integers(3000)}" for _ in range(2000)]
+        for copy in range(4):
+            changed = list(words)
+            for at in rng.choice(2000, copy * 3, replace=False):
+                changed[at] = "x"
+            texts.append((4 * k + copy, " ".join(changed)))
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), rows_per_part=11).collect()}
+    roots = brute([plain(t) for _, t in texts], 2)
+    want = {i: min(j for j, other in zip(range(120), roots) if other == root) for i, root in zip(range(120), roots)}
+    assert got == want and sum(got[i] != i for i in got) > 20

@@ -6,7 +6,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from textlab.llm.common import bucket_of, quantile_splits
+from textlab.llm.common import quantile_splits
+from textlab.operators.rows import slice_of
 
 # Share of the lexicon in each randomised subset, in 256ths. Dense subsets tell close texts
 # apart, thin ones survive large edits.
@@ -84,7 +85,7 @@ def fingerprints(docs: DataFrame, rows_per_bucket: int = 2_000, max_buckets: int
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n_docs = docs.count()
     splits = quantile_splits(docs, "doc_id", max(1, min(max_buckets, n_docs // rows_per_bucket)))
-    placed = docs.withColumn("bucket", bucket_of(F.col("doc_id"), splits))
+    placed = docs.withColumn("bucket", slice_of(F.col("doc_id"), splits))
     heads = (
         placed.groupBy("bucket")
         .agg(F.min("doc_id").alias("first"), F.bool_or(F.col("doc_id").isNull()).alias("unnamed"))

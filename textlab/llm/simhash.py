@@ -9,8 +9,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from textlab.llm.common import Forest, bucket_of, in_batches
+from textlab.llm.common import Forest, in_batches
 from textlab.llm.components import components
+from textlab.operators.rows import slice_of
 from textlab.sources.sinks import materialise
 
 SEED = 42
@@ -169,7 +170,7 @@ def near_links(distinct: DataFrame, radius: int = 2, rows_per_part: int = 20_000
     owner = F.explode(
         F.array(
             *(
-                F.struct((bucket_of(F.col(f"rank{t}"), cuts[t]) + t * parts).alias("part"), turned(F.col("fp"), turn).alias("fp"))
+                F.struct((slice_of(F.col(f"rank{t}"), cuts[t]) + t * parts).alias("part"), turned(F.col("fp"), turn).alias("fp"))
                 for t, turn in enumerate(turns)
             )
         )
