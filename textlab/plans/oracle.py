@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from textlab.functions.values import COMMENT_RULES, DEGREES, OTHER_COMMENT
 from textlab.functions.words import CASE_SUFFIXES, EXTRA_NAMES, FOLD_SUFFIXES, LETTERS, SURNAME_FORMS
 from textlab.plans.tables import NEEDLES, RAW_ROSTER, SPOKEN, STOPWORDS, WRITTEN
 
@@ -48,6 +51,30 @@ def quantiles_sql(x: str, p: float) -> str:
     return f"quantile_cont(CAST({x} AS DOUBLE), {p})"
 
 
+def _word_edges(pattern: str) -> str:
+    """Word borders of any script: RE2 knows those of ASCII only."""
+    parts = []
+    for part in pattern.split("|"):
+        part = re.sub(r"^\\b", r"(^|[^\\p{L}\\p{N}_])", part)
+        parts.append(re.sub(r"\\b$", r"($|[^\\p{L}\\p{N}_])", part))
+    return "|".join(parts)
+
+
+def _comment_sql(which: int) -> str:
+    """The comment rules as branches of a CASE over ``kom``: 1 the bin, 2 the finer one."""
+    whens = [f"WHEN regexp_matches(kom, {quoted([_word_edges(r[0])])}) THEN {quoted([r[which]])}" for r in COMMENT_RULES]
+    return "\n         ".join([*whens, f"ELSE {quoted([OTHER_COMMENT])}"])
+
+
+def _degree_sql() -> str:
+    """The degree rules as branches of a CASE over ``szk``."""
+    whens = []
+    for stem, label in DEGREES:
+        phrase = f"nullif(regexp_extract(szk, '-\\s*({stem}[^,;()]*)\\s*(?:[(,;]|$)', 1), '')"
+        whens.append(f"WHEN regexp_matches(szk, '(?i)-\\s*{stem}') THEN {quoted([label]) if label else phrase}")
+    return "\n      ".join(whens)
+
+
 # Name → (text, names it needs).
 PARTS: dict[str, tuple[str, tuple[str, ...]]] = {
     "docs": (
@@ -169,37 +196,14 @@ PARTS: dict[str, tuple[str, tuple[str, ...]]] = {
          WHEN lower("powodNieaktywnosci") LIKE '%zgon%' THEN 'Zgon'
          WHEN lower("powodNieaktywnosci") LIKE '%zrzeczenie%' THEN 'Zrzeczenie się mandatu'
          ELSE 'Inne (z powodu)' END AS powod_bin,
-    CASE WHEN act OR trim(coalesce("nieaktywnoscKomentarz", '')) = '' THEN NULL
-         WHEN regexp_matches(kom, 'parlamentu europejskiego') THEN 'Mandat w Parlamencie Europejskim'
-         WHEN regexp_matches(kom, 'utrata prawa wybieralno') THEN 'Utrata prawa wybieralności'
-         WHEN regexp_matches(kom, '(^|[^\\p{L}])(zmarł|zmarla|zmarła|zgon)($|[^\\p{L}])') THEN 'Zgon'
-         WHEN regexp_matches(kom, 'prezydenta miasta|burmistrza|wójta|wojta|marszałka województwa|marszalka wojewodztwa')
-           THEN 'Objęcie funkcji w samorządzie'
-         WHEN regexp_matches(kom, 'kancelarii prezydenta|gabinetu prezydenta rp|sekretarza stanu|narodowego banku polskiego|(^|[^\\p{L}])nbp($|[^\\p{L}])')
-           THEN 'Objęcie funkcji w administracji centralnej'
-         ELSE 'Inne (z komentarza)' END AS "nieaktywnoscKategoria",
-    CASE WHEN act OR trim(coalesce("nieaktywnoscKomentarz", '')) = '' THEN NULL
-         WHEN regexp_matches(kom, 'parlamentu europejskiego') THEN 'Parlament Europejski'
-         WHEN regexp_matches(kom, 'utrata prawa wybieralno') THEN 'Utrata prawa wybieralności'
-         WHEN regexp_matches(kom, '(^|[^\\p{L}])(zmarł|zmarla|zmarła|zgon)($|[^\\p{L}])') THEN 'Zgon'
-         WHEN regexp_matches(kom, 'prezydenta miasta|burmistrza|wójta|wojta|marszałka województwa|marszalka wojewodztwa')
-           THEN 'Samorząd'
-         WHEN regexp_matches(kom, 'kancelarii prezydenta|gabinetu prezydenta rp') THEN 'Kancelaria Prezydenta RP'
-         WHEN regexp_matches(kom, 'sekretarza stanu') THEN 'Sekretarz stanu'
-         WHEN regexp_matches(kom, 'narodowego banku polskiego|(^|[^\\p{L}])nbp($|[^\\p{L}])') THEN 'NBP'
-         ELSE 'Inne (z komentarza)' END AS komentarz_subbin
+    CASE WHEN act OR trim(coalesce("nieaktywnoscKomentarz", '')) = '' THEN NULL {BIN} END AS "nieaktywnoscKategoria",
+    CASE WHEN act OR trim(coalesce("nieaktywnoscKomentarz", '')) = '' THEN NULL {FINER} END AS komentarz_subbin
   FROM (SELECT *, lower(trim(coalesce("nieaktywnoscKomentarz", ''))) AS kom,
     coalesce(lower(trim("czyAktywny")) IN ('true', '1', 't', 'yes', 'y'), false) AS act,
     trim(regexp_replace(CASE
-      WHEN regexp_matches(szk, '(?i)-\\s*profesor') THEN nullif(regexp_extract(szk, '-\\s*(profesor[^,;()]*)\\s*(?:[(,;]|$)', 1), '')
-      WHEN regexp_matches(szk, '(?i)-\\s*doktor') THEN nullif(regexp_extract(szk, '-\\s*(doktor[^,;()]*)\\s*(?:[(,;]|$)', 1), '')
-      WHEN regexp_matches(szk, '(?i)-\\s*magister\\s+inżynier') THEN 'magister inżynier'
-      WHEN regexp_matches(szk, '(?i)-\\s*magister') THEN 'magister'
-      WHEN regexp_matches(szk, '(?i)-\\s*lekarz') THEN nullif(regexp_extract(szk, '-\\s*(lekarz[^,;()]*)\\s*(?:[(,;]|$)', 1), '')
-      WHEN regexp_matches(szk, '(?i)-\\s*inżynier') THEN 'inżynier'
-      WHEN regexp_matches(szk, '(?i)-\\s*licencjat') THEN 'licencjat' END, '\\s+', ' ', 'g')) AS deg
+      {DEGREE} END, '\\s+', ' ', 'g')) AS deg
     FROM (SELECT *, coalesce("ukonczonaSzkola", '') AS szk FROM raw_mp))
-""",
+""".replace("{BIN}", _comment_sql(1)).replace("{FINER}", _comment_sql(2)).replace("{DEGREE}", _degree_sql()),
         ("raw_mp",),
     ),
     "raw_mp": (RAW_ROSTER.replace("{customer}", "customer").replace("{orders}", "orders"), ()),
