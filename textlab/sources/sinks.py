@@ -2,23 +2,33 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+@lru_cache(maxsize=1)
+def _local_root() -> str:
+    root = tempfile.mkdtemp(prefix="textlab-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under spark.checkpoint.dir.
 
-    Without that setting only a local session may go on, in a temporary folder; a cluster
-    must name a folder that all executors reach.
+    Without that setting only a local session may go on, in a temporary folder that goes with
+    the process; a cluster must name a folder that all executors reach.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-        root = tempfile.mkdtemp(prefix="textlab-")
+        root = _local_root()
     return f"{root.rstrip('/')}/textlab/{name}-{uuid.uuid4().hex}"
 
 
