@@ -99,6 +99,20 @@ def test_parts_cost_little(spark):
     assert check_sequences(rows, 2048) <= 1.02 * sum(n for _, n in pieces) / 2048 + 1
 
 
+@pytest.mark.parametrize("n, open_bins, most", [(6_000, 256, 1.03), (200_000, 16_384, 1.005)])
+def test_no_sequence_closes_early(spark, n, open_bins, most):
+    """More bins than may be open at once, with the default part size: several full parts."""
+    rng = np.random.default_rng(3)
+    sizes = np.minimum(2047, np.exp(rng.normal(6.9, 0.8, n)).astype(int) + 1)
+    frame = spark.createDataFrame(list(enumerate(sizes.tolist())), "doc_id long, length long")
+    rows = packing.best_fit(frame, 2048, open_bins).select("sequence_id", "offset", "length", "doc_id").collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(n))
+    unbounded = packing.OpenBins(2048, n)
+    for size in sorted(sizes.tolist(), reverse=True):
+        unbounded.put(size)
+    assert check_sequences(rows, 2048) <= most * unbounded.made
+
+
 def test_edge_rows(spark):
     rows = [(1, None, 5), (1, None, 5), (None, "x", 5), (2, "", 5), (3, "word " * 30_000, 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, length long")

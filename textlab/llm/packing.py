@@ -110,15 +110,20 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_c
 def best_fit(pieces: DataFrame, capacity: int, open_bins: int = 16_384, pieces_per_part: int = 250_000) -> DataFrame:
     """``pieces`` with sequence_id and offset: every piece in one sequence, without gaps.
 
-    Short pieces are dealt by a hash of all their columns to parts of ``pieces_per_part``, each
-    packed alone, the longest first; pieces that fill a sequence need no part. A part leaves
-    sequences with free space only at its end, so the number of parts costs little. ``pieces``
-    must be a written table: then a repeated task gives the same numbers.
+    Short pieces are dealt by a hash of all their columns to parts, each packed alone, the
+    longest first; pieces that fill a sequence need no part. A part has at most about
+    ``pieces_per_part`` pieces and so few tokens that its sequences stay open until they are
+    full: best fit leaves at most one of them under half full, so twice the part's tokens over
+    ``capacity`` bounds their number. A part leaves sequences with free space only at its end,
+    so the number of parts costs little. ``pieces`` must be a written table: then a repeated
+    task gives the same numbers.
     """
     columns = pieces.columns
     short = pieces.where(F.col("length") < capacity)
-    counts = pieces.agg(F.count_if(F.col("length") < capacity)).first()[0]
-    parts = max(1, -(-counts // pieces_per_part))
+    counts, tokens = short.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    # a tenth is left for parts that the hash makes larger than others
+    bins = min(counts, -(-2 * tokens // capacity))
+    parts = max(1, -(-counts // pieces_per_part), -(-10 * bins // (9 * open_bins)))
     dealt = (
         short.withColumn("_part", F.pmod(F.xxhash64(*columns), F.lit(parts)).cast("int"))
         .repartition(parts, "_part")
