@@ -278,12 +278,13 @@ def near_duplicates(
     return prints.join(by_print, "fp").select(id_col, "key", "fp", "group", "component_id")
 
 
-def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", found: DataFrame | None = None) -> DataFrame:
     """One row of each group of near duplicates, with all its columns: that of the smallest id.
 
-    Rows without an id come last. Of rows that repeat an id and text, one stays.
+    Groups are those of ``found`` (id, key, group), by default of ``near_duplicates``. Rows
+    without an id come last. Of rows that repeat an id and text, one stays.
     """
-    found = near_duplicates(docs, id_col, text_col)
+    found = near_duplicates(docs, id_col, text_col) if found is None else found
     first = F.min(F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), "key"))
     chosen = found.groupBy("group").agg(first.alias("first")).select("first.key.k1", "first.key.k2")
     key = row_key(id_col, text_col)
