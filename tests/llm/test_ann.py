@@ -54,6 +54,25 @@ def test_many_lists_and_tiles(spark, scale):
     assert [i for i, _ in got[1000]][:20] == [i for i, _ in want[1000]] or scale
 
 
+@pytest.mark.parametrize("sample_rows", [16_384, 1_000])
+def test_every_query_gets_all_its_rows(spark, sample_rows):
+    """Only some lists are probed: each query has min(20, candidates in these) rows."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((80, 24))[rng.integers(0, 80, 4000)] + 0.45 * rng.standard_normal((4000, 24))
+    ids = np.arange(4000)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    distinct = df.selectExpr("vec_id uid", "array(vec_id) ids", "embedding v")
+    index = ann.fit(distinct, 4000, 20, sample_rows=sample_rows, rows_per_list=50)
+    assert index.probes < len(index.centroids)
+    homes = ann._lists_of(x, index.centroids)
+    got = results(ann.search(df, F.col("vec_id") % 4 == 0, 20, sample_rows=sample_rows, rows_per_list=50))
+    for q in ids[ids % 4 == 0]:
+        probed = np.argsort(-(index.centroids @ x[q]), kind="stable")[: index.probes]
+        assert len(got.get(q, [])) == min(20, (np.isin(homes, probed) & (ids != q)).sum())
+    want = brute(ids, x, ids[ids % 4 == 0], 20)
+    assert recall(got, want) >= 0.95
+
+
 def test_scan_abandons_most_pairs():
     rng = np.random.default_rng(2)
     x = rng.standard_normal((4000, 64))

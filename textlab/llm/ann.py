@@ -12,12 +12,14 @@ from textlab.sources.sinks import materialise
 
 
 class Index(NamedTuple):
-    """Fitted on a bounded sample: list centres, a rotation, and the sample itself."""
+    """Fitted on a bounded sample: list centres, a rotation, and the sample itself with its lists and ids."""
 
     centroids: np.ndarray
     rotation: np.ndarray
     sample: np.ndarray
     probes: int
+    home: np.ndarray
+    ids: list[list[int]]
 
 
 def clean(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -54,8 +56,8 @@ def fit(distinct: DataFrame, n: int, k: int = 20, sample_rows: int = 16_384, row
     The number of probed lists is what finds the share ``target`` of the sample's own
     neighbours; these lie farther off than neighbours among all rows.
     """
-    rows = distinct.select("uid", "v").orderBy(F.xxhash64("uid"), "uid").limit(sample_rows).toArrow().column("v")
-    x = np.array(rows.to_pylist())
+    rows = distinct.select("uid", "ids", "v").orderBy(F.xxhash64("uid"), "uid").limit(sample_rows).toArrow()
+    x = np.array(rows.column("v").to_pylist())
     lists = max(1, min(max_lists, len(x) // 8, -(-n // rows_per_list)))
     centers = _kmeans(x, lists, 12, seed)
     d = x.shape[1]
@@ -68,7 +70,7 @@ def fit(distinct: DataFrame, n: int, k: int = 20, sample_rows: int = 16_384, row
     order = np.argsort(np.argsort(-(tries @ centers.T), axis=1, kind="stable"), axis=1)
     ranks = np.take_along_axis(order, home[best], axis=1)
     probes = int(np.quantile(ranks, target, method="higher")) + 1 if ranks.size else lists
-    return Index(centers, rotation, x, min(lists, probes))
+    return Index(centers, rotation, x, min(lists, probes), home, rows.column("ids").to_pylist())
 
 
 class Tile:
@@ -185,18 +187,28 @@ def search(vectors: DataFrame, is_query, k: int = 20, rows_per_tile: int = 8_192
                 if not part.num_rows:
                     continue
                 q = _matrix(part.column(1))
-                known = q @ index.sample.T
-                # all but one of these are candidates: the next best is a bound to start from
-                reach = min(k + 1, known.shape[1])
-                least = np.partition(known, -reach, axis=1)[:, -reach] if reach > k else np.full(len(q), -np.inf)
-                least = least - 1e-9 * np.abs(least)
                 order = np.argsort(-(q @ index.centroids.T), axis=1, kind="stable")[:, : index.probes].astype(np.int32)
-                yield pa.record_batch(
-                    [part.column(0), pa.array(list(order), pa.list_(pa.int32())), pa.array(least), part.column(1)], ["query_id", "lists", "least", "v"]
-                )
-
-    asked = rows.where(is_query).select("vec_id", "v").mapInArrow(probe, "query_id long, lists array<int>, least double, v array<double>")
-    asked = materialise(asked, "queries").select("query_id", F.explode("lists").alias("list"), "least", "v")
+                probed = np.zeros((len(q), lists), bool)
+                np.put_along_axis(probed, order, True, axis=1)
+                # what the sample holds of the probed lists: all but one of its best are candidates, and
+                # the last of them is a bound to start from; they are results unless better ones are found
+                known = np.where(probed[:, index.home], q @ index.sample.T, -np.inf)
+                least, seeds = np.full(len(q), -np.inf), [[] for _ in q]
+                if known.shape[1] > k:
+                    seats = np.argpartition(-known, k, axis=1)[:, : k + 1]
+                    full = np.isfinite(np.take_along_axis(known, seats, axis=1)).all(axis=1)
+                    for i, query_id in zip(np.flatnonzero(full), part.column(0).filter(pa.array(full)).to_pylist()):
+                        scores = (index.sample[seats[i]] * q[i]).sum(1)
+                        least[i] = scores.min() - 1e-9 * abs(scores.min())
+                        rows = [(-s, j) for p, s in zip(seats[i].tolist(), scores.tolist()) for j in index.ids[p] if j != query_id]
+                        seeds[i] = [{"vec_id": j, "score": -s} for s, j in sorted(rows)[:k]]
+                kind = pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())]))
+                columns = [part.column(0), pa.array(list(order), pa.list_(pa.int32())), pa.array(least), part.column(1), pa.array(seeds, kind)]
+                yield pa.record_batch(columns, ["query_id", "lists", "least", "v", "seeds"])
+
+    fields = "query_id long, lists array<int>, least double, v array<double>, seeds array<struct<vec_id long, score double>>"
+    queries = materialise(rows.where(is_query).select("vec_id", "v").mapInArrow(probe, fields), "queries")
+    asked = queries.select("query_id", F.explode("lists").alias("list"), "least", "v")
 
     sizes, loads = (dict(df.groupBy("list").count().collect()) for df in (placed, asked))
     parts = [max(1, -(-sizes.get(i, 0) // rows_per_tile)) for i in range(lists)]
@@ -227,6 +239,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, rows_per_tile: int = 8_192
                     found[2].append(-s)
         return pa.table([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], ["query_id", "vec_id", "score"])
 
-    hits = left.cogroup(right).applyInArrow(match, schema)
+    seeds = queries.select("query_id", F.explode("seeds").alias("s")).select("query_id", "s.vec_id", "s.score")
+    hits = left.cogroup(right).applyInArrow(match, schema).unionByName(seeds).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
