@@ -80,3 +80,25 @@ def test_copies_of_an_article_stay(spark):
     assert [r["text"] for r in rows if r["page_id"] == 1] == ["Same\nSame words."] * 50
     assert [r["text"] for r in rows if r["page_id"] != 1] == ["", ""]
     assert H.extract(df.limit(0)).count() == 0
+
+
+def test_names_of_headings_and_other_topics_stay():
+    inside = "<section id='related-work'><h2 id='search'>A</h2><p id='social-policy'>b</p><p class=share>c</p></section><div class='site-footer'>f</div>"
+    assert H.main_text(f"<article>{inside}</article>", set()) == "A\nb\nc"
+    assert H.main_text("<div class='social-policy'>x</div><div id='main-nav'>y</div><div class='ad-slot-2 big'>z</div>", set()) == "x"
+
+
+def test_tree_decides_within_an_article(spark):
+    """Boilerplate without telling names goes from articles that differ; on few pages the name weighs more."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(500)]
+    rows, want = [], {}
+    for i in range(43):
+        host = "many.org" if i < 40 else "few.org"
+        body = [" ".join(rng.choices(words, k=25)) for _ in range(rng.randrange(2, 6))]
+        notice = "Get our letter each week"
+        page = f"<main><h1>{' '.join(rng.choices(words, k=5))}</h1>" + "".join(f"<p>{b}</p>" for b in body) + f"<div class=x{host[0]}><p>{notice}</p></div></main>"
+        rows.append((i, f"http://{host}/{i}", page))
+        want[i] = body + ([notice] if host == "few.org" else [])
+    got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"].split("\n")[1:] for r in got} == want

@@ -40,6 +40,11 @@ _NOISE_WORDS = frozenset(
 )
 _MAIN_TAGS = frozenset(("article", "main"))
 _MAIN_WORDS = frozenset(("main", "article"))
+# Words that say where or in what form such a part is, and tags whose names are a heading's or paragraph's own.
+_FORM_WORDS = frozenset(
+    "main site page user global top bottom left right header inner outer box bar block area section widget wrapper wrap container content body links list item items row col column slot unit".split()
+)
+_PROSE = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 MAX_DEPTH = 64
 
 
@@ -60,6 +65,12 @@ def _key(parent: int, tag: str, names: list[str]) -> int:
     return xxhash.xxh64_intdigest(label) >> 1
 
 
+def _names(name: str, words: frozenset[str]) -> bool:
+    """Whether a whole class or id names such a part: one of ``words``, and else only words of form."""
+    parts = [w for w in re.split(r"[^a-z]+", name.lower()) if w]
+    return any(w in words for w in parts) and all(w in words or w in _FORM_WORDS for w in parts)
+
+
 def parse(source: str | None) -> Page:
     """Blocks of text in page order and the style tree's nodes of one page.
 
@@ -123,11 +134,10 @@ def parse(source: str | None) -> Page:
             flush()
         if tag in _VOID or attributes.endswith("/"):
             continue
-        names, words = [], set()
+        names = []
         if "class" in attributes or "id" in attributes or "role" in attributes:
             for _, *value in _CLASS.findall(attributes):
                 names += "".join(value).split()
-            words = {w for name in names for w in re.split(r"[^a-z]+", name.lower())}
         parent = stack[-1]
         if tag in _INLINE or len(stack) > MAX_DEPTH:
             node = parent.node
@@ -137,8 +147,9 @@ def parse(source: str | None) -> Page:
             if not kinds or kinds[-1] != tag:
                 kinds.append(tag)
             children.setdefault(node, [])
-        main = parent.main or tag in _MAIN_TAGS or bool(words & _MAIN_WORDS)
-        noise = tag in _NOISE_TAGS or (tag == "header" and not parent.main) or (bool(words & _NOISE_WORDS) and tag not in ("html", "body", *_MAIN_TAGS))
+        main = parent.main or tag in _MAIN_TAGS or any(_names(name, _MAIN_WORDS) for name in names)
+        telling = tag not in ("html", "body", *_MAIN_TAGS) and not (parent.main and tag in _PROSE)
+        noise = tag in _NOISE_TAGS or (tag == "header" and not parent.main) or (telling and any(_names(name, _NOISE_WORDS) for name in names))
         stack.append(Element(tag, node, noise, main))
     flush()
     return Page(blocks, children)
@@ -193,10 +204,11 @@ def importance(seen: DataFrame, *keys: str, gamma: float = 0.9):
 
 
 def noise_nodes(pages: DataFrame, least: float = 0.4, prior_pages: float = 3.0) -> DataFrame:
-    """(host, noise array<long>): the nodes of each host's style tree below ``least``.
+    """(host, noise array<long>, firm array<long>): the nodes of each host's style tree below ``least``.
 
     A node seen on few pages of its host leans on the tree of all hosts, which counts as
-    ``prior_pages`` pages. Texts are counted per task before they are shuffled, so a hot host is
+    ``prior_pages`` pages. ``firm`` nodes stay below ``least`` when as many pages more speak for
+    importance 1, the prior of what lies in an article or main part. Texts are counted per task before they are shuffled, so a hot host is
     split; what meets in a host's row is its distinct paths, not its pages.
     """
     seen = materialise(observations(pages), "style-tree")
@@ -208,16 +220,20 @@ def noise_nodes(pages: DataFrame, least: float = 0.4, prior_pages: float = 3.0)
     prior = F.when(F.col("all_m") > F.col("m"), F.lit(prior_pages)).otherwise(0.0)
     told = F.col("m") - 1 + prior
     blended = F.when(told > 0, ((F.col("m") - 1) * F.col("importance") + prior * F.col("all_importance")) / told).otherwise(1.0)
+    firm = (told * blended + prior_pages) / (told + prior_pages) < least
     low = own.join(everywhere, "node").where((blended < least) & (F.col("node") != 0))
-    return low.groupBy("host").agg(F.collect_list("node").alias("noise"))
+    return low.groupBy("host").agg(F.collect_list("node").alias("noise"), F.collect_list(F.when(firm, F.col("node"))).alias("firm"))
 
 
-def main_text(source: str | None, low: set[int]) -> str:
-    """Blocks outside noise, joined by line breaks. Names are a prior on importance: 0 for parts
-    called navigation, footer, advert and the like, 1 for an article or main part."""
+def main_text(source: str | None, low: set[int], firm: set[int] = frozenset()) -> str:
+    """Blocks outside noise, joined by line breaks. Parts called navigation, footer, advert and the
+    like are noise. In an article or main part only ``firm`` nodes are, and none where the
+    part as a whole is what the site repeats: then it is a copy, not boilerplate in a text."""
     kept = []
     for text, around in parse(source).blocks:
-        if not any(e.noise or (e.node in low and not e.main) for e in around):
+        inner = [e.node for e in around if e.main]
+        repeated = inner and inner[0] not in low and any(n in firm for n in inner)
+        if not repeated and not any(e.noise or (e.node in low and not e.main) for e in around):
             kept.append(text)
     return "\n".join(kept)
 
@@ -232,12 +248,12 @@ def extract(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "://([^/?#]*)", 1))
     sited = pages.select("page_id", "url", "html", host.alias("host"))
     # pages stay where they are while the table of hosts is small enough to be broadcast
-    known = lookup_join(sited, noise_nodes(sited), ["host"], "left").select("page_id", "url", "html", "noise")
+    known = lookup_join(sited, noise_nodes(sited), ["host"], "left").select("page_id", "url", "html", "noise", "firm")
 
     def run(batches):
         for batch in slices(batches):
-            lows = batch.column(3).to_pylist()
-            texts = [main_text(source, set(low or ())) for source, low in zip(batch.column(2).to_pylist(), lows)]
+            columns = (batch.column(k).to_pylist() for k in (2, 3, 4))
+            texts = [main_text(source, set(low or ()), set(firm or ())) for source, low, firm in zip(*columns)]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     kind = dict(pages.dtypes)["page_id"]
