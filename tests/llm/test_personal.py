@@ -90,3 +90,10 @@ def test_query(spark):
         digest = hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in want).encode()).hexdigest()
         assert r["base_sha256"] == digest and [r[f"n_{k}"] for k in PLAIN] == [sum(w[0] == k for w in want) for k in PLAIN]
         assert {f"{k}:{s}:{e}" for k, s, e in want} <= set(r["spans"].split(","))  | {""}
+
+
+def test_short_candidate_before_a_base_span_in_a_long_one():
+    text = "token=aaaa;1990-02-03;bcd,me@host.org"
+    base = P.base_spans(text)
+    found = [(c.kind, text[c.start : c.end]) for c in P.candidates(text, base)]
+    assert [text[s:e] for _, s, e in base] == ["me@host.org"] and found == [("phone", "1990-02-03"), ("birth_date", "1990-02-03")]

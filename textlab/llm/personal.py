@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from typing import NamedTuple
 
 import numpy as np
@@ -165,13 +166,17 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[Candidate]:
     if not found:
         return []
     found.sort(key=lambda s: (s[1], KINDS.index(s[0])))
-    out, at, reach = [], 0, 0
-    ordered = sorted((s, e) for _, s, e in taken)
+    # base spans that overlap as one, so that starts and ends both ascend
+    out, starts, ends = [], [], []
+    for s, e in sorted((s, e) for _, s, e in taken):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
     for kind, start, end in found:
-        while at < len(ordered) and ordered[at][0] < end:
-            reach = max(reach, ordered[at][1])
-            at += 1
-        if reach <= start:
+        at = bisect_right(ends, start)
+        if at == len(starts) or starts[at] >= end:
             out.append(Candidate(kind, start, end, _votes(text, kind, start, end), _surface(text[start:end])))
     return out
 
