@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textlab.llm import copies, packing, personal, simhash, toxicity
+from textlab.llm import packing, personal, simhash, toxicity
 from textlab.sources.sinks import materialise
 
 
@@ -16,8 +16,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of five-word likeness 0.8, that with the smallest id."""
-    return simhash.one_per_group(docs, found=copies.near_copies(docs))
+    """One document, that with the smallest id, of each group whose fingerprints of three-word
+    shingles link at two bits or fewer."""
+    return simhash.one_per_group(docs, found=simhash.near_duplicates(docs, words=3, radius=2))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
