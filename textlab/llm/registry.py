@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textlab.llm import ann, bpe, chat, html, imatch, packing, personal, simhash, toxicity, urls
+from textlab.llm import ann, bpe, chat, html, imatch, packing, personal, repeats, simhash, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,12 @@ def op10_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_prefix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.repeated_spans(_table(spark, sf_dir, "documents"), length=400)
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["e"] - r["s"])
+    return found.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -88,6 +94,12 @@ QUERIES = {
         op8_perspective_rotation,
         op9_host_reputation,
         op10_simhash_gray,
+        op11_prefix_free,
     )
 }
-SQL: dict[str, str] = {"op3_imatch": imatch.sql(), "op8_perspective_rotation": chat.sql(), "op9_host_reputation": urls.sql(RULES)}
+SQL: dict[str, str] = {
+    "op3_imatch": imatch.sql(),
+    "op8_perspective_rotation": chat.sql(),
+    "op9_host_reputation": urls.sql(RULES),
+    "op11_prefix_free": repeats.sql(),
+}
