@@ -372,9 +372,11 @@ def sql(length: int = 400) -> str:
     return rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), piece AS (
+  SELECT r, p, substr(x, 2 * p + 1, {2 * (999 + length)}) AS x FROM (SELECT r, x, unnest(range(0, length(x) // 2, 1000)) AS p FROM d)
 ), w AS (
-  SELECT r, i, md5(substr(x, 2 * i + 1, {2 * length})) AS h
-  FROM (SELECT r, x, unnest(range(0, greatest(length(x) // 2 - {length} + 1, 0))) AS i FROM d)
+  SELECT r, p + i AS i, md5(substr(x, 2 * i + 1, {2 * length})) AS h
+  FROM (SELECT r, p, x, unnest(range(0, least(1000, greatest(length(x) // 2 - {length} + 1, 0)))) AS i FROM piece)
 ), hit AS (
   SELECT r, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)
 ), island AS (
