@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textlab.llm import ann, bpe, chat, html, imatch, packing, personal, repeats, simhash, toxicity, urls, variants
+from textlab.llm import ann, bpe, chat, html, imatch, packing, personal, ranked, repeats, simhash, toxicity, urls, variants
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,10 @@ def op11_prefix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op12_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(_table(spark, sf_dir, "benchmark"), _table(spark, sf_dir, "documents"), k=50)
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group(_table(spark, sf_dir, "documents"))
 
@@ -99,6 +103,7 @@ QUERIES = {
         op9_host_reputation,
         op10_simhash_gray,
         op11_prefix_free,
+        op12_dual_tree,
         op13_spelling_variants,
     )
 }
@@ -107,5 +112,6 @@ SQL: dict[str, str] = {
     "op8_perspective_rotation": chat.sql(),
     "op9_host_reputation": urls.sql(RULES),
     "op11_prefix_free": repeats.sql(),
+    "op12_dual_tree": ranked.sql(),
     "op13_spelling_variants": variants.sql(),
 }
