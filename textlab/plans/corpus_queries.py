@@ -435,7 +435,8 @@ def block_odds(t: Tables):
     return T.log_odds(counts, "source", "club", BLOCKS)
 
 
-# --- topic models (rows-only: the fit is not reproducible in SQL) ------------------------
+# --- topic models ------------------------------------------------------------------------
+# Weights and shares of a fit have no SQL form; what holds for every right fit has.
 
 def topic_fit(t: Tables) -> L.TopicFit:
     grams = gram_table(t)
@@ -443,10 +444,15 @@ def topic_fit(t: Tables) -> L.TopicFit:
     return L.fit_topics(grams, vocabulary, "source", "club")
 
 
-@Q.add("lda_fit")
+@Q.add(
+    "lda_fit",
+    sql("", "tok").rstrip() + f"""
+SELECT source, term, 6 AS topics, total::DOUBLE AS mass FROM ({VOCABULARY_SQL})""",
+)
 def lda_fit(t: Tables):
-    return topic_fit(t).topics.groupBy("source", "topic").agg(
-        F.count("*").alias("terms"), F.max("weight").alias("max_weight")
+    """Occurrences of each term as its topics divide them up: weights less their prior of 1/6."""
+    return topic_fit(t).weights.groupBy("source", "term").agg(
+        F.count("*").cast("int").alias("topics"), F.round(F.sum(F.col("weight") - 1 / 6), 3).alias("mass")
     )
 
 
