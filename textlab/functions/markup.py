@@ -7,7 +7,7 @@ from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from textlab.functions.text import collapse_ws, strip_space
+from textlab.functions.text import SPACE, collapse_ws, strip_space
 
 # Words that mark a parenthesised stage direction.
 STAGE_MARKERS = (
@@ -161,13 +161,159 @@ def is_blocked(html: Column, markers=BLOCKED_MARKERS) -> Column:
     return hit
 
 
-def _inner_text(fragment: Column) -> Column:
-    return F.nullif(collapse_ws(decode_entities(F.regexp_replace(fragment, "<[^>]*>", " "))), F.lit(""))
-
-
-def _element(html: Column, tag: str) -> Column:
-    """Text of the first such element."""
-    return _inner_text(F.regexp_extract(html, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1))
+# Fixed values of the language: elements without an end tag; start tags that end open elements
+# (each up to the innermost of the third list); end tags look no further out than a table.
+VOID_TAGS = "area base br col embed hr img input link meta source track wbr".split()
+_CELLS, _SECTIONS = ["td", "th"], ["tbody", "thead", "tfoot"]
+_BLOCKS = (
+    "address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre"
+    " section table ul"
+).split()
+IMPLIED_ENDS = (
+    (_CELLS, _CELLS, ["table"]),
+    (["tr"], ["tr"], ["table"]),
+    (_SECTIONS, [*_SECTIONS, "caption", "colgroup"], ["table"]),
+    (["li"], ["li"], ["ul", "ol", "table"]),
+    (["dt", "dd"], ["dt", "dd"], ["dl", "table"]),
+    (["option", "optgroup"], ["option"], ["select", "table"]),
+    (_BLOCKS, ["p"], ["td", "th", "table", "button"]),
+)
+_TEXT, _OPEN, _CLOSE, _END = 0, 1, 2, 3
+# An open element: its tag, the token it begins at, its text as far as an equal label needs it,
+# the end of its text, whether it holds the label, its child elements so far, where its
+# second one begins and ends, whether one held the label, and what a label among them waits for.
+_NODE = "struct<tag:string,b:int,eq:string,tail:string,has:boolean,kids:int,sb:int,se:int,hit:boolean,wants:boolean,td:boolean,th:boolean>"
+_SPAN = "struct<b:int,e:int>"
+_SPANS = ("td", "th", "beside", "row", "h1", "h2", "title")
+
+
+def _tokens(html: Column) -> Column:
+    """array<struct<kind, tag, text>> of a page without scripts, styles and comments, and an end mark."""
+    bare = F.regexp_replace(html, r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->", "")
+    raw = F.regexp_extract_all(bare, F.lit(r"<[!/?a-zA-Z][^>]*>|[^<]+|<"), F.lit(0))
+
+    def token(piece: Column) -> Column:
+        tag = F.lower(F.regexp_extract(piece, "^</?([a-zA-Z][a-zA-Z0-9]*)[^>]*>$", 1))
+        kind = F.when(tag == "", F.when(piece.rlike("^<[!/?a-zA-Z]"), None).otherwise(_TEXT)).when(piece.startswith("</"), _CLOSE).otherwise(_OPEN)
+        return F.struct(kind.alias("kind"), tag.alias("tag"), F.when(tag == "", decode_entities(piece)).otherwise("").alias("text"))
+
+    end = F.struct(F.lit(_END).alias("kind"), F.lit("").alias("tag"), F.lit("").alias("text"))
+    return F.concat(F.filter(F.transform(raw, token), lambda t: t["kind"].isNotNull()), F.array(end))
+
+
+def _last(stack: Column, tags: list[str]) -> Column:
+    """Place from 1 of the innermost open element of these tags, 0 if none is open."""
+    return F.coalesce(F.array_max(F.transform(stack, lambda e, i: F.when(e["tag"].isin(tags), i + 1))), F.lit(0))
+
+
+def _kept(stack: Column, kind: Column, tag: Column) -> Column:
+    """How many open elements stay open when a tag comes."""
+    size = F.size(stack)
+    after_start = size
+    for starts, ended, within in IMPLIED_ENDS:
+        found = _last(stack, ended)
+        after_start = F.when(tag.isin(starts), F.when(found > _last(stack, within), found - 1).otherwise(size)).otherwise(after_start)
+    own = F.coalesce(F.array_max(F.transform(stack, lambda e, i: F.when(e["tag"] == tag, i + 1))), F.lit(0))
+    table = F.when(tag == "table", 0).otherwise(_last(stack, ["table"]))
+    return F.when(kind == _OPEN, after_start).when(kind == _END, 1).otherwise(F.when(own > table, own - 1).otherwise(size))
+
+
+def _with(record: Column, /, **changes: Column) -> Column:
+    for name, value in changes.items():
+        record = record.withField(name, value)
+    return record
+
+
+def _node(tag: Column, at: Column) -> Column:
+    no, none = F.lit(False), F.lit(None)
+    values = {"tag": tag, "b": at, "eq": F.lit(""), "tail": F.lit(""), "has": no, "kids": F.lit(0), "sb": none, "se": none, "hit": no, "wants": no, "td": no, "th": no}
+    return F.struct(*(v.alias(n) for n, v in values.items())).cast(_NODE)
+
+
+def label_spans(tokens: Column, label: str | None = None) -> Column:
+    """struct of the spans of tokens (b exclusive to e) that hold a label's values and the headings.
+
+    td, th: the next td beside the first header cell or cell with just the label; beside: what
+    follows the first element with just the label; row: the second child of the first row
+    one of whose children mentions it; h1, h2, title: the first such element. One pass over the
+    tokens with a stack of open elements; tags left open end as a browser ends them.
+    """
+    wanted, size = label or "\x00", len(label or "")
+    blank = F.lit(None).cast(_SPAN)
+    state = F.struct(F.lit(None).cast("int").alias("at"), F.array(_node(F.lit("#page"), F.lit(-1))).alias("stack"), *(blank.alias(n) for n in _SPANS))
+
+    def on_text(s: Column, text: Column) -> Column:
+        def joined(held: Column, more: Column) -> Column:
+            return F.concat(held, F.when((held == "") | held.endswith(" "), F.ltrim(more)).otherwise(more))
+
+        def grown(e: Column, more: Column) -> Column:
+            tail = joined(e["tail"], more)
+            return _with(e, eq=F.substring(joined(e["eq"], more), 1, size + 2), has=e["has"] | F.contains(tail, F.lit(wanted)), tail=F.substring(tail, -size - 1, size + 1))
+
+        return bind(F.regexp_replace(text, f"{SPACE}+", " "), lambda more: _with(s, stack=F.transform(s["stack"], lambda e: grown(e, more)))) if label else s
+
+    def closed(s: Column, kept: Column) -> Column:
+        """The elements beyond the first ``kept`` end here."""
+        at = s["at"]
+        gone = F.slice(s["stack"], kept + 1, F.size(s["stack"]) - kept)
+
+        def with_gone(gone: Column) -> Column:
+            first = F.get(gone, 0)
+            ended = {
+                n: F.when(s[n]["e"].isNull() & F.exists(gone, lambda e: e["b"] == s[n]["b"]), s[n].withField("e", at)).otherwise(s[n])
+                for n in _SPANS
+                if n != "row"
+            }
+
+            def row_value(e: Column, i: Column) -> Column:
+                child = F.get(gone, i + 1)
+                held = e["hit"] | F.coalesce(child["has"], F.lit(False))
+                return F.when((e["tag"] == "tr") & held & e["sb"].isNotNull(), F.struct(e["sb"].alias("b"), F.coalesce(e["se"], at).alias("e")))
+
+            # the first of all in the page is that which begins first
+            rows = F.array_append(F.transform(gone, row_value), s["row"])
+            labelled = F.rtrim(first["eq"]) == wanted
+            top = lambda e: _with(
+                e,
+                hit=e["hit"] | first["has"], se=F.when(e["sb"] == first["b"], at).otherwise(e["se"]),
+                wants=labelled, **{n: e[n] | (labelled & (first["tag"] == n)) for n in _CELLS},
+            )
+            stack = F.transform(F.slice(s["stack"], 1, kept), lambda e, i: F.when(i + 1 == kept, top(e)).otherwise(e))
+            return F.when(F.size(gone) > 0, _with(s, stack=stack, row=F.array_min(F.array_compact(rows)), **ended)).otherwise(s)
+
+        return bind(gone, with_gone)
+
+    def opened(s: Column, tag: Column) -> Column:
+        at, parent = s["at"], F.try_element_at(s["stack"], F.lit(-1))
+        second = (parent["kids"] == 1) & (parent["tag"] == "tr")
+        void = tag.isin(VOID_TAGS)
+        span = F.struct(at.alias("b"), F.when(void, at).alias("e"))
+        begun = {n: F.when(s[n].isNull() & (tag == n), span).otherwise(s[n]) for n in ("h1", "h2", "title")}
+        begun["beside"] = F.when(s["beside"].isNull() & parent["wants"], span).otherwise(s["beside"])
+        for n in _CELLS:
+            begun[n] = F.when(s[n].isNull() & parent[n] & (tag == "td"), span).otherwise(s[n])
+        grown = lambda e: _with(
+            e, kids=e["kids"] + 1, sb=F.when(second, at).otherwise(e["sb"]), se=F.when(second & void, at).otherwise(e["se"]), wants=F.lit(False),
+            **{n: e[n] & (tag != "td") for n in _CELLS},
+        )
+        stack = F.transform(s["stack"], lambda e, i: F.when(i + 1 == F.size(s["stack"]), grown(e)).otherwise(e))
+        return _with(s, stack=F.when(void, stack).otherwise(F.array_append(stack, _node(tag, at))), **begun)
+
+    def step(s: Column, token: Column) -> Column:
+        def moved(s: Column) -> Column:
+            after = bind(_kept(s["stack"], token["kind"], token["tag"]), lambda kept: closed(s, kept))
+            return bind(after, lambda s: F.when(token["kind"] == _OPEN, opened(s, token["tag"])).otherwise(s))
+
+        return bind(_with(s, at=F.coalesce(s["at"] + 1, F.lit(0))), lambda s: F.when(token["kind"] == _TEXT, on_text(s, token["text"])).otherwise(moved(s)))
+
+    return F.aggregate(tokens, state, step)
+
+
+def _span_text(tokens: Column, span: Column) -> Column:
+    """Collapsed text between two tokens, null if there is none."""
+    inside = F.slice(tokens, span["b"] + 2, F.greatest(span["e"] - span["b"] - 1, F.lit(0)))
+    words = F.array_join(F.transform(inside, lambda t: F.when(t["kind"] == _TEXT, t["text"]).otherwise(" ")), "")
+    return F.when(span.isNotNull(), F.nullif(collapse_ws(words), F.lit("")))
 
 
 def page_heading(html: Column, max_len: int = 80, banned: str = "Sejm") -> Column:
@@ -179,31 +325,27 @@ def page_heading(html: Column, max_len: int = 80, banned: str = "Sejm") -> Colum
             lambda x: F.when((F.length(x) <= max_len) & ~F.contains(x, F.lit(banned)), x),
         )
 
-    return F.coalesce(
-        guarded(_element(html, "h1")), guarded(_element(html, "h2")), _element(html, "title")
-    )
+    def pick(tokens: Column) -> Column:
+        return bind(
+            label_spans(tokens),
+            lambda s: F.coalesce(guarded(_span_text(tokens, s["h1"])), guarded(_span_text(tokens, s["h2"])), _span_text(tokens, s["title"])),
+        )
+
+    return bind(_tokens(html), pick)
 
 
 def label_value(html: Column, label: str) -> Column:
-    """Text beside a label: table cell, any following sibling, then second cell of its row."""
-    # The label may sit in inline elements of its own.
-    held = rf"(?:\s*<\w[^>]*>)*\s*\Q{label}\E\s*(?:</\w+>\s*)*?"
-    # Tags match in any case, the label only as written.
-    cell = rf"(?s)<((?i:t[dh]))\b[^>]*>{held}</\1>\s*<(?i:td)\b[^>]*>(.*?)</(?i:td)>"
-    sibling = rf"(?s)<(\w+)\b[^>]*>{held}</\1>\s*<(\w+)\b[^>]*>(.*?)</\2>"
-    return F.coalesce(
-        _inner_text(F.regexp_extract(html, cell, 2)),
-        _inner_text(F.regexp_extract(html, sibling, 3)),
-        _second_cell(html, label),
-    )
+    """Text beside a label: table cell, any following sibling, then second cell of its row.
+
+    Of each rule the first match in the page counts; if it is empty, the next rule is tried.
+    The label must be the whole text of its element, for the last rule a part of it.
+    """
+    label = " ".join(label.split())
 
+    def pick(tokens: Column) -> Column:
+        return bind(label_spans(tokens, label), lambda s: F.coalesce(*(_span_text(tokens, s[n]) for n in ("td", "th", "beside", "row"))))
 
-def _second_cell(html: Column, label: str) -> Column:
-    """Second cell of the first table row that mentions the label."""
-    rows = F.filter(F.split(html, r"(?i)</tr\s*>"), lambda r: F.contains(r, F.lit(label)))
-    row = F.regexp_replace(F.try_element_at(rows, F.lit(1)), r"(?is)^.*<tr\b[^>]*>", "")
-    cells = F.split(row, r"(?i)<t[dh]\b[^>]*>")
-    return F.when(html.rlike(r"(?i)<tr\b"), _inner_text(F.try_element_at(cells, F.lit(3))))
+    return bind(_tokens(html), pick)
 
 
 def profile(
