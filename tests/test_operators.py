@@ -1,10 +1,13 @@
 """Operators against hand-worked rows and brute force."""
 
+import json
 import math
 import random
+import re
 
 import numpy as np
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from textlab.operators import corpus as C, extras as K, landing as B, metrics as G, report as J, roster as H, rows as W
@@ -334,13 +337,47 @@ def test_resume_skips_landed_but_not_empty_files(spark):
 
 
 def test_proceeding_days_fall_back_to_the_list(spark):
-    listed = spark.createDataFrame([(1, '{"d": "2024-01-01"}'), (2, '{"d": "2024-01-02"}')], "num int, json string")
-    details = spark.createDataFrame([(1, '{"days": ["2024-05-05"]}'), (2, "{}")], "num int, json string")
-    assert rows(B.proceeding_days(listed, details)) == [(1, "2024-05-05"), (2, "2024-01-02")]
-    twice = listed.selectExpr("num", "json", "1 as pos").unionByName(
-        spark.createDataFrame([(2, '{"d": "2024-09-09"}', 0), (None, "{}", 0)], "num int, json string, pos int")
+    listed = spark.createDataFrame(
+        [(1, '{"d": "2024-01-01"}', 0), (2, '{"d": "2024-01-02"}', 1), (2, '{"d": "2024-09-09"}', 0), (None, "{}", 0)], "num int, json string, pos int"
     )
-    assert rows(B.proceeding_days(twice, details)) == [(1, "2024-05-05"), (2, "2024-09-09")]
+    details = spark.createDataFrame([(1, '{"days": ["2024-05-05"]}'), (2, "{}")], "num int, json string")
+    assert rows(B.proceeding_days(listed, details)) == [(1, "2024-05-05"), (2, "2024-09-09")]
+    with pytest.raises(AnalysisException):
+        B.proceeding_days(listed.drop("pos"), details).count()
+
+
+def plain_dates(value):
+    """The date strings of a parsed record."""
+    if isinstance(value, str):
+        return {value} if re.fullmatch(r"\d{4}-\d{2}-\d{2}", value) else set()
+    inner = value.values() if isinstance(value, dict) else value if isinstance(value, list) else ()
+    return set().union(*map(plain_dates, inner))
+
+
+def test_record_dates_are_those_of_the_parsed_record(spark):
+    rng = random.Random(3)
+
+    def value(depth):
+        kind = rng.choice(["date", "date", "text", "number", "list", "map"] if depth < 12 else ["date", "text"])
+        day = f"20{rng.randrange(10, 30)}-0{rng.randrange(1, 9)}-1{rng.randrange(10)}"
+        if kind == "list":
+            return [value(depth + 1) for _ in range(rng.randrange(4))]
+        if kind == "map":
+            return {rng.choice(["k", "d", day, f"{day} x"]) + "!" * i: value(depth + 1) for i in range(rng.randrange(4))}
+        return {"date": day, "text": rng.choice([f"on {day}", day + "\n", day[:-1], '"' + day + '"', "٢٠٢٤-٠١-٠١", None]), "number": rng.choice([3, 2.5, True, 20240101])}[kind]
+
+    records = [{"a": value(0), "2001-01-01": [value(0), value(1)]} for _ in range(150)]
+    deep = "2024-02-29"
+    for _ in range(40):
+        deep = [deep] if rng.random() < 0.5 else {"2000-01-01": deep}
+    texts = [json.dumps(r, ensure_ascii=i % 2 == 0) for i, r in enumerate([*records, deep, "2024-12-31", []])]
+    # letters written as escapes, blanks around a key's colon
+    texts += ['["2024\\u002d03-0\\u0031"]', '{"2024-01-01" : "2024-01-02"}', "no json", "", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "num int, json string").repartition(4)
+    got = {r.num: r.dates for r in B.record_dates(frame).collect()}
+    want = [sorted(plain_dates(r)) for r in [*records, deep, "2024-12-31", [], ["2024-03-01"], {"2024-01-01": "2024-01-02"}]] + [[]] * 3
+    assert [got[i] for i in range(len(texts))] == want
+    assert B.record_dates(frame.limit(0)).count() == 0
 
 
 def test_roster_from_landed_members(spark):

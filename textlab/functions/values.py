@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column, functions as F
 
 from textlab.functions.text import collapse_ws, strip_space
@@ -10,14 +14,22 @@ from textlab.functions.text import collapse_ws, strip_space
 TRUE_TEXTS = ("true", "1", "t", "yes", "y")
 
 
+@lru_cache(maxsize=None)
+def _digits() -> tuple[str, str]:
+    """The decimal digits of all scripts beyond ASCII, and what they stand for."""
+    found = [c for c in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd"]
+    return "".join(found), "".join(str(unicodedata.digit(c)) for c in found)
+
+
 def safe_int(value: Column) -> Column:
-    """Integers as they are, digits-only text as a number, anything else null."""
+    """Integers as they are, text of digits (of any script) as a number, anything else null."""
     text = strip_space(value.cast("string"))
+    scripts, ascii_digits = _digits()
     # The type is known when the query is planned, so only one branch is left to run.
     return F.when(F.typeof(value).isin("tinyint", "smallint", "int", "bigint"), value.try_cast("bigint")).when(
         # Tested before the cast: a failing cast raises and catches inside the JVM, row by row.
-        text.rlike("^[0-9]+$"), text.try_cast("bigint")
-    )
+        text.rlike("^[0-9]+\\z"), text.try_cast("bigint")
+    ).when(text.rlike("^(?U)\\d+\\z"), F.translate(text, scripts, ascii_digits).try_cast("bigint"))
 
 
 def first_truthy(*values: Column) -> Column:
@@ -29,15 +41,30 @@ def to_bool(value: Column) -> Column:
     return F.coalesce(F.lower(strip_space(value.cast("string"))).isin(*TRUE_TEXTS), F.lit(False))
 
 
-def extract_dates(json_text: Column) -> Column:
-    """Distinct sorted YYYY-MM-DD strings anywhere among the values of a JSON text.
+_DATE = r"^(?U)\d{4}-\d{2}-\d{2}\z"
+WALK_DEPTH = 6
 
-    A quote after a backslash is inside a string and opens none.
-    """
-    found = F.regexp_extract_all(
-        json_text, F.lit(r'(?<!\\)"(\d{4}-\d{2}-\d{2})"(?!\s*:)'), 1
-    )
-    return F.array_sort(F.array_distinct(found))
+
+def _members(value: Column) -> Column:
+    """What an array or object holds; nothing for single values."""
+    none = F.array().cast("array<variant>")
+    listed = F.try_variant_get(value, "$", "array<variant>")
+    return F.coalesce(listed, F.map_values(F.try_variant_get(value, "$", "map<string,variant>")), none)
+
+
+def walk_dates(level: Column, depth: int = WALK_DEPTH) -> Column:
+    """struct of level and found, from an array of parsed values: the date strings among them and
+    ``depth`` levels below, and the values beneath those levels."""
+
+    def step(s: Column, _: Column) -> Column:
+        # A date is a string; an object's or array's own text never is one.
+        texts = F.transform(s["level"], lambda v: F.try_variant_get(v, "$", "string"))
+        below = F.flatten(F.transform(s["level"], _members))
+        walked = F.struct(below.alias("level"), F.array_union(s["found"], F.filter(texts, lambda t: t.rlike(_DATE))).alias("found"))
+        return F.when(F.size(s["level"]) > 0, walked).otherwise(s)
+
+    start = F.struct(level.alias("level"), F.array().cast("array<string>").alias("found"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(depth)), start, step)
 
 
 def age_at(birth: Column, reference: str) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textlab.functions.text import slugify
-from textlab.functions.values import extract_dates, first_truthy, safe_int
+from textlab.functions.values import first_truthy, safe_int, walk_dates
+from textlab.sources.sinks import materialise
 
 
 def dim_members(listed: DataFrame, details: DataFrame, id_columns=("id", "alt_id", "mpId")) -> DataFrame:
@@ -47,17 +50,37 @@ def member_slugs(members: DataFrame) -> DataFrame:
     return members.select("mp_id", "name", slugify(F.col("name")).alias("slug"))
 
 
+def record_dates(records: DataFrame, json: str = "json", name: str = "dates") -> DataFrame:
+    """``records`` with the distinct sorted YYYY-MM-DD strings among the values of a JSON text, at any depth.
+
+    Texts are parsed once, keys and dates inside longer strings do not count, escaped letters
+    do. A few levels are walked within a row by expressions; rows that nest deeper, if there are
+    any, go on from a written table in further rounds. Null and unreadable texts, and by
+    the parser's rule objects that repeat a key, have none.
+    """
+    columns = [c for c in records.columns if c != name]
+    level = F.array_compact(F.array(F.try_parse_json(json)))
+    found = records.select(*columns, F.array().cast("array<string>").alias("_found"), level.alias("_level"))
+    out = []
+    while True:
+        stepped = found.withColumn("_w", walk_dates(F.col("_level")))
+        walked = materialise(stepped.select(*columns, F.array_union("_found", "_w.found").alias("_found"), F.col("_w.level").alias("_level")), "record-dates")
+        out.append(walked.where(F.size("_level") == 0).select(*columns, F.array_sort("_found").alias(name)))
+        found = walked.where(F.size("_level") > 0)
+        if found.isEmpty():
+            return reduce(DataFrame.unionByName, out)
+
+
 def proceeding_days(proceedings: DataFrame, details: DataFrame) -> DataFrame:
     """Distinct (num, day): dates of the detail record, else of the first list entry.
 
-    Both inputs: num and the record as JSON text in ``json``. ``pos`` is the place in the list;
-    without it the order of reading counts.
+    Both inputs: num and the record as JSON text in ``json``; proceedings besides with ``pos``, the
+    place in the list.
     """
-    place = F.col("pos") if "pos" in proceedings.columns else F.monotonically_increasing_id()
-    listed = proceedings.where("num is not null").select("num", "json", place.alias("_pos"))
-    first = listed.groupBy("num").agg(F.min_by("json", "_pos").alias("json"))
-    entries = first.select("num", extract_dates(F.col("json")).alias("_listed"))
-    found = details.select("num", extract_dates(F.col("json")).alias("_detail"))
+    listed = proceedings.where("num is not null")
+    first = listed.groupBy("num").agg(F.min_by("json", "pos").alias("json"))
+    entries = record_dates(first, name="_listed").select("num", "_listed")
+    found = record_dates(details, name="_detail").select("num", "_detail")
     days = F.when(F.size("_detail") > 0, F.col("_detail")).otherwise(F.col("_listed"))
     return (
         entries.join(found, "num", "left")

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from textlab.functions import markup as M
 from textlab.functions.text import collapse_ws
-from textlab.functions.values import extract_dates
 from textlab.operators import landing as B
 from textlab.operators.corpus import lexicon
 from textlab.operators.rows import with_row_id
@@ -47,7 +46,7 @@ _DAY = "CAST(o_orderdate AS DATE)"
 )
 def dates(t: Tables):
     rows = t.spark.sql(PROCEEDINGS, orders=t.orders).where("pos = 0")
-    return rows.select("num", F.array_join(extract_dates(F.col("json")), ",").alias("dates"))
+    return B.record_dates(rows).select("num", F.array_join("dates", ",").alias("dates"))
 
 
 @Q.add(
