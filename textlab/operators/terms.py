@@ -8,6 +8,7 @@ from textlab.functions.text import fold_token, words
 from textlab.functions.words import LETTERS
 from textlab.operators.corpus import vocabulary_filter
 from textlab.operators.joins import top_k
+from textlab.sources.sinks import materialise
 
 
 def term_counts(
@@ -49,22 +50,37 @@ def ngram_counts(listed: DataFrame, keys: list[str], sizes=(2, 3)) -> DataFrame:
     return listed.select(*keys, F.inline(every)).groupBy(*keys, "term", "ngram_len").agg(F.count("*").alias("tf"))
 
 
-def cross_ngram_counts(listed: DataFrame, group: list[str], order: list[str], sizes=(2, 3)) -> DataFrame:
+def cross_ngram_counts(listed: DataFrame, group: list[str], order: list[str], sizes=(2, 3), slices: int | None = None) -> DataFrame:
     """(group, term, ngram_len, tf) of n-grams when a group's texts, in order, are one text.
 
-    To the n-grams within texts come those over borders; for these only the first and last
-    words of each text meet in a window.
+    To the n-grams within texts come those over borders, from the first and last words of each
+    text. These meet in slices: ranges of group and order (``slices`` of them, by default as many
+    as the session has shuffle partitions), so a large group is many tasks. A slice also gets
+    the first words of the slices after it, as a text has at least one word, of no more than
+    the longest n-gram reaches. Texts without words are passed over; ``order`` must tell a
+    group's texts apart.
     """
     n_edge = max(sizes) - 1
+    slices = slices or int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = listed.where(F.size("words") > 0).select(
         *group,
         *order,
         F.slice("words", 1, n_edge).alias("_head"),
         F.slice("words", F.greatest(F.size("words") - n_edge + 1, F.lit(1)), F.lit(n_edge)).alias("_tail"),
     )
-    in_order = Window.partitionBy(*group).orderBy(*order)
-    heads = F.array_compact(F.array(*[F.lead("_head", i).over(in_order) for i in range(1, n_edge + 1)]))
-    met = edges.select(*group, "_tail", F.slice(F.flatten(heads), 1, n_edge).alias("_ahead"))
+    # A group lies in consecutive slices.
+    edges = materialise(edges.repartitionByRange(slices, *group, *order).withColumn("_slice", F.spark_partition_id()), "edges")
+    in_order = Window.partitionBy(*group, "_slice").orderBy(*order)
+    first = edges.withColumn("_r", F.row_number().over(in_order)).where(F.col("_r") <= n_edge)
+    heads = first.groupBy(*group, "_slice").agg(F.array_sort(F.collect_list(F.struct("_r", "_head"))).alias("_h"))
+    start = heads.select(*group, "_slice", F.slice(F.flatten(F.transform("_h", lambda h: h["_head"])), 1, n_edge).alias("_words"))
+    reached = start.withColumn("d", F.explode(F.sequence(F.lit(1), F.lit(n_edge))))
+    sent = reached.select(*group, (F.col("_slice") - F.col("d")).alias("_slice"), F.struct("d", "_words").alias("_s"))
+    guests = sent.groupBy(*group, "_slice").agg(F.flatten(F.transform(F.array_sort(F.collect_list("_s")), lambda s: s["_words"])).alias("_head"))
+    both = edges.withColumn("_guest", F.lit(0)).unionByName(guests.withColumn("_guest", F.lit(1)), allowMissingColumns=True)
+    with_guest = Window.partitionBy(*group, "_slice").orderBy("_guest", *order)
+    ahead = F.array_compact(F.array(*[F.lead("_head", i).over(with_guest) for i in range(1, n_edge + 1)]))
+    met = both.select(*group, "_guest", "_tail", F.slice(F.flatten(ahead), 1, n_edge).alias("_ahead")).where("_guest = 0")
 
     def crossing(n: int) -> Column:
         whole = F.concat("_tail", F.slice("_ahead", 1, n - 1))
@@ -76,8 +92,7 @@ def cross_ngram_counts(listed: DataFrame, group: list[str], order: list[str], si
         )
 
     over = met.select(*group, F.inline(F.concat(*map(crossing, sizes)))).groupBy(*group, "term", "ngram_len").agg(F.count("*").alias("tf"))
-    both = ngram_counts(listed, group, sizes).unionByName(over)
-    return both.groupBy(*group, "term", "ngram_len").agg(F.sum("tf").alias("tf"))
+    return ngram_counts(listed, group, sizes).unionByName(over).groupBy(*group, "term", "ngram_len").agg(F.sum("tf").alias("tf"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -254,3 +269,27 @@ def cooccurrence(listed: DataFrame, window: int = 2) -> DataFrame:
 
     every = F.concat(*[at_distance(d) for d in range(1, window + 1)])
     return listed.select(F.inline(every)).groupBy("word_a", "word_b").agg(F.count("*").alias("n"))
+
+
+def set_pairs(listed: DataFrame, tile: int = 64) -> DataFrame:
+    """Unordered pairs of different words that share a row of ``words``, with the number of such rows.
+
+    A row's distinct words are sorted and cut into tiles; every two tiles are a row of their own
+    with at most ``tile`` squared pairs, so a very long row is many small ones.
+    """
+    sorted_words = listed.select(F.array_sort(F.array_distinct("words")).alias("w")).where(F.size("w") > 1)
+    last = F.floor((F.size("w") - 1) / tile).cast("int")
+    rows = sorted_words.withColumn("i", F.explode(F.sequence(F.lit(0), last))).withColumn("j", F.explode(F.sequence(F.col("i"), last)))
+    tiles = rows.select("i", "j", *(F.slice("w", F.col(x) * tile + 1, F.lit(tile)).alias(name) for x, name in (("i", "a"), ("j", "b"))))
+
+    def pairs(a: Column, at: Column) -> Column:
+        others = F.when(F.col("i") == F.col("j"), F.slice("b", at + 2, F.lit(tile))).otherwise(F.col("b"))
+        return F.transform(others, lambda b: F.struct(a.alias("word_a"), b.alias("word_b")))
+
+    return tiles.select(F.inline(F.flatten(F.transform("a", pairs)))).groupBy("word_a", "word_b").agg(F.count("*").alias("n"))
+
+
+def sentence_rows(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, sentence, text): the texts cut where a sentence ends."""
+    parts = F.split(F.coalesce("text", F.lit("")), "[.!?…]+")
+    return docs.select(*keys, F.posexplode(parts).alias("sentence", "text"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from textlab.functions import text as X
 from textlab.functions.values import first_truthy, safe_int
 from textlab.operators import corpus as C, extras as K, metrics as G, report as J, terms as T
-from textlab.operators import topics as L
+from textlab.operators import search as I, topics as L
 from textlab.operators.names import name_variants
 from textlab.operators.stats import box_stats
 from textlab.plans.oracle import (
@@ -15,6 +15,7 @@ from textlab.plans.oracle import (
     VOWEL,
     WORD,
     fold_sql,
+    keep_sql,
     mention_sql,
     pct_sql,
     quoted,
@@ -22,7 +23,7 @@ from textlab.plans.oracle import (
 )
 from textlab.plans.registry import Registry, rounded
 from textlab.plans.tables import BLOCKS, NEEDLES, SPOKEN, STOPWORDS, WRITTEN, Tables
-from textlab.sources.sinks import materialise
+from textlab.sources.sinks import materialise, shared_dir
 
 Q = Registry()
 GROUP = ["club", "source"]
@@ -587,6 +588,55 @@ def cooccurrence(t: Tables):
     return T.cooccurrence(C.lemma_arrays(t.docs, ["doc_id"], **rules(t), column="token"), 2)
 
 
+# Two words of one sentence; a sentence ends with a run of . ! ? …
+SENTENCE_SQL = """,
+sent AS (SELECT doc_id, unnest(range(len(p))) AS s, unnest(p) AS part FROM (SELECT doc_id, regexp_split_to_array(text, '[.!?…]+') AS p FROM docs)),
+st AS (SELECT DISTINCT doc_id, s, lower(w) AS token FROM (SELECT doc_id, s, unnest(regexp_extract_all(part, '{word}')) AS w FROM sent)),
+kept AS (SELECT * FROM st WHERE {keep})
+SELECT a.token AS word_a, b.token AS word_b, count(*) AS n FROM kept a JOIN kept b ON a.doc_id = b.doc_id AND a.s = b.s AND a.token < b.token
+GROUP BY 1, 2 HAVING count(*) >= 3"""
+
+
+@Q.add("cooccurrence_sentence", sql("", "docs", "names").rstrip() + SENTENCE_SQL.format(word=WORD, keep=keep_sql("token")))
+def cooccurrence_sentence(t: Tables):
+    """Pairs of words in at least three sentences."""
+    sentences = T.sentence_rows(t.docs, ["doc_id"])
+    return T.set_pairs(C.lemma_arrays(sentences, ["doc_id", "sentence"], **rules(t), column="token")).where("n >= 3")
+
+
+@Q.add(
+    "cross_ngrams",
+    sql("", "tok").rstrip() + """,
+l AS (SELECT source, club, lemma, lead(lemma) OVER o AS b, lead(lemma, 2) OVER o AS c FROM tok WINDOW o AS (PARTITION BY source, club ORDER BY doc_id, pos)),
+g AS (SELECT source, club, lemma || ' ' || b AS term, 2 AS ngram_len FROM l UNION ALL SELECT source, club, lemma || ' ' || b || ' ' || c, 3 FROM l)
+SELECT source, club, term, ngram_len, count(*) AS tf FROM g WHERE term IS NOT NULL GROUP BY ALL HAVING count(*) >= 2""",
+)
+def cross_ngrams(t: Tables):
+    """n-grams met twice when a group's texts are read as one."""
+    listed = materialise(C.lemma_arrays(t.docs, ["doc_id", "club", "source"], **rules(t)), "lemmas")
+    return T.cross_ngram_counts(listed, ["source", "club"], ["doc_id"]).where("tf >= 2")
+
+
+KEYWORDS_SQL = """(SELECT word FROM (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '{word}'))) AS word FROM benchmark)
+  ORDER BY length(word) DESC, word LIMIT 1000)"""
+
+
+@Q.add(
+    "kwic_index",
+    sql("", "raw_tok").rstrip() + """,
+w AS (SELECT doc_id, pos, token, concat_ws(' ', lag(token, 3) OVER o, lag(token, 2) OVER o, lag(token, 1) OVER o) AS "left",
+  concat_ws(' ', lead(token, 1) OVER o, lead(token, 2) OVER o, lead(token, 3) OVER o) AS "right"
+  FROM raw_tok WINDOW o AS (PARTITION BY doc_id ORDER BY pos))
+SELECT doc_id, pos, "left", token AS keyword, "right" FROM w WHERE token IN """ + KEYWORDS_SQL.format(word=WORD),
+)
+def kwic_index(t: Tables):
+    """The thousand longest words of the items in the context of every text that has them."""
+    listed = t.benchmark.select(F.explode(X.raw_tokens(F.col("text"))).alias("word")).distinct()
+    words = [r["word"] for r in listed.orderBy(F.desc(F.length("word")), "word").limit(1_000).collect()]
+    index = I.build_keyword_index(t.docs, ["doc_id"], shared_dir(t.spark, "keyword-index"))
+    return I.keywords_in_context(t.docs, index, words, 3)
+
+
 def unit_vectors(t: Tables):
     return T.tfidf_top(unigrams(t), t.raw_docs, "source", "club", 5, 0.6, 8000, 20, scores_only=True)
 
