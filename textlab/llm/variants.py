@@ -56,7 +56,15 @@ def near_pairs(words: DataFrame) -> DataFrame:
     half = F.floor(F.col("of_size") / 2).cast("int")
     first = (F.col("part") == FRONT) | (F.substring("a", F.lit(1), half) != F.substring("b", F.lit(1), half))
     ordered = (F.length("b") < F.col("of_size")) | (F.col("a") < F.col("b"))
-    return met.where(ordered & first & (F.levenshtein("a", "b", 1) == 1)).select("a", "a_n", "b", "b_n")
+    # One edit leaves one half of the rest intact too: a cheap test before the distance.
+    start = F.when(F.col("part") == FRONT, half).otherwise(0)
+    size = F.when(F.col("part") == FRONT, F.col("of_size") - half).otherwise(half)
+    quarter = F.floor(size / 2).cast("int")
+    back, shift = start + quarter + 1, F.length("b") - F.col("of_size")
+    intact = (F.substring("a", start + 1, quarter) == F.substring("b", start + 1, quarter)) | (
+        F.substring("a", back, size - quarter) == F.substring("b", back + shift, size - quarter)
+    )
+    return met.where(ordered & intact & first & (F.levenshtein("a", "b", 1) == 1)).select("a", "a_n", "b", "b_n")
 
 
 def _roots(links: DataFrame, max_rounds: int = 64) -> DataFrame:
