@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -173,22 +175,55 @@ def linear_fit(df: DataFrame, y: str, x: str) -> DataFrame:
     )
 
 
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function for x > 0, by its series beyond 8."""
+    up = F.greatest(F.lit(0.0), F.ceil(8 - x)).cast("int")
+    down = F.aggregate(F.sequence(F.lit(0), up), F.lit(0.0), lambda acc, k: F.when(k < up, acc + F.log(x + k)).otherwise(acc))
+    z = x + up
+    r = 1 / (z * z)
+    series = (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r * (1 / 1680 - r * (1 / 1188 - r * 691 / 360360))))) / z
+    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series - down
+
+
+def incomplete_beta(x: Column, a: Column, b: Column, terms: int = 300) -> Column:
+    """Regularised incomplete beta function, 0 <= x <= 1, by its continued fraction as a fold."""
+
+    def fraction(x: Column, a: Column, b: Column) -> Column:
+        tiny = 1e-300
+
+        def safe(v: Column) -> Column:
+            return F.when(F.abs(v) < tiny, tiny).otherwise(v)
+
+        def turned(s: Column, numerator: Column) -> Column:
+            d = 1 / safe(1 + numerator * s["d"])
+            c = safe(1 + numerator / s["c"])
+            return F.struct(c.alias("c"), d.alias("d"), (s["h"] * d * c).alias("h"))
+
+        def step(s: Column, m: Column) -> Column:
+            even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+            odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+            return F.get(F.transform(F.array(turned(s, even)), lambda t: turned(t, odd)), 0)
+
+        d = 1 / safe(1 - (a + b) * x / (a + 1))
+        start = F.struct(F.lit(1.0).alias("c"), d.alias("d"), d.alias("h"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(terms)), start, step)["h"]
+
+    front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.log(x) + b * F.log(1 - x))
+    below = x < (a + 1) / (a + b + 2)
+    value = F.when(below, front * fraction(x, a, b) / a).otherwise(1 - front * fraction(1 - x, b, a) / b)
+    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).otherwise(value)
+
+
 def linear_fit_p_value(df: DataFrame, y: str, x: str) -> DataFrame:
-    """Slope and its p-value from the normal-equation solver."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
-    points = (
-        VectorAssembler(inputCols=["_x"], outputCol="features")
-        .transform(
-            df.select(F.col(y).cast("double").alias("label"), F.col(x).cast("double").alias("_x")).dropna()
-        )
-        .select("features", "label")
-    )
-    fit = LinearRegression(solver="normal").fit(points)
-    return df.sparkSession.createDataFrame(
-        [(float(fit.coefficients[0]), float(fit.summary.pValues[0]))], "slope double, p_value double"
-    )
+    """Slope of y ~ x and the chance of one as large if there were none (two tails of Student's t).
+
+    One aggregate and expressions on its row. Rows with a null in either column do not count; the
+    p-value is null below three points or without spread.
+    """
+    fit = linear_fit(df, y, x)
+    # 1 - r² is n-2 over n-2 plus t², the argument of the tail
+    tail = incomplete_beta(1 - F.col("r2"), (F.col("n") - 2) / 2, F.lit(0.5))
+    return fit.select("slope", F.when(F.col("n") > 2, tail).alias("p_value"))
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:

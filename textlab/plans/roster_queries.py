@@ -530,9 +530,19 @@ def linear_fit(t: Tables):
     return rounded(S.linear_fit(t.roster, "wiek", "ktoraKadencja"))
 
 
-@Q.add("linear_fit_p")
+# The tail by the finite sums in cos² of the angle whose tangent is t / sqrt(v), v even or odd.
+P_VALUE_SQL = """,
+f AS (SELECT regr_slope(wiek, "ktoraKadencja") AS slope, regr_r2(wiek, "ktoraKadencja") AS r2, CAST(regr_count(wiek, "ktoraKadencja") AS BIGINT) - 2 AS v FROM mp),
+k AS (SELECT unnest(range(1, CASE WHEN v % 2 = 0 THEN v // 2 ELSE (v - 1) // 2 END)) AS k FROM f),
+terms AS (SELECT exp(sum(ln(CASE WHEN v % 2 = 0 THEN (2 * k - 1) / (2 * k) ELSE 2 * k / (2 * k + 1) END)) OVER (ORDER BY k) + k * ln(1 - r2)) AS x FROM k, f),
+s AS (SELECT 1 + coalesce(sum(x), 0) AS s FROM terms)
+SELECT round(slope, 8) AS slope, round(1 - CASE WHEN v % 2 = 0 THEN sqrt(r2) * s
+  ELSE 2 / pi() * (asin(sqrt(r2)) + CASE WHEN v > 1 THEN sqrt(r2) * sqrt(1 - r2) * s ELSE 0 END) END, 8) AS p_value FROM f, s"""
+
+
+@Q.add("linear_fit_p", sql("", "mp").rstrip() + P_VALUE_SQL)
 def linear_fit_p(t: Tables):
-    return S.linear_fit_p_value(t.roster, "wiek", "ktoraKadencja")
+    return rounded(S.linear_fit_p_value(t.roster, "wiek", "ktoraKadencja"))
 
 
 @Q.add(
