@@ -55,3 +55,12 @@ def test_rendering(spark):
         "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>user name=ann\nhi < |im_end|> all<|im_end|>\n"
         "<|im_start|>user name=ann\n<|im_end|>\n<|im_start|>assistant\né<|im_end|>\n"
     )
+
+
+def test_names_stay_apart(spark):
+    roles = ["bob b", "bob_b", "bob_20_b", "bob__b", "unknown", None, "_null_", "", "a-é😀", "ann"]
+    frame = spark.createDataFrame([(1, i, r, "t", "x") for i, r in enumerate(roles)], "conv_id long, turn long, role string, text string, place string")
+    rows = against_sql(frame, 1024)
+    shown = {r["speaker"]: r["segment"].split("\n")[0] for r in rows if r["perspective"] == "ann" and r["speaker"] != "ann"}
+    assert len(shown) == len(set(shown.values())) == len(roles) - 1
+    assert shown["bob_b"].endswith("name=bob__b") and shown["bob b"].endswith("name=bob_20_b") and shown["a-é😀"].endswith("name=a-_c3a9__f09f9880_")

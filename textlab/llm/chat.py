@@ -12,6 +12,16 @@ def _order() -> list[Column]:
     return [F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()]
 
 
+def shown_name(role: Column) -> Column:
+    """The role in letters, digits, - and _, different for different roles: _ is written as __, any
+    other sign as the hex digits of its UTF-8 between two _, a null role as _null_."""
+    signs = F.regexp_extract_all(role, F.lit("(?s)."), F.lit(0))
+    escaped = F.transform(
+        signs, lambda c: F.when(c.rlike("^[A-Za-z0-9-]$"), c).when(c == "_", "__").otherwise(F.concat(F.lit("_"), F.lower(F.hex(c)), F.lit("_")))
+    )
+    return F.coalesce(F.array_join(escaped, ""), F.lit("_null_"))
+
+
 def rotate(conversations: DataFrame, common: str = "system", block: int = BLOCK) -> DataFrame:
     """One row per turn and participant of its conversation: the turn as that participant sees it.
 
@@ -21,7 +31,7 @@ def rotate(conversations: DataFrame, common: str = "system", block: int = BLOCK)
     closing mark of the perspective's own turns; null elsewhere). All in code points.
 
     The participant's own turns are rendered as assistant, turns of ``common`` as system, all
-    others as user with the speaker's name; marks inside a text are broken up with a space. A
+    others as user with the speaker's name (``shown_name``); marks inside a text are broken up with a space. A
     participant is a role other than null and ``common``; a conversation without any has no rows.
     Turns go by turn, role, text, nulls first; repeated rows are turns of their own; null texts
     are empty; rows without conv_id form one conversation. Other columns are not read.
@@ -34,7 +44,7 @@ def rotate(conversations: DataFrame, common: str = "system", block: int = BLOCK)
     speakers = turns.where(F.col("role").isNotNull() & (F.col("role") != common)).select(F.col("conv_id").alias("conv"), F.col("role").alias("perspective")).distinct()
     seen = turns.join(speakers, F.col("conv_id").eqNullSafe(F.col("conv"))).drop("conv")
     own = F.coalesce(F.col("role") == F.col("perspective"), F.lit(False))
-    name = F.regexp_replace(F.coalesce("role", F.lit("unknown")), "[^A-Za-z0-9_-]", "_")
+    name = shown_name(F.col("role"))
     kind = F.when(own, "assistant").when(F.col("role") == common, "system").otherwise(F.concat(F.lit("user name="), name))
     head = F.concat(F.lit(OPEN), kind, F.lit("\n"))
     body = F.concat(F.replace("text", F.lit("<|"), F.lit("< |")), F.lit(CLOSE))
@@ -79,7 +89,8 @@ WITH t AS (
   SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> '{common}'
 ), s AS (
   SELECT t.*, p.perspective, coalesce(role = perspective, FALSE) AS own, '{OPEN}' || CASE WHEN role = perspective THEN 'assistant'
-      WHEN role = '{common}' THEN 'system' ELSE 'user name=' || regexp_replace(coalesce(role, 'unknown'), '[^A-Za-z0-9_-]', '_', 'g') END || chr(10) AS head,
+      WHEN role = '{common}' THEN 'system' ELSE 'user name=' || coalesce(array_to_string(list_transform(regexp_extract_all(role, '(?s).'), lambda c:
+        CASE WHEN regexp_full_match(c, '[A-Za-z0-9-]') THEN c WHEN c = '_' THEN '__' ELSE '_' || lower(hex(encode(c))) || '_' END), ''), '_null_') END || chr(10) AS head,
     replace(text, '<|', '< |') || '{CLOSE.strip()}' || chr(10) AS body
   FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
 ), o AS (
