@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SMALL
 from textlab.llm import imatch, urls
@@ -98,3 +99,14 @@ def test_no_python_and_narrow_scans(spark, key):
     plan = plan_of(QUERIES[key](spark, SMALL))
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
     assert "html" not in plan and "lang" not in plan
+
+
+def test_registered_domains(spark):
+    hosts = ["a.co.uk", "x.b.co.uk:80", "www.c.org", "10.0.0.1:8080", "10.0.0.2", "co.uk", "org", "[::1]:80", "", "d.com.au", "e.com"]
+    got = spark.createDataFrame([(h,) for h in hosts], "host string").select("*", *(c.alias(n) for n, c in urls.levels_of(F.col("host")).items())).collect()
+    assert [(r["domain"], r["suffix"]) for r in got] == [
+        ("a.co.uk", "co.uk"), ("b.co.uk", "co.uk"), ("c.org", "org"), ("10.0.0.1", "10.0.0.1"), ("10.0.0.2", "10.0.0.2"), ("co.uk", "co.uk"), ("org", "org"),
+        ("[::1]", "[::1]"), ("", ""), ("d.com.au", "com.au"), ("e.com", "com"),
+    ]
+    rows = [(i, f"http://{h}/p", 1) for i, h in enumerate(hosts * 2)] + [(90, "http://x.example.org/es/", 1), (91, "http://q.org/", 1)]
+    compare("op9_host_reputation", "pages", spark.createDataFrame(rows, "page_id long, url string, host long"))

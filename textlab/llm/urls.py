@@ -37,9 +37,23 @@ def matching_rule(rules: list[tuple[str, str]], host: Column, path: Column) -> C
     return found
 
 
+# Suffixes of two labels under which names are registered.
+TWO_LABELS = (
+    "ac.jp ac.nz ac.uk co.id co.il co.in co.jp co.kr co.nz co.th co.uk co.za com.ar com.au com.br com.cn com.co com.hk com.mx"
+    " com.my com.pl com.sg com.tr com.tw com.ua edu.au go.jp gov.au gov.uk ne.jp net.au net.cn or.jp org.au org.cn org.nz org.uk"
+).split()
+_IP = r"^([0-9]+(\.[0-9]+){3}|\[.*)$"
+
+
 def levels_of(host: Column) -> dict[str, Column]:
-    """Registered domain (last two labels) and suffix (last label) of a host."""
-    return {"domain": F.substring_index(host, ".", -2), "suffix": F.substring_index(host, ".", -1)}
+    """Registered domain and suffix of a host without its port: suffixes are the last label, or two
+    where ``TWO_LABELS`` has them, domains one label more; an address in numbers stands for itself."""
+    name = F.regexp_replace(host, ":[0-9]*$", "")
+    two = F.substring_index(name, ".", -2)
+    wide = two.isin(TWO_LABELS)
+    alone = name.rlike(_IP)
+    domain = F.when(alone, name).when(wide, F.substring_index(name, ".", -3)).otherwise(two)
+    return {"domain": domain, "suffix": F.when(alone, name).when(wide, two).otherwise(F.substring_index(name, ".", -1))}
 
 
 def reputations(outcomes: DataFrame, default_strength: float = 2.0, max_strength: float = 1000.0) -> DataFrame:
@@ -119,6 +133,7 @@ def sql(rules: list[tuple[str, str]], z: float = 1.0, least: float = 0.5, defaul
     for verdict, rule in sorted(rules, key=lambda r: (-len(r[1]), r[1])):
         h, p = rule.split("/", 1)
         whens.append(f"WHEN (host = '{h}' OR suffix(host, '.{h}')) AND prefix(path, '/{p}') THEN '{verdict} {rule}'")
+    wide = ", ".join(f"'{s}'" for s in TWO_LABELS)
     strength = f"""(SELECT CASE WHEN count(*) < 2 OR coalesce(sum((n - 1) * m * (1 - m)), 0) <= 0 THEN {default}
       WHEN (sum(n * (k / n - m) * (k / n - m)) - sum(m * (1 - m))) / sum((n - 1) * m * (1 - m)) <= 1.0 / ({highest} + 1) THEN {highest}
       ELSE greatest(0.0, least({highest}, sum((n - 1) * m * (1 - m)) / (sum(n * (k / n - m) * (k / n - m)) - sum(m * (1 - m))) - 1)) END
@@ -132,9 +147,14 @@ WITH u AS (
   SELECT page_id, translate(raw, '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS host,
     regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM v
 ), x AS (
-  SELECT *, CASE {" ".join(whens)} END AS r, regexp_extract(host, '([^.]*[.])?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suf FROM w
+  SELECT *, CASE {" ".join(whens)} END AS r, regexp_replace(host, ':[0-9]*$', '') AS name FROM w
+), y AS (
+  SELECT *, regexp_extract(name, '([^.]*[.])?[^.]*$') AS two, regexp_matches(name, '{_IP}') AS alone FROM x
+), z AS (
+  SELECT page_id, host, path, r, CASE WHEN alone THEN name WHEN two IN ({wide}) THEN regexp_extract(name, '([^.]*[.])?[^.]*[.][^.]*$') ELSE two END AS domain,
+    CASE WHEN alone THEN name WHEN two IN ({wide}) THEN two ELSE regexp_extract(name, '[^.]*$') END AS suf FROM y
 ), h AS (
-  SELECT host, any_value(domain) AS domain, any_value(suf) AS suf, count(r) AS n, count(*) FILTER (WHERE r LIKE 'allow %') AS k FROM x GROUP BY host
+  SELECT host, any_value(domain) AS domain, any_value(suf) AS suf, count(r) AS n, count(*) FILTER (WHERE r LIKE 'allow %') AS k FROM z GROUP BY host
 ), s0 AS (
   SELECT suf, sum(n)::DOUBLE AS n, sum(k)::DOUBLE AS k, (SELECT (sum(k) + 0.5) / (sum(n) + 1.0) FROM h) AS m FROM h GROUP BY suf
 ), s1 AS (
