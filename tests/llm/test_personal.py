@@ -97,3 +97,17 @@ def test_short_candidate_before_a_base_span_in_a_long_one():
     base = P.base_spans(text)
     found = [(c.kind, text[c.start : c.end]) for c in P.candidates(text, base)]
     assert [text[s:e] for _, s, e in base] == ["me@host.org"] and found == [("phone", "1990-02-03"), ("birth_date", "1990-02-03")]
+
+
+def test_secrets_go_whole(spark):
+    secrets = ["k9" * 250, "aB3" * 400 + "=x", "0123456789abcdef" * 70]
+    rows = [(i, f"login: api_key={s} end", "x") for i, s in enumerate(secrets * 15)] + [(100 + i, f"version 12-{i} at that", "x") for i in range(30)]
+    for r in P.redact(frame(spark, rows).selectExpr("doc_id", "text")).where("doc_id < 100").collect():
+        assert r["text"] == "login: api_key=[secret] end"
+    # a run of signs is read once
+    assert len(list(P._secrets("key=" * 100_000))) == 1
+
+
+def test_long_hidden_addresses():
+    text = f"{'a' * 60}.b at {'c' * 62} dot d dot e dot f dot g dot h dot org"
+    assert list(P._hidden_emails(text)) == [(0, len(text))]

@@ -27,12 +27,13 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # Wide patterns of further candidates, and for some a strict shape.
 _DIGIT = re.compile("[0-9]")
 _AT = re.compile(r"\s?(?:\(at\)|\[at\]|\{at\}|\sat\s)\s?", re.I)
-_AT_LEFT = re.compile(r"\w[\w.+-]{0,60}\Z")
-_AT_RIGHT = re.compile(r"\w[\w-]{0,60}(?:(?:\s?(?:\(dot\)|\[dot\]|\{dot\})\s?|\sdot\s)\w[\w-]{0,60}){1,4}", re.I)
-_AT_RIGHT_PLAIN = re.compile(r"\w[\w-]{0,60}(?:\.\w[\w-]{0,60}){1,4}")
+# An address has at most 64 signs before the at and 63 in a label behind it.
+_AT_LEFT = re.compile(r"\w[\w.+-]{0,63}\Z")
+_AT_RIGHT = re.compile(r"\w[\w-]{0,62}(?:(?:\s?(?:\(dot\)|\[dot\]|\{dot\})\s?|\sdot\s)\w[\w-]{0,62})+", re.I)
+_AT_RIGHT_PLAIN = re.compile(r"\w[\w-]{0,62}(?:\.\w[\w-]{0,62})+")
 _SIGN = re.compile("[:=]")
 _KEY_LEFT = re.compile(r"(?<!\w)(?:api[_-]?key|access[_-]?key|auth|bearer|token|secret|password|passwd|pwd|key)\s{0,4}\Z", re.I)
-_KEY_RIGHT = re.compile(r"\s{0,4}[\"']?([^\s\"'<>]{8,200})")
+_KEY_RIGHT = re.compile(r"\s{0,4}[\"']?([^\s\"'<>]{8,})")
 _CANDIDATES = {
     "phone": re.compile(r"[(0-9](?<![\w.+-].)(?:(?<=\()[0-9]{2,5}\)|(?<=[0-9])[0-9]{1,5})[ ./-][0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?![\w-])"),
     "iban": re.compile(r"[A-Z](?<![A-Za-z0-9].)[A-Z][0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
@@ -61,7 +62,7 @@ def _hidden_emails(text: str):
         return
     end = 0
     for m in _AT.finditer(text):
-        left = _AT_LEFT.search(text[max(end, m.start() - 61) : m.start()])
+        left = _AT_LEFT.search(text[max(end, m.start() - 64) : m.start()])
         right = _AT_RIGHT.match(text, m.end()) or (m.group().strip().lower() != "at" and _AT_RIGHT_PLAIN.match(text, m.end()))
         if left and right:
             end = right.end()
@@ -69,9 +70,12 @@ def _hidden_emails(text: str):
 
 
 def _secrets(text: str):
-    """Values after a key word and a sign."""
+    """Values after a key word and a sign: whole runs without blanks, however long. A sign within
+    a value starts none of its own."""
+    end = 0
     for m in _SIGN.finditer(text):
-        if _KEY_LEFT.search(text[max(0, m.start() - 16) : m.start()]) and (value := _KEY_RIGHT.match(text, m.end())):
+        if m.start() >= end and _KEY_LEFT.search(text[max(0, m.start() - 16) : m.start()]) and (value := _KEY_RIGHT.match(text, m.end())):
+            end = value.end()
             yield value.span(1)
 
 
