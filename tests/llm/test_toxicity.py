@@ -75,3 +75,14 @@ def test_edge_rows(spark):
     rows = T.score(docs, one).collect()
     assert len(rows) == 5 and all(0 <= r["score"] <= 1 for r in rows)
     assert T.score(docs.limit(0), one).count() == 0
+
+
+def test_each_model_has_its_own_scorer(spark):
+    """Equal terms and coefficients, other weights or look-alikes: other scores in the same workers."""
+    weights = np.linspace(1.0, 2.0, T.N_FEATURES + 1)
+    models = [T.Model(T.Lexicon(["idiot"], [w], frozenset(h)), weights) for w, h in ((0.1, []), (0.9, []), (0.1, ["idiots"]))]
+    docs = spark.createDataFrame([(1, "you idiots"), (2, "an idiot")], "doc_id long, text string").repartition(1)
+    for model in (*models, models[0]):
+        want = T.scorer(model)(["you idiots", "an idiot"]).tolist()
+        assert [r["score"] for r in T.score(docs, model).orderBy("doc_id").collect()] == pytest.approx(want, abs=1e-12)
+    assert len({tuple(T.scorer(m)(["you idiots", "an idiot"]).tolist()) for m in models}) == 3

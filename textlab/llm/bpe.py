@@ -168,7 +168,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     """
 
     def run(batches):
-        codec = worker_state(f"codec_{zlib.crc32((path + pattern).encode())}", lambda: TreeCodec(load_ranks(path), pattern))
+        codec = worker_state("codec", f"{path}\n{pattern}", lambda: TreeCodec(load_ranks(path), pattern))
         for batch in slices(batches):
             counts, shas, decoded = [], [], []
             for text in batch.column(1).to_pylist():

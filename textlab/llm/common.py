@@ -59,15 +59,16 @@ class Forest:
             np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
 
 
-def worker_state(key: str, build: Callable):
-    """What ``build`` returned first in this Python worker: tables and caches that outlive a task."""
+def worker_state(kind: str, key: str, build: Callable):
+    """What ``build`` returned for ``key`` in this Python worker: a table or cache that outlives a
+    task. A worker keeps one of a kind; another key takes its place."""
     import sys
     import types
 
     kept = sys.modules.setdefault("_textlab_worker_state", types.ModuleType("_textlab_worker_state"))
-    if not hasattr(kept, key):
-        setattr(kept, key, build())
-    return getattr(kept, key)
+    if getattr(kept, kind, (None,))[0] != key:
+        setattr(kept, kind, (key, build()))
+    return getattr(kept, kind)[1]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1.0) -> np.ndarray:

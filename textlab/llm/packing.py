@@ -90,7 +90,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_c
     """(id, piece, start, length, ids_crc32) of every piece of every row, without the ids."""
 
     def run(batches):
-        encode = worker_state(f"encoder_{zlib.crc32(vocabulary.encode())}", lambda: byte_level_encoder(vocabulary))
+        encode = worker_state("encoder", vocabulary, lambda: byte_level_encoder(vocabulary))
         for batch in slices(batches):
             rows: list[tuple[int, int, int, int, int]] = []
             for k, text in enumerate(batch.column(1).to_pylist()):

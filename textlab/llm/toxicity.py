@@ -5,6 +5,7 @@ The lexicon, the harmless look-alikes and the weights are learnt from labelled t
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from typing import NamedTuple
@@ -304,9 +305,13 @@ def scorer(model: Model):
     return scores
 
 
-def _worker_scorer(model: Model):
-    key = "toxicity_" + xxhash.xxh64_hexdigest(repr((model.lexicon.terms, len(model.lexicon.harmless), model.coefficients)))
-    return worker_state(key, lambda: scorer(model))
+def _scoring(model: Model):
+    """Function that gives a task its scorer: built once per worker and model, told by all of the
+    model's parts."""
+    lexicon = model.lexicon
+    parts = (lexicon.terms, lexicon.weights, sorted(lexicon.harmless), None if model.coefficients is None else model.coefficients.tolist())
+    key = hashlib.sha256(repr(parts).encode()).hexdigest()
+    return lambda: worker_state("toxicity", key, lambda: scorer(model))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -316,8 +321,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Without labelled rows to learn from every score is 0. Repeated rows give repeated
     results; an empty table gives none.
     """
+    own = _scoring(model)
+
     def run(batches):
-        scores = _worker_scorer(model)
+        scores = own()
         for batch in slices(batches):
             yield pa.record_batch([batch.column(0), pa.array(scores(batch.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
 
@@ -326,8 +333,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_harmless(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs``, all columns, whose score is below ``threshold``."""
+    own = _scoring(model)
+
     def run(batches):
-        scores = _worker_scorer(model)
+        scores = own()
         for batch in slices(batches):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             yield batch.filter(pa.array(scores(texts) < threshold))
