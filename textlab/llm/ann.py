@@ -12,14 +12,15 @@ from textlab.sources.sinks import materialise
 
 
 class Index(NamedTuple):
-    """Fitted on a bounded sample: list centres, a rotation, and the sample itself with its lists and ids."""
+    """Fitted on a bounded sample: list centres, how many a query probes, the axes that distances are
+    read along, widest first, in blocks, and the share of a distance after each block up to
+    which a pair goes on."""
 
     centroids: np.ndarray
-    rotation: np.ndarray
-    sample: np.ndarray
     probes: int
-    home: np.ndarray
-    ids: list[list[int]]
+    axes: np.ndarray
+    cuts: list[tuple[int, int]]
+    shares: np.ndarray
 
 
 def clean(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -50,60 +51,70 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     return centers
 
 
-def fit(distinct: DataFrame, n: int, k: int = 20, sample_rows: int = 16_384, rows_per_list: int = 1_024, max_lists: int = 4_096, target: float = 0.99, seed: int = 7) -> Index:
+def fit(distinct: DataFrame, n: int, k: int = 20, sample_rows: int = 16_384, rows_per_list: int = 1_024, max_lists: int = 4_096, target: float = 0.99, width: int = 8, seed: int = 7) -> Index:
     """Index from at most ``sample_rows`` of the ``n`` distinct vectors, chosen by a hash of their ids.
 
     The number of probed lists is what finds the share ``target`` of the sample's own
-    neighbours; these lie farther off than neighbours among all rows.
+    neighbours; these lie farther off than neighbours among all rows. The rotation is to the
+    sample's principal axes, so that the first of the blocks of ``width`` columns tell most of a
+    distance. The shares are the hypothesis test: of the sample's pairs of neighbours, ``target``
+    have read no more of their distance after each of the blocks.
     """
-    rows = distinct.select("uid", "ids", "v").orderBy(F.xxhash64("uid"), "uid").limit(sample_rows).toArrow()
+    rows = distinct.select("uid", "v").orderBy(F.xxhash64("uid"), "uid").limit(sample_rows).toArrow()
     x = np.array(rows.column("v").to_pylist())
     lists = max(1, min(max_lists, len(x) // 8, -(-n // rows_per_list)))
     centers = _kmeans(x, lists, 12, seed)
-    d = x.shape[1]
-    rotation = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, d)))[0]
-    home = np.argmin((centers**2).sum(1) - 2 * x @ centers.T, axis=1)
-    tries = x[:: max(1, len(x) // 512)]
+    home = _lists_of(x, centers)
+    stride = max(1, len(x) // 512)
+    tries = x[::stride]
     scores = tries @ x.T
-    scores[np.arange(len(tries)), np.arange(0, len(x), max(1, len(x) // 512))[: len(tries)]] = -np.inf
+    scores[np.arange(len(tries)), np.arange(0, len(x), stride)] = -np.inf
     best = np.argsort(-scores, axis=1)[:, : min(k, len(x) - 1)]
     order = np.argsort(np.argsort(-(tries @ centers.T), axis=1, kind="stable"), axis=1)
     ranks = np.take_along_axis(order, home[best], axis=1)
     probes = int(np.quantile(ranks, target, method="higher")) + 1 if ranks.size else lists
-    return Index(centers, rotation, x, min(lists, probes), home, rows.column("ids").to_pylist())
+
+    d = x.shape[1]
+    axes = np.linalg.eigh(np.cov(x.T).reshape(d, d) if len(x) > 1 else np.eye(d))[1][:, ::-1]
+    cuts = [(a, min(d, a + width)) for a in range(0, d, width)]
+    apart = ((tries[:, None, :] - x[best]) @ axes) ** 2
+    read = np.stack([apart[..., :b].sum(axis=-1).ravel() for _, b in cuts], axis=1)
+    read = read[read[:, -1] > 0] / read[read[:, -1] > 0, -1:]
+    # a neighbour passes all tests with probability target if each fails no more than its part
+    shares = np.quantile(read, 1 - (1 - target) / len(cuts), axis=0, method="higher") if len(read) else np.ones(len(cuts))
+    return Index(centers, min(lists, probes), axes, cuts, np.append(shares[:-1], 1.0) * (1 + 1e-5))
 
 
 class Tile:
     """Candidates of one list as rotated vectors in blocks of columns."""
 
-    def __init__(self, vectors: np.ndarray, first_ids: np.ndarray, rotation: np.ndarray, width: int = 16, epsilon: float = 2.1):
+    def __init__(self, vectors: np.ndarray, first_ids: np.ndarray, index: Index):
         order = np.argsort(first_ids, kind="stable")
-        self.order, self.vectors = order, vectors[order]
-        turned = self.vectors @ rotation
-        d = turned.shape[1]
-        self.cuts = [(a, min(d, a + width)) for a in range(0, d, width)]
-        self.blocks = [np.ascontiguousarray(turned[:, a:b], dtype=np.float32) for a, b in self.cuts]
+        self.order, self.vectors, self.index = order, vectors[order], index
+        turned = self.vectors @ index.axes
+        self.blocks = [np.ascontiguousarray(turned[:, a:b], dtype=np.float32) for a, b in index.cuts]
         self.squares = [(b.astype(np.float64) ** 2).sum(1) for b in self.blocks]
         self.norms = (self.vectors**2).sum(1)
-        # after reading c of d dimensions a distance is abandoned when d/c times what was read passes this
-        self.slack = [(1 + epsilon / np.sqrt(b)) ** 2 if b < d else 1 + 1e-5 for _, b in self.cuts]
-        self.rotation, self.d = rotation, d
+        # pairs tested after each block, and all pairs
+        self.tested, self.pairs = np.zeros(len(index.cuts), np.int64), 0
 
-    def best(self, queries: np.ndarray, least: np.ndarray, keep: int, step: int = 2_048, group: int = 128):
-        """Per query (places, scores) of the up to ``keep`` best with a score >= ``least``, best first.
+    def best(self, queries: np.ndarray, keep: int, first: int = 256, step: int = 2_048, group: int = 128):
+        """Per query (places, scores) of the up to ``keep`` best, best first.
 
         Squared distance is |q|^2 + |x|^2 - 2 <q, x>, so the score to beat gives each pair a
         distance to stay below. Partial distances in rotated space are tested against it after
-        every block of columns; what survives all blocks is scored exactly.
+        every block of columns; what survives all blocks is scored exactly. There is no score
+        to beat before ``keep`` are found: the first few candidates give one.
         """
         out = []
+        starts = [0, *range(first, len(self.vectors), step)]
         for at in range(0, len(queries), group):
             q = queries[at : at + group]
-            turned = q @ self.rotation
-            bar = least[at : at + group].copy()
+            turned = q @ self.index.axes
+            bar = np.full(len(q), -np.inf)
             held = [(np.empty(0, np.int64), np.empty(0)) for _ in q]
-            for lo in range(0, len(self.vectors), step):
-                self._scan(q, turned, bar, held, lo, min(len(self.vectors), lo + step), keep)
+            for lo, hi in zip(starts, [*starts[1:], len(self.vectors)]):
+                self._scan(q, turned, bar, held, lo, hi, keep)
             out += held
         return out
 
@@ -112,16 +123,18 @@ class Tile:
         limit += 1e-9 * (1 + np.abs(limit))
         qi, ci = np.nonzero(limit > 0)
         limit, read = limit[qi, ci], np.zeros(len(qi))
-        for (a, b), block, squares, slack in zip(self.cuts, self.blocks, self.squares, self.slack):
+        self.pairs += len(q) * (hi - lo)
+        for at, ((a, b), block, squares, share) in enumerate(zip(self.index.cuts, self.blocks, self.squares, self.index.shares)):
             if not len(qi):
                 return
+            self.tested[at] += len(qi)
             part = turned[:, a:b]
             if 4 * len(qi) > len(q) * (hi - lo):
                 products = (part.astype(np.float32) @ block[lo:hi].T).astype(np.float64)[qi, ci]
             else:
                 products = np.einsum("ij,ij->i", part[qi], block[lo + ci])
             read = read + (part**2).sum(1)[qi] + squares[lo + ci] - 2 * products
-            on = read * (self.d / b) <= slack * limit + 1e-4 * (1 + limit)
+            on = read <= share * limit + 1e-4 * (1 + limit)
             qi, ci, limit, read = qi[on], ci[on], limit[on], read[on]
         starts = np.searchsorted(qi, np.arange(len(q) + 1))
         for i in np.unique(qi):
@@ -153,7 +166,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, rows_per_tile: int = 8_192
     once: of each distinct vector the k + 1 smallest ids go on.
 
     Every vector is indexed: it belongs to the list of its nearest centre, a query probes the
-    lists of the largest inner products with it. A list and the queries that probe it are cut
+    lists of the largest inner products with it, and further ones until these hold more than
+    ``k`` vectors, so it has its ``k`` rows (all candidates, if fewer). A list and the queries that probe it are cut
     into tiles of bounded size by counts taken before, so a hot list is many tasks.
     """
     rows = materialise(clean(vectors), "vectors")
@@ -180,37 +194,25 @@ def search(vectors: DataFrame, is_query, k: int = 20, rows_per_tile: int = 8_192
 
     placed = materialise(distinct.mapInArrow(place, "list int, uid long, ids array<long>, v array<double>"), "lists")
 
+    sizes = dict(placed.groupBy("list").count().collect())
+    held = np.array([sizes.get(i, 0) for i in range(lists)])
+
     def probe(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 if not part.num_rows:
                     continue
-                q = _matrix(part.column(1))
-                order = np.argsort(-(q @ index.centroids.T), axis=1, kind="stable")[:, : index.probes].astype(np.int32)
-                probed = np.zeros((len(q), lists), bool)
-                np.put_along_axis(probed, order, True, axis=1)
-                # what the sample holds of the probed lists: all but one of its best are candidates, and
-                # the last of them is a bound to start from; they are results unless better ones are found
-                known = np.where(probed[:, index.home], q @ index.sample.T, -np.inf)
-                least, seeds = np.full(len(q), -np.inf), [[] for _ in q]
-                if known.shape[1] > k:
-                    seats = np.argpartition(-known, k, axis=1)[:, : k + 1]
-                    full = np.isfinite(np.take_along_axis(known, seats, axis=1)).all(axis=1)
-                    for i, query_id in zip(np.flatnonzero(full), part.column(0).filter(pa.array(full)).to_pylist()):
-                        scores = (index.sample[seats[i]] * q[i]).sum(1)
-                        least[i] = scores.min() - 1e-9 * abs(scores.min())
-                        rows = [(-s, j) for p, s in zip(seats[i].tolist(), scores.tolist()) for j in index.ids[p] if j != query_id]
-                        seeds[i] = [{"vec_id": j, "score": -s} for s, j in sorted(rows)[:k]]
-                kind = pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())]))
-                columns = [part.column(0), pa.array(list(order), pa.list_(pa.int32())), pa.array(least), part.column(1), pa.array(seeds, kind)]
-                yield pa.record_batch(columns, ["query_id", "lists", "least", "v", "seeds"])
-
-    fields = "query_id long, lists array<int>, least double, v array<double>, seeds array<struct<vec_id long, score double>>"
-    queries = materialise(rows.where(is_query).select("vec_id", "v").mapInArrow(probe, fields), "queries")
-    asked = queries.select("query_id", F.explode("lists").alias("list"), "least", "v")
-
-    sizes, loads = (dict(df.groupBy("list").count().collect()) for df in (placed, asked))
+                order = np.argsort(-(_matrix(part.column(1)) @ index.centroids.T), axis=1, kind="stable").astype(np.int32)
+                before = np.cumsum(held[order], axis=1) - held[order]
+                number = np.maximum(index.probes, (before <= k).sum(axis=1))
+                chosen = [row[:m] for row, m in zip(order, number)]
+                yield pa.record_batch([part.column(0), pa.array(chosen, pa.list_(pa.int32())), part.column(1)], ["query_id", "lists", "v"])
+
+    queries = materialise(rows.where(is_query).select("vec_id", "v").mapInArrow(probe, "query_id long, lists array<int>, v array<double>"), "queries")
+    asked = queries.select("query_id", F.explode("lists").alias("list"), "v")
+
+    loads = dict(asked.groupBy("list").count().collect())
     parts = [max(1, -(-sizes.get(i, 0) // rows_per_tile)) for i in range(lists)]
     chunks = [max(1, -(-loads.get(i, 0) // queries_per_tile)) for i in range(lists)]
 
@@ -228,9 +230,9 @@ def search(vectors: DataFrame, is_query, k: int = 20, rows_per_tile: int = 8_192
         found = [[], [], []]
         if candidates.num_rows and queries.num_rows:
             ids = candidates.column("ids").to_pylist()
-            tile = Tile(_matrix(candidates.column("v")), candidates.column("uid").to_numpy(), index.rotation)
+            tile = Tile(_matrix(candidates.column("v")), candidates.column("uid").to_numpy(), index)
             asked_ids = queries.column("query_id").to_pylist()
-            best = tile.best(_matrix(queries.column("v")), queries.column("least").to_numpy(), k + 1)
+            best = tile.best(_matrix(queries.column("v")), k + 1)
             for query_id, (places, scores) in zip(asked_ids, best):
                 rows = [(-s, i) for p, s in zip(tile.order[places].tolist(), scores.tolist()) for i in ids[p] if i != query_id]
                 for s, i in sorted(rows)[:k]:
@@ -239,7 +241,6 @@ def search(vectors: DataFrame, is_query, k: int = 20, rows_per_tile: int = 8_192
                     found[2].append(-s)
         return pa.table([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], ["query_id", "vec_id", "score"])
 
-    seeds = queries.select("query_id", F.explode("seeds").alias("s")).select("query_id", "s.vec_id", "s.score")
-    hits = left.cogroup(right).applyInArrow(match, schema).unionByName(seeds).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    hits = left.cogroup(right).applyInArrow(match, schema)
     nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
