@@ -2,15 +2,31 @@
 
 from __future__ import annotations
 
+import datetime
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+# Types of cuts that a text gives back as they were.
+_CUT_TYPES = {int: "bigint", float: "double", datetime.date: "date", Decimal: None}
+
+
+def _cut_table(cuts: list) -> Column:
+    """The cuts as one array: a single text that the planner turns into a constant, so that many
+    thousand of them are one expression."""
+    kind = _CUT_TYPES.get(type(cuts[0]))
+    if kind is None or any(type(c) is not type(cuts[0]) for c in cuts):
+        return F.array(*[F.lit(c) for c in cuts])
+    return F.split(F.lit(",".join(repr(c) if kind == "double" else str(c) for c in cuts)), ",").cast(f"array<{kind}>")
+
+
 def slice_of(value: Column, cuts: list) -> Column:
     """Number of the ascending ``cuts`` that are <= value, by binary search; null gives 0."""
     if not cuts:
         return F.lit(0)
     steps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
-    table = F.array(*[F.lit(c) for c in cuts])
+    table = _cut_table(cuts)
 
     def step(at: Column, width: Column) -> Column:
         ahead = at + width
