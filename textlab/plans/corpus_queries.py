@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from textlab.functions import text as X
@@ -23,6 +25,7 @@ from textlab.plans.oracle import (
 )
 from textlab.plans.registry import Registry, rounded
 from textlab.plans.tables import BLOCKS, NEEDLES, SPOKEN, STOPWORDS, WRITTEN, Tables
+from textlab.sources.layout import read_clustered, write_clustered
 from textlab.sources.sinks import materialise, shared_dir
 
 Q = Registry()
@@ -737,3 +740,16 @@ def browse_dates(t: Tables):
         F.lit("1995-03-01").cast("timestamp"), F.lit("1995-06-30 23:59:59.999999").cast("timestamp")
     )
     return rounded(K.browse(rows, condition, ["o_orderkey", "day", "o_orderstatus"], ["day", "o_orderkey"]))
+
+
+@Q.add(
+    "browse_clustered",
+    "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, o_orderstatus, o_custkey FROM orders"
+    " WHERE o_custkey BETWEEN 100 AND 160 AND CAST(o_orderdate AS DATE) BETWEEN DATE '1995-03-01' AND DATE '1995-06-30'",
+)
+def browse_clustered(t: Tables):
+    """Some customers within a range of days, from files that lie by both."""
+    rows = t.orders.select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), "o_orderstatus", "o_custkey")
+    path = write_clustered(rows, shared_dir(t.spark, "clustered"), ["o_custkey", "day"], 64)
+    bounds = {"o_custkey": (100, 160), "day": (date(1995, 3, 1), date(1995, 6, 30))}
+    return rounded(read_clustered(t.spark, path, rows.schema, bounds))
