@@ -106,26 +106,35 @@ def collapse_ws(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
 
 
-def _expanded(text: Column, multi: dict[str, str]) -> Column:
-    """The characters of ``multi`` replaced one after the other; no expansion holds another."""
-    pairs = F.split(F.lit("\u0000".join(c + to for c, to in multi.items())), "\u0000")
-    return F.aggregate(pairs, text, lambda acc, p: F.replace(acc, F.substring(p, 1, 1), F.substr(p, F.lit(2))))
+def _expanded(text: Column, pairs: str) -> Column:
+    """The characters that begin the ``pairs`` replaced by the rest of theirs, one after the other; no
+    expansion holds another."""
+    listed = F.split(F.lit(pairs), "\u0000")
+    return F.aggregate(listed, text, lambda acc, p: F.replace(acc, F.substring(p, 1, 1), F.substr(p, F.lit(2))))
+
+
+@lru_cache(maxsize=1)
+def _fold_blocks() -> list[tuple[str, str, str]]:
+    """Per block of what expands to several characters: a pattern of all beyond the block's start, one of
+    the block's characters, and its pairs; the first is that of the Latin letters."""
+    multi = _fold_tables()[3]
+    out = []
+    for low, high in ((0x80, 0x17F), (0x180, 0x24FF), (0x2500, sys.maxunicode)):
+        block = {c: to for c, to in multi.items() if low <= ord(c) <= high}
+        out.append((f"[^\\x00-\\x{{{low - 1:x}}}]", f"[{_ranges(set(block))}]", "\u0000".join(c + to for c, to in block.items())))
+    return out
 
 
 def ascii_fold(text: Column) -> Column:
     """Compatibility-decompose and drop combining marks (ł has no decomposition, so it stays)."""
-    src, dst, dropped, multi = _fold_tables()
+    src, dst, dropped, _ = _fold_tables()
     single = F.translate(text, src + dropped, dst)
     # Cheap tests first: most tokens are ASCII, most texts have no compatibility letter. What
     # expands to several characters is rare, so it is replaced only on demand, by blocks.
     out = F.when(text.rlike(f"[{chr(HANGUL[0])}-{chr(HANGUL[1])}]"), _hangul_letters(single)).otherwise(single)
-    for low, high in ((0x80, 0x17F), (0x180, 0x24FF), (0x2500, sys.maxunicode)):
-        block = {c: to for c, to in multi.items() if low <= ord(c) <= high}
-        beyond = f"[^\\x00-\\x{{{low - 1:x}}}]"
-        out = F.when(text.rlike(beyond) & text.rlike(f"[{_ranges(set(block))}]"), _expanded(out, block)).otherwise(out)
-    return F.when(~text.rlike("[^\\x00-\\x7f]"), text).when(~text.rlike("[^\\x00-\\x{17f}]") & ~text.rlike(
-        f"[{_ranges({c for c in multi if c <= chr(0x17f)})}]"), single
-    ).otherwise(out)
+    for beyond, members, pairs in _fold_blocks():
+        out = F.when(text.rlike(beyond) & text.rlike(members), _expanded(out, pairs)).otherwise(out)
+    return F.when(~text.rlike("[^\\x00-\\x7f]"), text).when(~text.rlike("[^\\x00-\\x{17f}]") & ~text.rlike(_fold_blocks()[0][1]), single).otherwise(out)
 
 
 def slugify(text: Column, max_len: int = 80) -> Column:
