@@ -36,7 +36,10 @@ def _written(details: DataFrame, *columns: Column | str) -> DataFrame:
 
 
 def _with_authors(texts: DataFrame, members: DataFrame, *columns: str) -> DataFrame:
-    """One row per (text, known author); weight is 1 / number of listed authors."""
+    """One row per (text, known author); weight is 1 / number of listed authors.
+
+    Texts stay in place while the counted members may be broadcast.
+    """
     authors = texts.select(
         "doc_id",
         F.lit("interpelacja").alias("source"),
@@ -46,7 +49,7 @@ def _with_authors(texts: DataFrame, members: DataFrame, *columns: str) -> DataFr
         F.explode("from").alias("_author"),
     )
     known = authors.withColumn("mp_id", safe_int(F.col("_author"))).where("mp_id is not null")
-    return known.join(member_clubs(members), "mp_id").select(*AUTHOR_COLUMNS, *columns)
+    return lookup_join(known, member_clubs(members), ["mp_id"]).select(*AUTHOR_COLUMNS, *columns)
 
 
 def written_authors(details: DataFrame, members: DataFrame) -> DataFrame:
