@@ -176,6 +176,33 @@ def test_cosine_and_plane_of_groups(spark):
     assert all(got[np.abs(got[:, i]).argmax(), i] > 0 for i in range(2))
 
 
+def svd_plane(matrix):
+    u, s, _ = np.linalg.svd(matrix - matrix.mean(0), full_matrices=False)
+    want = u[:, :2] * s[:2]
+    return want * np.where(want[np.abs(want).argmax(0), range(2)] < 0, -1, 1)
+
+
+def test_plane_of_more_groups_than_columns(spark):
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((70, 40)) * 0.9 ** np.arange(40) * (rng.random((70, 40)) < 0.6)
+    cells = [("s", f"g{i:03}", f"t{j}", float(x[i, j])) for i, j in zip(*np.nonzero(x))]
+    df = spark.createDataFrame(cells + [("t", f"g{i}", "one", 1.0) for i in range(3)], "source string, club string, term string, score double")
+    at = {(r.source, r.club): (r.pc1, r.pc2) for r in K.group_pca(df, "source", "club", block=8).collect()}
+    assert np.allclose([at["s", f"g{i:03}"] for i in range(70)], svd_plane(x), atol=1e-5)
+    assert [at["t", f"g{i}"] for i in range(3)] == [(0.0, 0.0)] * 3
+
+
+def test_plane_of_50_000_groups(spark):
+    n = 50_000
+    base = spark.range(n).select(F.concat(F.lit("g"), "id").alias("club"), F.rand(1).alias("a"), F.rand(2).alias("b"), F.rand(3).alias("c"))
+    cells = F.explode(F.array(*(F.struct(F.lit(t).alias("term"), v.alias("score")) for t, v in (("x", F.col("a") * 9), ("y", F.col("b") * 4), ("z", F.col("c") * 0.1)))))
+    df = base.select(F.lit("s").alias("source"), "club", cells.alias("t")).select("source", "club", "t.term", "t.score").cache()
+    got = {r.club: (r.pc1, r.pc2) for r in K.group_pca(df, "source", "club", block=4).collect()}
+    rows = {r.club: (r.a * 9, r.b * 4, r.c * 0.1) for r in base.collect()}
+    names = sorted(rows)
+    assert np.allclose([got[g] for g in names], svd_plane(np.array([rows[g] for g in names])), atol=1e-5)
+
+
 def test_log_odds(spark):
     counts = spark.createDataFrame(
         [("s", "A", "x", 3), ("s", "B", "y", 1), ("s", "C", "z", 9), ("only", "A", "x", 3)],

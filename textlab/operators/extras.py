@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textlab.operators.stats import share_of_total
 from textlab.operators.terms import with_term_hash
+from textlab.sources.sinks import materialise
 
 
 def recipient_heat(df: DataFrame, group: str, recipient: str, texts: str | None = None) -> DataFrame:
@@ -55,43 +58,88 @@ def pairwise_cosine(scores: DataFrame, channel: str, group: str) -> DataFrame:
     return pairs.join(dots, [channel, group, "other"], "left").fillna(0.0, ["cosine"])
 
 
-def group_pca(scores: DataFrame, channel: str, group: str, k: int = 2) -> DataFrame:
+def _products(df: DataFrame, channel: str, columns: list[str]) -> dict:
+    """Per channel the sums of products of every two columns and of each with 1: one small matrix."""
+    n, kind = len(columns) + 1, dict(df.dtypes)[channel]
+    flat = n * n
+
+    def run(batches):
+        sums: dict = {}
+        for batch in batches:
+            x = np.stack([*(batch.column(i + 1).to_numpy() for i in range(n - 1)), np.ones(batch.num_rows)], axis=1)
+            codes = batch.column(0).dictionary_encode()
+            for at, name in enumerate(codes.dictionary.to_pylist()):
+                own = x[codes.indices.to_numpy() == at]
+                sums[name] = sums.get(name, 0) + own.T @ own
+        for name, m in sums.items():
+            yield pa.record_batch([pa.array([name] * flat, batch.column(0).type), pa.array(np.arange(flat, dtype=np.int32)), pa.array(m.ravel())], ["c", "at", "p"])
+
+    rows = df.select(channel, *columns).mapInArrow(run, f"c {kind}, at int, p double").groupBy("c", "at").agg(F.sum("p").alias("p")).collect()
+    out: dict = {}
+    for r in rows:
+        out.setdefault(r["c"], np.zeros((n, n)))[divmod(r["at"], n)] = r["p"]
+    return out
+
+
+def _turned(df: DataFrame, channel: str, keys: list[str], columns: list[str], by: dict, names: list[str]) -> DataFrame:
+    """Rows, with a last column of 1, times their channel's matrix; one small row a channel is broadcast."""
+    spark, kind = df.sparkSession, dict(df.dtypes)[channel]
+    rows = [(c, [[float(v) for v in row] for row in m]) for c, m in by.items()]
+    small = spark.createDataFrame(rows, f"`{channel}` {kind}, _m array<array<double>>")
+    joined = df.join(F.broadcast(small), channel)
+
+    def value(j: int) -> Column:
+        return sum((F.col(c) * F.col("_m")[i][j] for i, c in enumerate(columns)), F.col("_m")[len(columns)][j])
+
+    return joined.select(channel, *keys, *(value(j).alias(name) for j, name in enumerate(names)))
+
+
+def group_pca(scores: DataFrame, channel: str, group: str, k: int = 2, block: int = 24, max_rounds: int = 200, tolerance: float = 1e-11) -> DataFrame:
     """(channel, group, pc1 .. pck): principal coordinates of the groups of each channel.
 
-    The matrix of dot products of a channel's vectors, centred on both sides, has the
-    principal axes of the vectors as eigenvectors; coordinates are these times the root
-    of the eigenvalue, the largest one of an axis made positive. One small matrix (groups
-    squared) per channel, each in a task of its own; axes beyond the rank are 0. ``scores`` is
-    read twice: pass a written table.
+    Block subspace iteration in long form: ``block`` columns a group are multiplied with the
+    vectors (term, group, score) and back by joins and sums, centred, and made orthonormal, until
+    the leading values settle; channels go together. Neither a vector nor a matrix of groups
+    is ever built: what reaches the driver is block squared numbers a channel and round. With no
+    more groups than columns the first round is exact. Coordinates are the unit eigenvectors times
+    the root of their eigenvalue, the largest one of an axis made positive (ties: of the
+    first group); axes beyond the rank are 0. ``scores`` is read in every round: pass a
+    written table.
     """
-    other = scores.select(channel, "term", F.col(group).alias("_other"), F.col("score").alias("_s"))
-    dots = (
-        scores.join(other, [channel, "term"])
-        .groupBy(channel, group, "_other")
-        .agg(F.sum(F.col("score") * F.col("_s")).alias("_dot"))
-    )
+    y, z = [f"y{i}" for i in range(block)], [f"z{i}" for i in range(block)]
+    groups = scores.select(channel, group).distinct()
+    start = [(F.xxhash64(F.lit(i), F.col(group).cast("string")) / float(1 << 62)).alias(c) for i, c in enumerate(y)]
+    current, last = groups.select(channel, group, *start), None
+    for _ in range(max_rounds):
+        # centred and orthonormal; directions without length become 0
+        basis, sums = {}, _products(current, channel, y)
+        for c, m in sums.items():
+            mean = m[:block, block] / m[block, block]
+            values, vectors = np.linalg.eigh(m[:block, :block] - m[block, block] * np.outer(mean, mean))
+            good = values > max(values[-1], 0) * 1e-11
+            turn = vectors * np.where(good, 1 / np.sqrt(np.where(good, values, 1.0)), 0.0)
+            basis[c] = np.vstack([turn, -mean @ turn])
+        unit = materialise(_turned(current, channel, [group], y, basis, y), "plane")
+        terms = materialise(scores.join(unit, [channel, group]).groupBy(channel, "term").agg(*(F.sum(F.col("score") * F.col(a)).alias(b) for a, b in zip(y, z))), "plane")
+        found = {c: np.linalg.eigh(m[:block, :block]) for c, m in _products(terms, channel, z).items()}
+        leading = {c: np.maximum(values[::-1][:k], 0) for c, (values, _) in found.items()}
+        if all(m[block, block] <= block for m in sums.values()):
+            break
+        if last is not None and all(np.allclose(v, last[c], rtol=tolerance, atol=1e-300) for c, v in leading.items()):
+            break
+        last = leading
+        current = scores.join(terms, [channel, "term"]).groupBy(channel, group).agg(*(F.sum(F.col("score") * F.col(b)).alias(a) for a, b in zip(y, z)))
+        current = materialise(current, "plane")
     axes = [f"pc{i + 1}" for i in range(k)]
-
-    def positions(rows):
-        import numpy as np
-
-        names = sorted(rows[group].unique())
-        at = {name: i for i, name in enumerate(names)}
-        gram = np.zeros((len(names), len(names)))
-        gram[rows[group].map(at), rows["_other"].map(at)] = rows["_dot"]
-        gram = gram - gram.mean(0) - gram.mean(1)[:, None] + gram.mean()
-        values, vectors = np.linalg.eigh((gram + gram.T) / 2)
-        top = [len(names) - 1 - i for i in range(min(k, len(names)))]
-        found = vectors[:, top] * np.sqrt(np.maximum(values[top], 0))
-        found *= np.where(found[np.abs(found).argmax(0), range(len(top))] < 0, -1.0, 1.0)
-        out = rows.iloc[: len(names)][[channel]].reset_index(drop=True).assign(**{group: names})
-        for i, axis in enumerate(axes):
-            out[axis] = found[:, i] if i < len(top) else 0.0
-        return out
-
-    types = dict(scores.dtypes)
-    schema = f"`{channel}` {types[channel]}, `{group}` {types[group]}, " + ", ".join(f"{a} double" for a in axes)
-    return dots.groupBy(channel).applyInPandas(positions, schema)
+    turn = {}
+    for c, (_, vectors) in found.items():
+        length = np.sqrt(np.where(leading[c] > 1e-13 * leading[c].max(initial=0), leading[c], 0.0))
+        turn[c] = np.vstack([vectors[:, ::-1][:, :k] * length, np.zeros(k)])
+    placed = materialise(_turned(unit, channel, [group], y, turn, axes), "plane")
+    # rounded, so that two groups of one distance from zero tie
+    ends = placed.groupBy(channel).agg(*(F.min_by(a, F.struct(-F.round(F.abs(F.col(a)), 9), F.col(group))).alias(f"e_{a}") for a in axes))
+    signed = [(F.col(a) * F.when(F.col(f"e_{a}") < 0, -1.0).otherwise(1.0)).alias(a) for a in axes]
+    return placed.join(F.broadcast(ends), channel).select(channel, group, *signed)
 
 
 def browse(

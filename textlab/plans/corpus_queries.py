@@ -668,10 +668,37 @@ def club_cosine(t: Tables):
     return rounded(K.pairwise_cosine(materialise(unit_vectors(t), "vectors"), "source", "club"))
 
 
-@Q.add("club_pca")
+def _axis_sql(matrix: str, n: int) -> str:
+    """Leading axis of each source's matrix (i, j, x): by squaring until one direction is left."""
+    return f""",
+q{n} AS (SELECT 0 AS step, source, i, j, x / sum(CASE WHEN i = j THEN x ELSE 0 END) OVER (PARTITION BY source) AS x
+  FROM {matrix} WHERE source IN (SELECT source FROM {matrix} WHERE i = j GROUP BY 1 HAVING sum(x) > 1e-12)
+  UNION ALL SELECT step + 1, source, i, j, x / sum(CASE WHEN i = j THEN x ELSE 0 END) OVER (PARTITION BY source)
+  FROM (SELECT a.step, a.source, a.i, b.j, sum(a.x * b.x) AS x FROM q{n} a JOIN q{n} b ON a.source = b.source AND a.j = b.i WHERE a.step < 18 GROUP BY ALL)),
+c{n} AS (SELECT source, arg_max(i, x) AS c, max(x) AS top FROM q{n} WHERE step = 18 AND i = j GROUP BY 1),
+v{n} AS (SELECT source, i, x / sqrt(top) AS v FROM q{n} JOIN c{n} USING (source) WHERE step = 18 AND j = c),
+l{n} AS (SELECT source, sum(a.v * x * b.v) AS l FROM {matrix} m JOIN v{n} a USING (source, i) JOIN (SELECT source, i AS j, v FROM v{n}) b USING (source, j) GROUP BY 1),
+e{n} AS (SELECT source, sign(first(v ORDER BY -round(abs(v * sqrt(l)), 9), i)) AS s FROM v{n} JOIN l{n} USING (source) GROUP BY 1),
+pc{n} AS (SELECT source, i AS club, v * s * sqrt(greatest(l, 0)) AS pc FROM v{n} JOIN l{n} USING (source) JOIN e{n} USING (source))"""
+
+
+PCA_SQL = UNI_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+gr AS (SELECT DISTINCT source, club FROM scores_t),
+dots AS (SELECT a.source, a.club AS i, b.club AS j, sum(a.score * b.score) AS x FROM scores_t a JOIN scores_t b ON a.source = b.source AND a.term = b.term GROUP BY ALL),
+grid AS (SELECT p.source, p.club AS i, q.club AS j, coalesce(x, 0.0) AS x FROM gr p JOIN gr q ON p.source = q.source
+  LEFT JOIN dots d ON d.source = p.source AND d.i = p.club AND d.j = q.club),
+m1 AS (SELECT source, i, j, x - avg(x) OVER (PARTITION BY source, i) - avg(x) OVER (PARTITION BY source, j) + avg(x) OVER (PARTITION BY source) AS x FROM grid)""" + _axis_sql("m1", 1) + """,
+m2 AS (SELECT m.source, m.i, m.j, x - coalesce(l * a.v * b.v, 0) AS x FROM m1 m LEFT JOIN l1 USING (source) LEFT JOIN v1 a ON a.source = m.source AND a.i = m.i
+  LEFT JOIN v1 b ON b.source = m.source AND b.i = m.j)""" + _axis_sql("m2", 2) + """
+SELECT source, club, round(coalesce(a.pc, 0.0), 6) + 0.0 AS pc1, round(coalesce(b.pc, 0.0), 6) + 0.0 AS pc2
+FROM gr LEFT JOIN pc1 a USING (source, club) LEFT JOIN pc2 b USING (source, club)"""
+
+
+@Q.add("club_pca", PCA_SQL)
 def club_pca(t: Tables):
     """Positions of the clubs of each channel in a plane of their own."""
-    return K.group_pca(materialise(unit_vectors(t), "vectors"), "source", "club")
+    at = K.group_pca(materialise(unit_vectors(t), "vectors"), "source", "club")
+    return at.select("source", "club", *((F.round(c, 6) + 0.0).alias(c) for c in ("pc1", "pc2")))
 
 
 @Q.add(
