@@ -105,7 +105,7 @@ def test_scan_abandons_most_pairs(spark, decay, most):
     x /= np.linalg.norm(x, axis=1)[:, None]
     distinct = table(spark, x[:2_000]).selectExpr("vec_id uid", "embedding v")
     tile = ann.Tile(x, np.arange(len(x)), ann.fit(distinct, len(x), 20, sample_rows=2_000))
-    found = tile.best(x[:50], 21)
+    found = tile.best(x[:50], np.full(50, -np.inf), 21)
     want = np.argsort(-(x[:50] @ x.T), axis=1)[:, :21]
     assert np.mean([len(set(tile.order[p]) & set(w)) for (p, _), w in zip(found, want)]) > 20.5
     assert tile.tested.sum() / (tile.pairs * len(tile.blocks)) < most

@@ -98,20 +98,20 @@ class Tile:
         # pairs tested after each block, and all pairs
         self.tested, self.pairs = np.zeros(len(index.cuts), np.int64), 0
 
-    def best(self, queries: np.ndarray, keep: int, first: int = 256, step: int = 2_048, group: int = 128):
-        """Per query (places, scores) of the up to ``keep`` best, best first.
+    def best(self, queries: np.ndarray, least: np.ndarray, keep: int, first: int = 256, step: int = 2_048, group: int = 128):
+        """Per query (places, scores) of the up to ``keep`` best with a score >= ``least``, best first.
 
         Squared distance is |q|^2 + |x|^2 - 2 <q, x>, so the score to beat gives each pair a
         distance to stay below. Partial distances in rotated space are tested against it after
-        every block of columns; what survives all blocks is scored exactly. There is no score
-        to beat before ``keep`` are found: the first few candidates give one.
+        every block of columns; what survives all blocks is scored exactly. Where ``least`` is
+        no bound, the first few candidates give one.
         """
         out = []
         starts = [0, *range(first, len(self.vectors), step)]
         for at in range(0, len(queries), group):
             q = queries[at : at + group]
             turned = q @ self.index.axes
-            bar = np.full(len(q), -np.inf)
+            bar = least[at : at + group].copy()
             held = [(np.empty(0, np.int64), np.empty(0)) for _ in q]
             for lo, hi in zip(starts, [*starts[1:], len(self.vectors)]):
                 self._scan(q, turned, bar, held, lo, hi, keep)
@@ -167,7 +167,9 @@ def search(vectors: DataFrame, is_query, k: int = 20, rows_per_tile: int = 8_192
 
     Every vector is indexed: it belongs to the list of its nearest centre, a query probes the
     lists of the largest inner products with it, and further ones until these hold more than
-    ``k`` vectors, so it has its ``k`` rows (all candidates, if fewer). A list and the queries that probe it are cut
+    ``k`` vectors, so it has its ``k`` rows (all candidates, if fewer). The nearest lists that hold
+    enough are scanned first; in further ones, in rounds of four times as many, a vector must beat
+    the k-th found before. A list and the queries that probe it are cut
     into tiles of bounded size by counts taken before, so a hot list is many tasks.
     """
     rows = materialise(clean(vectors), "vectors")
@@ -205,16 +207,15 @@ def search(vectors: DataFrame, is_query, k: int = 20, rows_per_tile: int = 8_192
                     continue
                 order = np.argsort(-(_matrix(part.column(1)) @ index.centroids.T), axis=1, kind="stable").astype(np.int32)
                 before = np.cumsum(held[order], axis=1) - held[order]
-                number = np.maximum(index.probes, (before <= k).sum(axis=1))
+                needed = (before <= k).sum(axis=1)
+                number = np.maximum(index.probes, needed)
                 chosen = [row[:m] for row, m in zip(order, number)]
-                yield pa.record_batch([part.column(0), pa.array(chosen, pa.list_(pa.int32())), part.column(1)], ["query_id", "lists", "v"])
+                columns = [part.column(0), pa.array(chosen, pa.list_(pa.int32())), pa.array(needed.astype(np.int32)), part.column(1)]
+                yield pa.record_batch(columns, ["query_id", "lists", "needed", "v"])
 
-    queries = materialise(rows.where(is_query).select("vec_id", "v").mapInArrow(probe, "query_id long, lists array<int>, v array<double>"), "queries")
-    asked = queries.select("query_id", F.explode("lists").alias("list"), "v")
-
-    loads = dict(asked.groupBy("list").count().collect())
+    queries = materialise(rows.where(is_query).select("vec_id", "v").mapInArrow(probe, "query_id long, lists array<int>, needed int, v array<double>"), "queries")
+    nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     parts = [max(1, -(-sizes.get(i, 0) // rows_per_tile)) for i in range(lists)]
-    chunks = [max(1, -(-loads.get(i, 0) // queries_per_tile)) for i in range(lists)]
 
     def tiled(df: DataFrame, key: str, own: str, own_counts: list[int], other: str, other_counts: list[int]) -> DataFrame:
         """Rows dealt by a hash to their own cuts of the list, and copied to all of the other side's."""
@@ -223,16 +224,13 @@ def search(vectors: DataFrame, is_query, k: int = 20, rows_per_tile: int = 8_192
         dealt = df.withColumn(own, F.pmod(F.xxhash64(key), number).cast("int"))
         return dealt.withColumn(other, F.explode(F.sequence(F.lit(0), others - 1)))
 
-    left = tiled(placed, "uid", "part", parts, "chunk", chunks).groupBy("list", "part", "chunk")
-    right = tiled(asked, "query_id", "chunk", chunks, "part", parts).groupBy("list", "part", "chunk")
-
     def match(candidates: pa.Table, queries: pa.Table) -> pa.Table:
         found = [[], [], []]
         if candidates.num_rows and queries.num_rows:
             ids = candidates.column("ids").to_pylist()
             tile = Tile(_matrix(candidates.column("v")), candidates.column("uid").to_numpy(), index)
             asked_ids = queries.column("query_id").to_pylist()
-            best = tile.best(_matrix(queries.column("v")), k + 1)
+            best = tile.best(_matrix(queries.column("v")), queries.column("least").to_numpy(), k + 1)
             for query_id, (places, scores) in zip(asked_ids, best):
                 rows = [(-s, i) for p, s in zip(tile.order[places].tolist(), scores.tolist()) for i in ids[p] if i != query_id]
                 for s, i in sorted(rows)[:k]:
@@ -241,6 +239,25 @@ def search(vectors: DataFrame, is_query, k: int = 20, rows_per_tile: int = 8_192
                     found[2].append(-s)
         return pa.table([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], ["query_id", "vec_id", "score"])
 
-    hits = left.cogroup(right).applyInArrow(match, schema)
-    nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def scanned(asked: DataFrame) -> DataFrame:
+        """(query_id, vec_id, score, rank): of what each query finds in its lists, the ``k`` best."""
+        loads = dict(asked.groupBy("list").count().collect())
+        chunks = [max(1, -(-loads.get(i, 0) // queries_per_tile)) for i in range(lists)]
+        left = tiled(placed, "uid", "part", parts, "chunk", chunks).groupBy("list", "part", "chunk")
+        right = tiled(asked, "query_id", "chunk", chunks, "part", parts).groupBy("list", "part", "chunk")
+        return left.cogroup(right).applyInArrow(match, schema).withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
+
+    # First the nearest lists that hold enough; then rounds over four times as many lists as before, each to
+    # beat the k-th score found so far, so that a round finds few rows beyond its results.
+    listed = queries.select("query_id", "v", "needed", F.posexplode("lists").alias("at", "list"))
+    unbound = F.lit(float("-inf"))
+    found = materialise(scanned(listed.where("at < needed").select("query_id", "list", unbound.alias("least"), "v")), "found")
+    reach = 1
+    while reach < lists:
+        bars = found.where(F.col("rank") == k).select("query_id", F.col("score").alias("bar"))
+        ring = listed.where((F.col("at") >= F.col("needed") * reach) & (F.col("at") < F.col("needed") * reach * 4)).join(bars, "query_id", "left")
+        asked = materialise(ring.select("query_id", "list", F.coalesce("bar", unbound).alias("least"), "v"), "ring")
+        both = found.unionByName(scanned(asked)).drop("rank")
+        found = materialise(both.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k), "found")
+        reach *= 4
+    return found.select("query_id", "rank", "vec_id", "score")
