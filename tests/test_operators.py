@@ -438,3 +438,19 @@ def test_slice_of(spark):
     got = spark.range(-8, 15).select("id", W.slice_of(F.col("id"), cuts).alias("s")).collect()
     assert all(r.s == sum(c <= r.id for c in cuts) for r in got)
     assert spark.range(1).select(W.slice_of(F.lit(None).cast("bigint"), cuts)).first()[0] == 0
+
+
+def test_lemma_arrays_keep_words_in_their_rows(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "Anna kota widzi, Łódź płynie"), (2, None), (3, ""), (4, "anna"), (5, "kota zoe zoé"), (5, "domu anna"), (None, "rzeka"), (None, "morze")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    names = spark.createDataFrame([("anna",), ("zoe",), ("łodz",)], "name string")
+    for column in ("lemma", "token"):
+        want = C._gathered_arrays(docs, ["doc_id"], (), names, C.LETTERS, column)
+        got = C.lemma_arrays(docs, ["doc_id"], (), names, column=column)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.select("doc_id", "words").collect()))
+    once = C.lemma_arrays(docs.where("doc_id < 5"), ["doc_id"], (), names)
+    assert "Aggregate" not in once._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.doc_id: len(r.words) for r in once.collect()} == {1: 3, 2: 0, 3: 0, 4: 0}
+    assert once.where(F.size("words") == 0).count() == 3
