@@ -454,3 +454,14 @@ def test_lemma_arrays_keep_words_in_their_rows(spark):
     assert "Aggregate" not in once._jdf.queryExecution().optimizedPlan().toString()
     assert {r.doc_id: len(r.words) for r in once.collect()} == {1: 3, 2: 0, 3: 0, 4: 0}
     assert once.where(F.size("words") == 0).count() == 3
+
+
+def test_proceeding_days_broadcast_no_side(spark):
+    from textlab.operators import landing as B
+
+    listed = spark.createDataFrame([(1, 0, '{"a": "2020-01-02"}'), (2, 0, '{"a": "2020-01-03"}')], "num int, pos int, json string")
+    details = spark.createDataFrame([(2, '{"b": ["2021-05-06"]}')], "num int, json string")
+    found = B.proceeding_days(listed, details)
+    assert sorted(map(tuple, found.collect())) == [(1, "2020-01-02"), (2, "2021-05-06")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

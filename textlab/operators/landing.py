@@ -82,8 +82,10 @@ def proceeding_days(proceedings: DataFrame, details: DataFrame) -> DataFrame:
     entries = record_dates(first, name="_listed").select("num", "_listed")
     found = record_dates(details, name="_detail").select("num", "_detail")
     days = F.when(F.size("_detail") > 0, F.col("_detail")).otherwise(F.col("_listed"))
+    # Both sides have a row per record. A plan would go by their small files, of which the dates are
+    # a small part, and broadcast them.
     return (
-        entries.join(found, "num", "left")
+        entries.join(found.hint("merge"), "num", "left")
         .select("num", F.explode(days).alias("day"))
         .distinct()
     )
