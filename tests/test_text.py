@@ -151,3 +151,18 @@ def test_comment_bins(one, comment, label):
 @pytest.mark.parametrize("value, truth", [(" Yes ", True), ("1", True), ("T", True), ("no", False), ("", False), (None, False)])
 def test_to_bool(one, value, truth):
     assert one(lambda x: V.to_bool(x.cast("string")), x=value) is truth
+
+
+def test_slug_of_the_start_is_the_slug_of_the_whole(spark):
+    from pyspark.sql import functions as F
+    from textlab.functions.text import ascii_fold, slugify
+
+    starts = ["", "-- ", "." * 400, "Żółć " * 200, "a." * 40 + "b", "a" * 79 + " ", "a" * 80, "한글 " * 100, "́" * 330 + "x", "ﷺ" * 40, "." * 318 + "ab", "." * 241 + "a" * 79]
+    texts = [(a + b,) for a in starts for b in ("", "!", " Zoë", "-", "z" * 300)] + [(None,)]
+    df = spark.createDataFrame(texts, "t string")
+    dashed = F.regexp_replace(ascii_fold(F.col("t")), "[^A-Za-z0-9]+", "-")
+    whole = F.lower(F.regexp_replace(dashed, "^-+|-+$", ""))
+    want = F.when(F.coalesce(whole, F.lit("")) == "", "unknown").otherwise(F.substring(whole, 1, 80))
+    assert df.where(~slugify(F.col("t")).eqNullSafe(want)).count() == 0
+    plan = df.select(slugify(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring(t" in plan  # long texts are not folded to their end for it
