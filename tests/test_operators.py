@@ -465,3 +465,12 @@ def test_proceeding_days_broadcast_no_side(spark):
     assert sorted(map(tuple, found.collect())) == [(1, "2020-01-02"), (2, "2021-05-06")]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_row_term_counts_need_no_shuffle(spark):
+    rows = [(1, ["b", "a", "b", "b"]), (2, []), (3, None), (None, ["c"]), (4, ["a"])]
+    listed = spark.createDataFrame(rows, "doc_id int, words array<string>")
+    found = T.row_term_counts(listed, ["doc_id"])
+    assert {tuple(r) for r in found.collect()} == {(1, "a", 1), (1, "b", 3), (None, "c", 1), (4, "a", 1)}
+    assert dict(found.dtypes)["tf"] == "bigint"
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()

@@ -32,6 +32,15 @@ def term_counts(
     return kept.groupBy(*keys, fold_token(F.col("token")).alias("term")).agg(F.sum("tf").alias("tf"))
 
 
+def row_term_counts(listed: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, term, tf) of each row of a ``lemma_arrays`` table, counted in its row, without a shuffle."""
+    in_order = listed.select(*keys, F.array_sort("words").alias("_w")).where(F.size("_w") > 0)
+    begins = F.filter(F.sequence(F.lit(0), F.size("_w") - 1), lambda i: F.coalesce(F.get("_w", i) != F.get("_w", i - 1), F.lit(True)))
+    runs = in_order.select(*keys, "_w", begins.alias("_at"))
+    tf = lambda i, j: F.coalesce(F.get("_at", j + 1), F.size("_w")) - i
+    return runs.select(*keys, F.inline(F.transform("_at", lambda i, j: F.struct(F.get("_w", i).alias("term"), tf(i, j).cast("long").alias("tf")))))
+
+
 def ngram_counts(listed: DataFrame, keys: list[str], sizes=(2, 3)) -> DataFrame:
     """(keys, term, ngram_len, tf) of n-grams within each row's ``words``.
 

@@ -371,8 +371,9 @@ SELECT club AS "group", term, round(score, 8) AS score, rank FROM (SELECT *, row
   (PARTITION BY club ORDER BY score DESC, term) AS rank FROM m) WHERE rank <= 15""",
 )
 def tfidf_group_mean(t: Tables):
-    doc_terms = T.term_counts(t.docs, ["doc_id", "club"], folded=True, **rules(t))
-    return rounded(T.tfidf_group_mean(doc_terms, t.raw_docs, "doc_id", "club"))
+    keys = ["doc_id", "club"]
+    listed = materialise(C.lemma_arrays(t.docs, keys, **rules(t)), "words")
+    return rounded(T.tfidf_group_mean(T.row_term_counts(listed, keys), t.raw_docs, "doc_id", "club"))
 
 
 def word_count_table(t: Tables):
