@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from textlab.functions.text import mentions, word_count
+from textlab.functions.text import mentions, with_fog, word_count
 from textlab.operators.stats import grouped_quantiles
 
 
@@ -24,6 +24,11 @@ def style_means(metrics: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def fog_means(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, fog_mean) of ``style_means`` from texts, which are measured for nothing else."""
+    return with_fog(docs.select(*keys, "weight", "text")).groupBy(*keys).agg(weighted_mean("fog_index").alias("fog_mean"))
+
+
 # Output column → (measure, probability).
 STYLE_QUANTILES = {
     "sentiment_median": ("sentiment", 0.5),

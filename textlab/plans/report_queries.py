@@ -42,7 +42,10 @@ def delta_top(t: Tables):
 
 
 def fog_wide(t: Tables):
-    return C.G.pivot_channels(C.means(t), "club", "source", "fog_mean", WRITTEN, SPOKEN, "delta")
+    """Weighted FOG of two channels; other channels' texts are not read for words, nor any for sentiment."""
+    shown = F.when(F.col("source").isin(WRITTEN, SPOKEN), F.col("text"))
+    means = C.G.fog_means(t.docs.withColumn("text", shown), C.GROUP)
+    return C.G.pivot_channels(means, "club", "source", "fog_mean", WRITTEN, SPOKEN, "delta")
 
 
 @Q.add("fog_gap", f"{C.FOG_SQL} SELECT {C.ROUND_WIDE} FROM wide ORDER BY wide.delta ASC NULLS LAST, club LIMIT 1")
