@@ -117,8 +117,8 @@ def corpus_style(t: Tables):
 
 def group_counts(t: Tables, folded: bool, per_author: bool = True) -> tuple[DataFrame, DataFrame]:
     texts, authors = chain(t)
-    counts = T.term_counts(texts, ["doc_id"], folded=folded, **rules(t))
-    return C.author_counts(counts, authors, ["source", "club"], per_author), authors
+    listed = C.lemma_arrays(texts, ["doc_id"], **rules(t), column="lemma" if folded else "token")
+    return T.author_word_counts(materialise(listed, "words"), authors, ["source", "club"], per_author), authors
 
 
 _TERMS = ",\ncounts AS (SELECT a.source, a.club, {word} AS term, {n} AS tf FROM tok t JOIN {who} a ON a.doc_id = t.doc_id GROUP BY ALL)"
