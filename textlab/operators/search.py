@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from textlab.functions.text import raw_tokens
 from textlab.functions.words import LETTERS
 from textlab.operators.joins import small_copy
+from textlab.sources.sinks import materialise
 
 
 class KeywordIndex(NamedTuple):
@@ -27,16 +28,18 @@ def build_keyword_index(docs: DataFrame, keys: list[str], path: str, rows_per_pa
     """Every word of every text with its place, written to ``path`` in parts of one range of terms each.
 
     ``keys`` must tell texts apart. A frequent word goes on over several parts, as the ranges
-    are cut by term, text and place. One shuffle carries words and places, never a text; two
-    terms a part reach the driver.
+    are cut by term, text and place. Words are cut out of the texts once and written, as
+    they are read three times. One shuffle carries words and places, never a text; two terms a part
+    reach the driver.
     """
-    listed = docs.select(*keys, raw_tokens(F.col("text"), letters).alias("_w"))
+    listed = materialise(docs.select(*keys, raw_tokens(F.col("text"), letters).alias("_w")), "index-words")
     n = listed.agg(F.sum(F.greatest(F.size("_w"), F.lit(0)))).first()[0] or 0
     parts = max(1, -(-n // rows_per_part))
     order = ["term", *keys, "pos"]
     places = listed.select(*keys, F.posexplode("_w").alias("pos", "term"))
-    dealt = places.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    dealt.withColumn("part", F.spark_partition_id()).write.partitionBy("part").parquet(path)
+    # Led by the part, the order is also the one that writing by parts asks for: rows are sorted once.
+    dealt = places.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()).sortWithinPartitions("part", *order)
+    dealt.write.partitionBy("part").parquet(path)
     if not n:
         return KeywordIndex(path, list(keys), [])
     bounds = docs.sparkSession.read.parquet(path).groupBy("part").agg(F.min("term").alias("low"), F.max("term").alias("high")).collect()
