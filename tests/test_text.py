@@ -166,3 +166,21 @@ def test_slug_of_the_start_is_the_slug_of_the_whole(spark):
     assert df.where(~slugify(F.col("t")).eqNullSafe(want)).count() == 0
     plan = df.select(slugify(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
     assert "substring(t" in plan  # long texts are not folded to their end for it
+
+
+@pytest.mark.parametrize("letters", ["a-zA-ZąćęłńóśżźĄĆĘŁŃÓŚŻŹ", "a-zäößé", "a-zΣσςİ가-힣ﬁ"])
+@pytest.mark.parametrize("column", ["lemma", "token"])
+def test_words_cut_in_batches_are_those_of_rows(spark, monkeypatch, letters, column):
+    """Rules run once per distinct word of a batch agree with those of Spark's functions."""
+    from textlab.operators import corpus as C
+
+    monkeypatch.setattr(C, "_SLICE", 40)
+    texts = ["Żółwie piszą pożółkłymi literami", "abc", "Def", None, "", "ß3é łódź한국어 haus Straße", "najlepszego warszawskiego-krakowska ADAMA adamowi",
+             "x the und ąę ÓÓÓ ﬁn ΣΑΣ İstanbul 😀abc", "\x00ábc kał tak tak the the aaa", "owego ymego emu skiego", "ą" * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(1)
+    names = spark.createDataFrame([("adama",), ("zolwie",), ("kał",), (None,)], "name string")
+    own = {r.doc_id: r.words for r in C.lemma_arrays(docs, ["doc_id"], ["the", "und"], names, letters, column).collect()}
+    rows = {r.doc_id: r.words for r in C._gathered_arrays(docs, ["doc_id"], ["the", "und"], names, letters, column).collect()}
+    assert own == rows and sum(map(len, own.values())) > 5
+    plan = C.lemma_arrays(docs, ["doc_id"], ["the"], names, letters, column)._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate(" not in plan
