@@ -58,3 +58,29 @@ def test_shuffles_carry_numbers(listed):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "RepartitionByExpression [gram#" in plan
     assert pairs.select(F.sum("n")).first()[0] > 0
+
+
+def test_ngrams_with_a_rare_part_are_not_counted(listed, monkeypatch):
+    """Vocabularies count a longer n-gram only where its parts may still reach them."""
+    import numpy as np
+
+    seen, count = [], grams.ngrams
+    monkeypatch.setattr(grams, "ngrams", lambda *a, **b: seen.append(count(*a, **b)) or seen[-1])
+    for max_words in (0, 5, 1_000):
+        monkeypatch.setattr(grams, "numbered", lambda df, f=grams.Numbered, n=max_words, g=NUMBERED: g(df, n))
+        want = T.tfidf_top(T.ngram_counts(listed, ["source", "club"]), listed, "source", "club", 2, 0.9, 12, 5, ngram_len=True).collect()
+        seen.clear()
+        found = T.tfidf_top_ngrams(listed, listed, "source", "club", 2, 0.9, 12, 5).collect()
+        assert want and sorted(map(str, found)) == sorted(map(str, want))
+        counted = [df.agg(F.sum("tf")).first()[0] for df in seen[:3]]
+        every = sum(max(len(w or []) - 2, 0) for *_, w in TEXTS)
+        assert counted[2] < every
+    num = NUMBERED(listed, 1_000)
+    few = grams.Parts(np.sort([(int(num.known.index(w).as_py()) + 1) << 42 for w in num.known.to_pylist()[:2]]), num.known.slice(0, 0))
+    two = set(num.known.to_pylist()[:2])
+    got = grams.with_terms(grams.ngrams(num, [], (2,), within={1: few}), num)
+    want = Counter(f"{a} {b}" for *_, w in TEXTS for a, b in zip(w or [], (w or [])[1:]) if {a, b} <= two)
+    assert {r.term: r.tf for r in got.collect()} == want
+
+
+NUMBERED = grams.numbered
