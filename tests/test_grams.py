@@ -84,3 +84,16 @@ def test_ngrams_with_a_rare_part_are_not_counted(listed, monkeypatch):
 
 
 NUMBERED = grams.numbered
+
+
+def test_pairs_of_rare_words_are_not_made(listed, monkeypatch):
+    """Words of fewer than ``min_rows`` rows make no pairs; they were made and left out after the shuffle before."""
+    words_in = Counter(w for *_, ws in TEXTS for w in set(ws or []))
+    both = Counter(p for *_, w in TEXTS for p in combinations(sorted(set(w or [])), 2))
+    made, together = [], grams._together
+    monkeypatch.setattr(grams, "_together", lambda held, among=None: made.append(among) or together(held, among))
+    for max_words in (0, 7, 1_000):
+        num = NUMBERED(listed, max_words)
+        got = grams.with_pairs(grams.row_pairs(num, 5, 12), num)
+        assert {(r.word_a, r.word_b): r.tf for r in got.collect()} == {p: n for p, n in both.items() if n >= 12}
+        assert len(made[-1].numbers) + len(made[-1].texts) == sum(n >= 12 for n in words_in.values()) < len(words_in)
